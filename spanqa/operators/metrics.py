@@ -3,18 +3,27 @@ unthresholded F1, macro averages, counts and LaTeX strings."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanqa.constants import EXCLUDED_LANGUAGE, LANGUAGES, PRECISION_TARGETS
 from spanqa.functions.bytes import f1_of, safe_divide
 from spanqa.operators.curve import best_threshold, recall_at_precision
 
 
+@F.pandas_udf(StringType())
+def _one_decimal(v: pd.Series) -> pd.Series:
+    # printf-style '%.1f' rounds the exact binary value half-to-even; the JVM
+    # formatter rounds half-up, so this small helper formats in Python.
+    return v.map(lambda x: None if x is None or x != x else "%.1f" % x)
+
+
 def latex(f1, p, r) -> Column:
     """K7: ``\\fpr{f1}{p}{r}`` with values x100 and one decimal."""
     def fmt(c):
-        return F.format_string("%.1f", F.col(c) * 100 if isinstance(c, str) else c * 100)
+        return _one_decimal(F.col(c) * 100)
     return F.concat(F.lit("\\fpr{"), fmt(f1), F.lit("}{"), fmt(p), F.lit("}{"), fmt(r), F.lit("}"))
 
 
