@@ -34,7 +34,8 @@ def derive_vocab_lines(docs: DataFrame, n_words: int = 2000, max_position: int =
     specials = spark.createDataFrame([(0, i, t) for i, t in enumerate(SPECIAL_TOKENS)], "sec int, k long, line string")
     markers = spark.range(max_position).select(F.lit(1).alias("sec"), F.col("id").alias("k"),
                                                F.concat(F.lit("[ContextId="), F.col("id").cast("string"), F.lit("]")))
-    chars = (docs.select(F.explode(F.split("text", "")).alias("c")).where(~F.col("c").rlike(r"[\s\p{Z}\p{Cc}]"))
+    chars = (docs.select(F.explode(F.split("text", "")).alias("c"))
+             .where((F.col("c") != "") & ~F.col("c").rlike(r"[\s\p{Z}\p{Cc}]"))
              .distinct())
     c1 = chars.select(F.lit(2).alias("sec"), F.lit(0).cast("long").alias("k"), F.col("c").alias("line"))
     c2 = chars.select(F.lit(3).alias("sec"), F.lit(0).cast("long").alias("k"),

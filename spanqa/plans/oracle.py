@@ -354,3 +354,239 @@ JOIN qa_candidates c ON c.doc_id = g0a.example_id AND c.cand_pos = g0a.ci
 LEFT JOIN qa_candidates pc ON pc.doc_id = gj.example_id AND pc.cand_pos = gj.p_ci
 JOIN st ON st.example_id = gj.example_id AND st.task = 'minimal'
 WHERE gj.matched"""
+
+
+# ---------------------------------------------------------------- entries ---
+
+_CTX = r"""
+kc AS (SELECT c.*, '[ContextId=' || CAST(cand_pos AS VARCHAR) || ']' AS marker FROM qa_candidates c WHERE cand_pos < 45),
+kl AS (SELECT *, CAST(coalesce(sum(strlen(marker) + len_b + 2) OVER (PARTITION BY doc_id ORDER BY cand_pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off0 FROM kc),
+seg AS (SELECT doc_id, cand_pos, off0 + strlen(marker) + 1 AS ctx_start, off0 + strlen(marker) + 1 + len_b AS ctx_end,
+               start_b AS plain_start, len_b, txt FROM kl),
+ctxlen AS (SELECT doc_id, count(*) AS n_kept, CAST(sum(strlen(marker) + len_b + 2) - 1 AS BIGINT) AS contexts_bytes
+           FROM kc GROUP BY doc_id),
+fa_min AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY ci, ann_pos) AS rn
+           FROM qa_gold WHERE ci >= 0 AND ci < 45 AND s >= 0) WHERE rn = 1),
+fa_any AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY ci, ann_pos) AS rn
+           FROM qa_gold WHERE ci >= 0 AND ci < 45) WHERE rn = 1),
+fa AS (SELECT d.doc_id AS example_id, d.n, d.language,
+              coalesce(m.ci, a.ci, -1) AS annotated_idx, coalesce(m.ann_pos, a.ann_pos) AS ann_pos,
+              m.example_id IS NOT NULL AS has_min, m.s AS gs, m.e AS ge
+       FROM d LEFT JOIN fa_min m ON m.example_id = d.doc_id LEFT JOIN fa_any a ON a.example_id = d.doc_id),
+ans AS (SELECT fa.*, seg.ctx_start AS ts, seg.plain_start AS cs, seg.len_b AS cl, seg.txt AS ctxt
+        FROM fa LEFT JOIN seg ON seg.doc_id = fa.example_id AND seg.cand_pos = fa.annotated_idx)
+"""
+
+SQL["first_annotation"] = _with(BASE, _CTX) + """
+SELECT example_id, annotated_idx, CAST(ann_pos AS INTEGER) AS ann_pos, has_min AS has_minimal,
+       CASE WHEN has_min THEN gs - c.start_b ELSE -1 END AS local_start,
+       CASE WHEN has_min THEN ge - c.start_b ELSE -1 END AS local_end
+FROM fa LEFT JOIN qa_candidates c ON c.doc_id = fa.example_id AND c.cand_pos = fa.annotated_idx"""
+
+SQL["contexts"] = _with(BASE, _CTX) + """
+SELECT a.example_id, l.contexts_bytes, CAST(l.n_kept AS INTEGER) AS n_kept,
+       (a.annotated_idx >= 0 AND a.annotated_idx < least(a.n, 45)) AS has_correct_context,
+       CASE WHEN a.annotated_idx < 0 THEN -1 WHEN a.has_min THEN a.gs - a.cs + a.ts ELSE a.ts END AS span_start,
+       CASE WHEN a.annotated_idx < 0 THEN -1 WHEN a.has_min THEN a.ge - a.cs + a.ts ELSE a.ts + a.cl END AS span_end,
+       CASE WHEN a.has_min THEN 'minimal' ELSE 'passage' END AS input_text,
+       CASE WHEN a.annotated_idx < 0 THEN '' WHEN NOT a.has_min THEN a.ctxt
+            ELSE array_to_string(list_slice(string_split(a.ctxt, ' '),
+                 (a.example_id * 5 + a.ann_pos) % len(string_split(a.ctxt, ' ')) + 1,
+                 least(len(string_split(a.ctxt, ' ')) - 1,
+                       (a.example_id * 5 + a.ann_pos) % len(string_split(a.ctxt, ' ')) + a.example_id % 4) + 1), ' ')
+       END AS span_text,
+       CASE WHEN a.annotated_idx = -1 THEN '[NoLongAnswer]'
+            ELSE '[Paragraph=' || CAST(least(a.annotated_idx + 1, 45) AS VARCHAR) || ']' END AS type_and_position
+FROM ans a JOIN ctxlen l ON l.doc_id = a.example_id"""
+
+SQL["context_segments"] = _with(BASE, _CTX) + """
+SELECT doc_id AS example_id, CAST(cand_pos AS INTEGER) AS i, ctx_start, ctx_end, plain_start, true AS bytes_equal
+FROM seg"""
+
+SQL["answer_typing"] = _with(BASE, _CTX, """
+ids(language, language_id) AS (VALUES ('arabic', 0), ('bengali', 1), ('finnish', 2), ('indonesian', 3),
+   ('japanese', 4), ('swahili', 5), ('korean', 6), ('russian', 7), ('telugu', 8), ('thai', 9), ('english', 10))""") + """
+SELECT a.example_id, CASE WHEN a.annotated_idx < 0 THEN 0 WHEN a.has_min THEN 3 ELSE 4 END AS answer_type,
+       CASE WHEN a.annotated_idx < 0 THEN 0 WHEN a.has_min THEN a.gs - a.cs + a.ts ELSE a.ts END AS start_byte_offset,
+       CASE WHEN a.annotated_idx < 0 THEN 1 WHEN a.has_min THEN a.ge - a.cs + a.ts ELSE a.ts + a.cl END
+         AS end_byte_offset,
+       CAST(ids.language_id AS INTEGER) AS language_id
+FROM ans a JOIN ids ON ids.language = a.language"""
+
+_REJECT_LIT = """
+lit(outcome, n) AS (VALUES ('invalid_candidate_offsets', 1), ('bad_candidate_index', 1), ('answer_mismatch', 1),
+                           ('no_candidates', 1), ('empty_context', 1)),
+der AS (SELECT CASE WHEN len(list_filter(list_slice(paras, 1, 45), lambda x: x = '')) > 0 THEN 'empty_context'
+                    ELSE 'ok' END AS outcome FROM d),
+allr AS (SELECT outcome, count(*) AS n FROM der GROUP BY outcome UNION ALL SELECT outcome, n FROM lit)"""
+
+SQL["entry_rejects"] = _with(BASE, _REJECT_LIT) + """
+SELECT outcome, CAST(sum(n) AS BIGINT) AS n_examples FROM allr GROUP BY outcome"""
+SQL["example_scan"] = SQL["entry_rejects"]
+
+SQL["candidate_scan"] = _with(BASE) + """
+SELECT doc_id AS example_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE n END AS INTEGER) AS n_candidates,
+       (doc_id % 3 = 0) AS duplicated
+FROM d"""
+
+# ------------------------------------------------------ sampling / shards ---
+
+SQL["lang_counts"] = _with(BASE) + "\nSELECT language, count(*) AS n_examples FROM d GROUP BY language"
+
+SQL["oversample_ratio"] = _with(BASE, """
+lc AS (SELECT language, count(*) AS n_examples FROM d GROUP BY language)""") + """
+SELECT language, n_examples, CAST(floor(least(10.0, max(n_examples) OVER () / n_examples)) AS INTEGER) AS ratio
+FROM lc"""
+
+SQL["oversampled"] = _with(BASE, """
+lc AS (SELECT language, count(*) AS n_examples FROM d GROUP BY language),
+lr AS (SELECT language, n_examples, floor(least(10.0, max(n_examples) OVER () / n_examples)) AS ratio FROM lc)""") + """
+SELECT language, CAST(n_examples * ratio AS BIGINT) AS n_rows FROM lr"""
+
+SQL["shards"] = """
+WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+s AS (SELECT doc_id, pos // 64 AS shard, pos // 16 AS batch FROM o),
+fb AS (SELECT batch FROM s GROUP BY batch HAVING count(*) = 16)
+SELECT shard, count(*) AS n_examples, count(DISTINCT batch) AS n_batches
+FROM s WHERE batch IN (SELECT batch FROM fb) GROUP BY shard"""
+
+# ---------------------------------------------------------------- windows ---
+
+_WIN = r"""
+wp AS (SELECT doc_id, len(string_split(text, ' ')) AS n,
+              381 - least(64, len(string_split(string_split(text, chr(10))[1], ' '))) AS width FROM documents),
+w(doc_id, n, width, k, start, length) AS (
+  SELECT doc_id, n, width, 0, 0, least(n, width) FROM wp WHERE n > 0
+  UNION ALL
+  SELECT doc_id, n, width, k + 1, start + least(length, 128), least(n - (start + least(length, 128)), width)
+  FROM w WHERE start + length < n)"""
+
+SQL["doc_windows"] = "WITH RECURSIVE " + _WIN.strip() + """
+SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length FROM w"""
+
+SQL["complete_examples"] = "WITH RECURSIVE " + _WIN.strip() + """,
+r AS (SELECT doc_id, k FROM w WHERE (doc_id + k) % 7 <> 0)
+SELECT w.doc_id AS example_index, count(*) AS n_features, count(r.k) AS n_results,
+       (count(r.k) > 0 AND count(*) = count(r.k)) AS complete
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.k = w.k GROUP BY w.doc_id"""
+
+SQL["asof_merge"] = "WITH RECURSIVE " + _WIN.strip() + """,
+ex AS (SELECT doc_id AS example_id, doc_id AS key FROM documents),
+items AS (SELECT 'feature' AS source, doc_id + k + 1 AS key FROM w
+          UNION ALL SELECT 'result', doc_id + k + 1 FROM w WHERE (doc_id + k) % 7 <> 0),
+m AS (SELECT items.source, ex.example_id FROM items ASOF JOIN ex ON items.key >= ex.key)
+SELECT example_id, count(*) FILTER (WHERE source = 'feature') AS n_features,
+       count(*) FILTER (WHERE source = 'result') AS n_results
+FROM m GROUP BY example_id"""
+
+# ------------------------------------------------------------- characters ---
+
+SQL["char_classes"] = r"""
+SELECT doc_id, lang,
+  length(text) - length(regexp_replace(text, '[ \t\n\r\p{Zs}]', '', 'g')) AS n_whitespace,
+  (length(text) - length(regexp_replace(text, '[\p{Cc}\p{Cf}]', '', 'g')))
+    - (length(text) - length(regexp_replace(text, '[\t\n\r]', '', 'g'))) AS n_control,
+  length(text) - length(regexp_replace(text, '[!-/:-@\[-`{-~\p{P}]', '', 'g')) AS n_punctuation,
+  length(text) - length(regexp_replace(text,
+    '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]',
+    '', 'g')) AS n_cjk
+FROM documents"""
+
+SQL["space_tokens"] = r"""
+SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_space_tokens,
+       CAST(len(list_filter(string_split(text, ' '), lambda x: x = '')) AS BIGINT) AS n_empty,
+       CAST(strlen(text) - (len(string_split(text, ' ')) - 1) AS BIGINT) AS token_bytes,
+       CAST(len(list_filter(regexp_split_to_array(trim(text), '[\s\p{Z}]+'), lambda x: x <> '')) AS INTEGER)
+         AS n_whitespace_tokens
+FROM documents"""
+
+_BAD_RE2 = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\p{Cf}\x{FFFD}]"
+_PU_RE2 = r"[!-/:-@\[-`{-~\p{P}]"
+_NPU_RE2 = r"[^!-/:-@\[-`{-~\p{P}]"
+
+SQL["basic_tokens"] = rf"""
+WITH toks AS (
+  SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents
+  UNION SELECT 'a' || chr(0) || 'b' UNION SELECT 'x' || chr(20013) || 'y'
+  UNION SELECT 'ab,c' || chr(9) || 'd' || chr(8203) || 'e!' UNION SELECT chr(1) || chr(2) UNION SELECT ''),
+segs AS (SELECT token, regexp_extract_all(token, '([\t\n\r\p{{Z}}]|[^\t\n\r\p{{Z}}]+)', 1) AS sg FROM toks),
+pcs AS (SELECT token,
+   flatten(list_transform(sg, lambda s: list_concat(regexp_extract_all(s, '({_BAD_RE2})', 1),
+       regexp_extract_all(regexp_replace(s, '{_BAD_RE2}', '', 'g'), '({_PU_RE2}|{_NPU_RE2}+)', 1)))) AS p,
+   list_sum(list_transform(sg, lambda s: len(regexp_extract_all(s, '({_BAD_RE2})', 1)))) AS nb
+  FROM segs)
+SELECT token, array_to_string(p, '|') AS pieces, CAST(coalesce(nb, 0) AS INTEGER) AS n_bad FROM pcs"""
+
+SQL["vocab_ids"] = r"""
+WITH sp(k, line) AS (VALUES (0, '[CLS]'), (1, '[SEP]'), (2, '[PAD]'), (3, '[Q]'), (4, '[YES]'), (5, '[NO]'),
+    (6, '[NoLongAnswer]'), (7, '[NoShortAnswer]'), (8, '[SA]'), (9, '[/SA]'), (10, '[UNK]'), (11, '[MASK]')),
+ch AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents),
+chk AS (SELECT c FROM ch WHERE c <> '' AND NOT regexp_matches(c, '[\s\p{Z}\p{Cc}]')),
+wd AS (SELECT w, count(*) AS cnt FROM (SELECT unnest(regexp_split_to_array(text, '[\s\p{Z}]+')) AS w FROM documents)
+       WHERE w <> '' GROUP BY w ORDER BY cnt DESC, w LIMIT 2000),
+lines AS (SELECT 0 AS sec, k, line FROM sp
+          UNION ALL SELECT 1, i, '[ContextId=' || CAST(i AS VARCHAR) || ']' FROM range(45) t(i)
+          UNION ALL SELECT 2, 0, c FROM chk UNION ALL SELECT 3, 0, '##' || c FROM chk
+          UNION ALL SELECT 4, -cnt, w FROM wd),
+num AS (SELECT line, row_number() OVER (ORDER BY sec, k, line) AS ln FROM lines),
+firsts AS (SELECT line AS token, min(ln) AS fl FROM num GROUP BY line)
+SELECT token, row_number() OVER (ORDER BY fl) - 1 AS id FROM firsts"""
+
+SQL["accent_free_words"] = r"""
+SELECT word, strip_accents(word) AS stripped FROM (
+  SELECT DISTINCT unnest(regexp_split_to_array(text, '[\s\p{Z}]+')) AS word FROM documents) WHERE word <> ''"""
+
+# ------------------------------------------------------------- gold passage ---
+
+_GP = r"""
+gpp AS (SELECT p.example_id, p.language, p.language || '-' || CAST(p.example_id AS VARCHAR) AS id,
+          array_to_string(list_slice(string_split(c.txt, ' '), (p.example_id * 5 + 1) % len(string_split(c.txt, ' ')) + 1,
+            least(len(string_split(c.txt, ' ')) - 1,
+                  (p.example_id * 5 + 1) % len(string_split(c.txt, ' ')) + (p.example_id + 1) % 4) + 1), ' ') AS answer
+        FROM qa_pred p JOIN qa_candidates c ON c.doc_id = p.example_id AND c.cand_pos = p.ci
+        WHERE p.s >= 0 AND p.example_id < 10000000)"""
+
+SQL["goldp_scan"] = _with(BASE, _GP) + """
+SELECT id, answer, language, CAST(NULL AS VARCHAR) AS error FROM gpp"""
+
+SQL["goldp_split"] = _with(BASE, _GP) + """
+SELECT CASE WHEN language = 'english' THEN 'english-DO-NOT-AVERAGE' ELSE language END AS lang_label,
+       count(*) AS n_answers FROM gpp GROUP BY 1"""
+
+_GP_SCORES = _GP + r""",
+gq AS (SELECT fa.example_id, fa.language || '-' || CAST(fa.example_id AS VARCHAR) AS id, fa.annotated_idx
+       FROM fa WHERE fa.has_min),
+gans AS (SELECT gq.id, g.ann_pos,
+           array_to_string(list_slice(string_split(c.txt, ' '), (g.example_id * 5 + g.ann_pos) % len(string_split(c.txt, ' ')) + 1,
+             least(len(string_split(c.txt, ' ')) - 1,
+                   (g.example_id * 5 + g.ann_pos) % len(string_split(c.txt, ' ')) + g.example_id % 4) + 1), ' ') AS answer_text
+         FROM gq JOIN qa_gold g ON g.example_id = gq.example_id AND g.ci = gq.annotated_idx AND g.s >= 0
+         JOIN qa_candidates c ON c.doc_id = g.example_id AND c.cand_pos = g.ci),
+norm_g AS (SELECT id, ann_pos, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(answer_text),
+             '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g')), '\s+'), lambda x: x <> '') AS gt
+           FROM gans),
+norm_p AS (SELECT id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(answer),
+             '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g')), '\s+'), lambda x: x <> '') AS pt
+           FROM gpp),
+pair AS (SELECT g.id, g.gt, p.pt,
+           CASE WHEN p.pt IS NULL THEN 0 ELSE coalesce(list_sum(list_transform(list_distinct(p.pt),
+             lambda t: least(len(list_filter(p.pt, lambda x: x = t)), len(list_filter(g.gt, lambda x: x = t))))), 0) END AS same
+         FROM norm_g g LEFT JOIN norm_p p ON p.id = g.id),
+sc AS (SELECT id,
+         max(CASE WHEN pt IS NOT NULL AND array_to_string(pt, ' ') = array_to_string(gt, ' ') THEN 1.0 ELSE 0.0 END)
+           AS exact_match,
+         max(CASE WHEN same = 0 THEN 0.0 ELSE 2 * (same / len(pt)) * (same / len(gt)) / (same / len(pt) + same / len(gt)) END)
+           AS f1
+       FROM pair GROUP BY id)"""
+
+SQL["goldp_exact_f1"] = _with(BASE, _CTX, _GP_SCORES) + """
+SELECT id, round(exact_match, 9) AS exact_match, round(f1, 9) AS f1 FROM sc"""
+
+SQL["goldp_macro"] = _with(BASE, _CTX, _GP_SCORES, """
+pl AS (SELECT string_split(id, '-')[1] AS language, count(*) AS n, 100 * avg(exact_match) AS exact_match,
+              100 * avg(f1) AS f1 FROM sc GROUP BY 1)""") + """
+SELECT language, n, round(exact_match, 9) AS exact_match, round(f1, 9) AS f1 FROM pl
+UNION ALL
+SELECT 'macro', count(*), round(coalesce(avg(exact_match), 0.0), 9), round(coalesce(avg(f1), 0.0), 9)
+FROM pl WHERE language <> 'english'"""
