@@ -55,16 +55,41 @@ def running_sums_desc(df: DataFrame, keys: list[str], order: str, cols: list[str
     )
 
 
-def threshold_points(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
+# Up to this many distinct (group, score) rows, one window task per group is
+# cheaper than the blocked running sum.
+SINGLE_WINDOW_MAX_ROWS = 2_000_000
+
+
+def running_sums_window(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
+    """Same result as ``running_sums_desc`` with one window per group (for
+    inputs whose size has been checked to be small)."""
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    wt = Window.partitionBy(*keys)
+    return df.select(*df.columns, *[F.sum(c).over(w).alias(f"cum_{c}") for c in cols],
+                     *[F.sum(c).over(wt).alias(f"tot_{c}") for c in cols])
+
+
+def threshold_points(stats: DataFrame, keys: list[str] | None = None, materialize: bool = True) -> DataFrame:
     """One row per (keys, distinct score) with precision, recall and f1 of
-    predicting every example scoring at or above the threshold."""
+    predicting every example scoring at or above the threshold.
+
+    The per-score table is checkpointed (lineage cut, reused by every metric
+    computed from the curve); its row count then picks one window per group
+    (small) or the blocked running sum (large). ``materialize=False`` keeps
+    the plan lazy and always uses the blocked form.
+    """
     keys = keys or ["language", "task"]
     pts = stats.groupBy(*keys, "score").agg(
         F.sum("f1").alias("s_f1"),
         F.sum(F.col("has_pred").cast("long")).alias("s_pred"),
         F.sum(F.col("has_gold").cast("long")).alias("s_gold"),
     )
-    cum = running_sums_desc(pts, keys, "score", ["s_f1", "s_pred", "s_gold"])
+    small = False
+    if materialize:
+        pts = pts.checkpoint(eager=True)
+        small = pts.count() <= SINGLE_WINDOW_MAX_ROWS
+    run = running_sums_window if small else running_sums_desc
+    cum = run(pts, keys, "score", ["s_f1", "s_pred", "s_gold"])
     f1sum = F.round("cum_s_f1", SUM_DIGITS)
     return cum.select(
         *keys, "score",

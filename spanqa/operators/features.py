@@ -32,6 +32,18 @@ def to_plaintext_expr(offsets: str, segments: str) -> str:
             f"g -> o >= g.ctx_start AND o < g.ctx_end), g -> g.plain_start + (o - g.ctx_start)), 1), -1L)))")
 
 
+def to_plaintext_guided_expr(offsets: str, segs: str, segments: str) -> str:
+    """F23 with a segment guess per offset (the marker count of its token):
+    one lookup when the guessed segment holds the offset, else the scan of
+    ``to_plaintext_expr`` (markers, or text that looks like a marker)."""
+    g = "try_element_at({seg}, CAST(g + 1 AS INT))".format(seg=segments)
+    scan = (f"coalesce(try_element_at(transform(filter({segments}, x -> o >= x.ctx_start AND o < x.ctx_end), "
+            "x -> x.plain_start + (o - x.ctx_start)), 1), -1L)")
+    return (f"zip_with({offsets}, {segs}, (o, g) -> IF(o < 0, -1L, "
+            f"IF(coalesce(o >= {g}.ctx_start AND o < {g}.ctx_end, false), {g}.plain_start + (o - {g}.ctx_start), "
+            f"{scan})))")
+
+
 def nearest_right(starts: str, ends: str, offset: str) -> str:
     """J9 (scan right): first wordpiece whose byte range reaches ``offset``."""
     return (f"coalesce(array_min(filter(transform({ends}, (e, i) -> IF(e >= {offset}, i, NULL)), "
@@ -73,8 +85,12 @@ def build_features(ex: DataFrame, cls_id: int, sep_id: int, is_training: bool,
     df = ex.withColumn("q", F.expr(f"IF(size(q_ids) > {int(max_question_length)}, "
                                    f"slice(q_ids, -{int(max_question_length)}, {int(max_question_length)}), q_ids)"))
     df = df.withColumn("nq", F.size("q")).withColumn("width", F.lit(L) - F.col("nq") - 3)
-    df = df.withColumn("plain_s", F.expr(to_plaintext_expr("wp_starts", "segments")))
-    df = df.withColumn("plain_e", F.expr(to_plaintext_expr("wp_ends", "segments")))
+    if "wp_segs" in ex.columns:
+        df = df.withColumn("plain_s", F.expr(to_plaintext_guided_expr("wp_starts", "wp_segs", "segments")))
+        df = df.withColumn("plain_e", F.expr(to_plaintext_guided_expr("wp_ends", "wp_segs", "segments")))
+    else:
+        df = df.withColumn("plain_s", F.expr(to_plaintext_expr("wp_starts", "segments")))
+        df = df.withColumn("plain_e", F.expr(to_plaintext_expr("wp_ends", "segments")))
     if is_training:
         df = df.withColumn("ex_error", F.expr(
             f"CASE WHEN NOT {has_wordpiece('wp_starts', 'wp_ends', 'start_byte_offset', 'end_byte_offset')} "
@@ -89,15 +105,16 @@ def build_features(ex: DataFrame, cls_id: int, sep_id: int, is_training: bool,
     f = f.withColumn("ws", F.col("win_s.start")).withColumn("wl", F.col("win_s.length"))
     f = f.withColumn("pad", F.lit(L) - F.col("nq") - 3 - F.col("wl"))
     f = f.withColumn("input_ids", F.expr(
-        f"concat(array({int(cls_id)}L), q, array({int(sep_id)}L), slice(wp_ids, ws + 1, wl), "
-        f"array({int(sep_id)}L), array_repeat(0L, pad))"))
-    f = f.withColumn("input_mask", F.expr("concat(array_repeat(1L, nq + 3 + wl), array_repeat(0L, pad))"))
+        f"CAST(concat(array({int(cls_id)}L), q, array({int(sep_id)}L), slice(wp_ids, ws + 1, wl), "
+        f"array({int(sep_id)}L), array_repeat(0L, pad)) AS ARRAY<INT>)"))
+    f = f.withColumn("input_mask", F.expr("concat(array_repeat(1, nq + 3 + wl), array_repeat(0, pad))"))
     f = f.withColumn("segment_ids", F.expr(
-        "concat(array_repeat(0L, nq + 2), array_repeat(1L, wl + 1), array_repeat(0L, pad))"))
+        "concat(array_repeat(0, nq + 2), array_repeat(1, wl + 1), array_repeat(0, pad))"))
+    # byte offsets fit in 32 bits: a Spark string is smaller than 2 GB
     f = f.withColumn("wp_start_offset", F.expr(
-        "concat(array_repeat(-1L, nq + 2), slice(plain_s, ws + 1, wl), array_repeat(-1L, pad + 1))"))
+        "CAST(concat(array_repeat(-1L, nq + 2), slice(plain_s, ws + 1, wl), array_repeat(-1L, pad + 1)) AS ARRAY<INT>)"))
     f = f.withColumn("wp_end_offset", F.expr(
-        "concat(array_repeat(-1L, nq + 2), slice(plain_e, ws + 1, wl), array_repeat(-1L, pad + 1))"))
+        "CAST(concat(array_repeat(-1L, nq + 2), slice(plain_e, ws + 1, wl), array_repeat(-1L, pad + 1)) AS ARRAY<INT>)"))
     f = f.withColumn("unique_ids", F.try_add(F.col("example_id"), F.col("doc_span_index").cast("bigint")))
     f = f.withColumn("example_index", F.col("example_id"))
     if not is_training:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from spanqa.constants import (CONTINUATION_PREFIX, MAX_INPUT_CHARS_PER_WORD, MAX_POSITION, SPECIAL_TOKEN_PREFIXES,
                               SPECIAL_TOKENS, UNK_TOKEN, UNUSED_TOKEN_PATTERN)
-from spanqa.functions.chars import BAD, NOT_PUNCTUATION, NOT_SPLIT_SPACE, PUNCTUATION, SPLIT_SPACE
+from spanqa.functions.chars import (BAD, CJK, NOT_PUNCTUATION, NOT_SPLIT_SPACE, PUNCTUATION, SPLIT_SPACE,
+                                   WHITESPACE, strip_accents)
 from spanqa.operators.joins import join_dimension
 from spanqa.session import work_path
 
@@ -96,6 +97,12 @@ def basic_split_expr(col: str = "token") -> str:
 
 
 def _vocab_max_piece_chars(vocab: DataFrame) -> int:
+    """Longest vocabulary piece (characters, without the ## prefix) that can
+    match inside a word: words never contain punctuation, so longer pieces
+    with punctuation are left out (single characters always count)."""
+    body = F.when(F.col("token").startswith(CONTINUATION_PREFIX),
+                  F.expr(f"substring(token, {len(CONTINUATION_PREFIX) + 1})")).otherwise(F.col("token"))
+    vocab = vocab.where((F.char_length(body) <= 1) | ~body.rlike(PUNCTUATION))
     row = vocab.agg(F.max(F.when(F.col("token").startswith(CONTINUATION_PREFIX),
                                  F.char_length("token") - len(CONTINUATION_PREFIX))
                           .otherwise(F.char_length("token"))).alias("m")).first()
@@ -122,18 +129,22 @@ def wordpiece_words(words: DataFrame, vocab: DataFrame, max_chars: int = MAX_INP
             .withColumn("piece", F.concat(F.when(F.col("s") > 0, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
                                           F.expr("substring(word, s + 1, e - s)"))))
     hits = join_dimension(subs, vocab.select(F.col("token").alias("piece"), "id"), ["piece"], name="vocab")
-    cands = hits.groupBy("word").agg(F.collect_list(F.struct("s", "e", "id")).alias("cands"))
+    # longest match per (word, start), then one map per word: each walk step is one lookup
+    longest = hits.groupBy("word", "s").agg(F.max(F.struct("e", "id")).alias("b"))
+    nxt = longest.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("s", "b"))).alias("nxt"))
     walk = (
         "aggregate(sequence(1, m), named_struct('pos', 0, 'fail', false, "
         "'out', CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, id: BIGINT>>)), "
         "(acc, step) -> IF(acc.fail OR acc.pos >= m, acc, "
-        "  aggregate(array(array_max(filter(cands, c -> c.s = acc.pos))), acc, (a2, b) -> IF(b IS NULL, "
+        "  aggregate(array(try_element_at(nxt, acc.pos)), acc, (a2, b) -> IF(b IS NULL, "
         "    named_struct('pos', a2.pos, 'fail', true, 'out', a2.out), "
-        "    named_struct('pos', b.e, 'fail', false, 'out', concat(a2.out, array(b)))))))"
+        "    named_struct('pos', b.e, 'fail', false, 'out', concat(a2.out, "
+        "      array(named_struct('s', a2.pos, 'e', b.e, 'id', b.id))))))))"
     )
+    cands = nxt
     unk_id = vocab_id_of(vocab, UNK_TOKEN)
     walked = w.join(cands, "word", "left").withColumn("_w", F.expr(
-        f"IF(cands IS NULL OR m > {int(max_chars)} OR m = 0, NULL, {walk})"))
+        f"IF(nxt IS NULL OR m > {int(max_chars)} OR m = 0, NULL, {walk})"))
     out = walked.withColumn("wps", F.expr(
         f"IF(_w IS NULL OR _w.fail, array(named_struct('id', {unk_id}L, 'nbytes', octet_length(word))), "
         "transform(_w.out, b -> named_struct('id', b.id, 'nbytes', octet_length(substring(word, b.s + 1, b.e - b.s)))))"))
@@ -201,7 +212,8 @@ def token_mismatch(pieces: DataFrame) -> DataFrame:
 
 
 def tokenize_texts(texts: DataFrame, vocab: DataFrame, keys: list[str],
-                   max_chars: int = MAX_INPUT_CHARS_PER_WORD, partition_keys: list[str] | None = None) -> DataFrame:
+                   max_chars: int = MAX_INPUT_CHARS_PER_WORD, partition_keys: list[str] | None = None,
+                   marker_prefix: str | None = None) -> DataFrame:
     """Wordpieces of every text with byte offsets into that text.
 
     texts: (*keys, text). Returns one row per text:
@@ -210,17 +222,77 @@ def tokenize_texts(texts: DataFrame, vocab: DataFrame, keys: list[str],
     of (bytes + 1) over the tokens of the text (W5); the window and the
     per-text collection share one hash partitioning on ``partition_keys``
     (default ``keys``; a prefix such as the example id lets a later group-by
-    on it reuse the same partitioning).
+    on it reuse the same partitioning). With ``marker_prefix`` the same
+    window also counts marker tokens, and ``wp_segs`` gives every wordpiece
+    the number of markers up to its token minus one (a segment guess).
     """
     toks = text_tokens(texts, keys).repartition(*(partition_keys or keys))
     pieces = token_pieces(toks, vocab, max_chars)
     w = Window.partitionBy(*keys).orderBy("tok_pos").rowsBetween(Window.unboundedPreceding, -1)
     toks = toks.withColumn("tok_start", F.coalesce(F.sum(F.col("tok_bytes") + 1).over(w), F.lit(0)))
-    j = join_dimension(toks.select(*keys, "tok_pos", "tok_start", "token"), pieces, ["token"], name="token-pieces")
-    per = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tok_pos", "tok_start", "pieces"))).alias("t"))
+    if marker_prefix:
+        wc = Window.partitionBy(*keys).orderBy("tok_pos").rowsBetween(Window.unboundedPreceding, 0)
+        toks = toks.withColumn("seg", F.sum(F.col("token").startswith(marker_prefix).cast("int")).over(wc) - 1)
+    else:
+        toks = toks.withColumn("seg", F.lit(-1))
+    j = join_dimension(toks.select(*keys, "tok_pos", "tok_start", "seg", "token"), pieces, ["token"],
+                       name="token-pieces")
+    per = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tok_pos", "tok_start", "seg", "pieces")))
+                               .alias("t"))
     wps = F.flatten(F.transform("t", lambda t: F.transform(t["pieces"], lambda p: F.struct(
         p["id"].alias("id"), (t["tok_start"] + p["rel_start"]).alias("s"),
-        (t["tok_start"] + p["rel_start"] + p["nbytes"] - 1).alias("e")))))
+        (t["tok_start"] + p["rel_start"] + p["nbytes"] - 1).alias("e"), t["seg"].alias("g")))))
     per = per.select(*keys, wps.alias("w"))
-    return per.select(*keys, F.col("w.id").alias("wp_ids"), F.col("w.s").cast("array<bigint>").alias("wp_starts"),
-                      F.col("w.e").cast("array<bigint>").alias("wp_ends"))
+    out = per.select(*keys, F.col("w.id").alias("wp_ids"), F.col("w.s").cast("array<bigint>").alias("wp_starts"),
+                     F.col("w.e").cast("array<bigint>").alias("wp_ends"), F.col("w.g").alias("wp_segs"))
+    return out if marker_prefix else out.drop("wp_segs")
+
+
+# ------------------------------------------------- destructive tokenizer ---
+
+def destructive_clean_split(col: str = "text"):
+    """X14 steps 1-3 as one Column: drop NUL, U+FFFD and control characters,
+    turn whitespace into spaces, pad CJK ideographs with spaces, split on
+    whitespace (no empty tokens)."""
+    t = F.regexp_replace(F.col(col), BAD, "")
+    t = F.regexp_replace(t, WHITESPACE, " ")
+    t = F.regexp_replace(t, f"({CJK})", " $1 ")
+    return F.filter(F.split(t, r"[ \x{2028}\x{2029}]+"), lambda x: x != "")
+
+
+def destructive_word_tokens(words: DataFrame, lower: bool = True, vocab: DataFrame | None = None,
+                            preserve_unused: bool = False) -> DataFrame:
+    """X14 per distinct whitespace token (``word``): optional lower-casing and
+    accent stripping, then punctuation split. With ``preserve_unused`` a token
+    like ``[unused7]`` that is in the vocabulary is kept whole (P18).
+    Returns (word, tokens array<string>)."""
+    w = words.select("word")
+    t = F.col("word")
+    if lower:
+        t = strip_accents(F.lower(t))
+    out = w.withColumn("norm", t).withColumn(
+        "tokens", F.filter(F.expr(f"regexp_extract_all(norm, r'({PUNCTUATION}|{NOT_PUNCTUATION}+)', 1)"),
+                           lambda x: x != ""))
+    if preserve_unused and vocab is not None:
+        keep = vocab.select(F.col("token").alias("word"), F.lit(True).alias("_in"))
+        out = join_dimension(out, keep, ["word"], name="vocab-words", how="left")
+        out = out.withColumn("tokens", F.when(F.col("_in").isNotNull() & F.col("word").rlike(UNUSED_TOKEN_PATTERN),
+                                              F.array("word")).otherwise(F.col("tokens"))).drop("_in")
+    return out.select("word", "tokens")
+
+
+def full_tokenize(texts: DataFrame, vocab: DataFrame, keys: list[str], lower: bool = True,
+                  preserve_unused: bool = False) -> DataFrame:
+    """Destructive basic tokenizer then wordpieces, as vocabulary ids
+    per text (*keys, ids array<bigint>), computed on distinct words only."""
+    toks = texts.select(*keys, F.posexplode(destructive_clean_split("text")).alias("w_pos", "word"))
+    dw = destructive_word_tokens(toks.select("word").distinct(), lower, vocab, preserve_unused)
+    sub = dw.select("word", F.posexplode("tokens").alias("t_pos", "piece"))
+    wp = wordpiece_words(sub.select(F.col("piece").alias("word")).distinct(), vocab)
+    per_word = (sub.join(wp.withColumnRenamed("word", "piece"), "piece", "left")
+                .groupBy("word").agg(F.sort_array(F.collect_list(F.struct("t_pos", "wps"))).alias("p"))
+                .select("word", F.flatten(F.transform("p", lambda x: F.transform(x["wps"], lambda y: y["id"])))
+                        .alias("ids")))
+    j = join_dimension(toks, per_word, ["word"], name="word-ids")
+    per = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("w_pos", "ids"))).alias("p"))
+    return per.select(*keys, F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))

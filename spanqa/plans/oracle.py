@@ -590,3 +590,12 @@ SELECT language, n, round(exact_match, 9) AS exact_match, round(f1, 9) AS f1 FRO
 UNION ALL
 SELECT 'macro', count(*), round(coalesce(avg(exact_match), 0.0), 9), round(coalesce(avg(f1), 0.0), 9)
 FROM pl WHERE language <> 'english'"""
+
+SQL["basic_tokens_destructive"] = r"""
+WITH c AS (SELECT regexp_replace(regexp_replace(regexp_replace(text,
+             '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\p{Cf}\x{FFFD}]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g'),
+             '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}])', ' \\1 ', 'g') AS t FROM documents),
+w AS (SELECT DISTINCT unnest(regexp_split_to_array(t, '[ \x{2028}\x{2029}]+')) AS word FROM c)
+SELECT word, array_to_string(list_filter(regexp_extract_all(strip_accents(lower(word)),
+         '([!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}]+)', 1), lambda x: x <> ''), ' ') AS tokens
+FROM w WHERE word <> ''"""

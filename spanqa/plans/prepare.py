@@ -34,11 +34,12 @@ def example_arrays(good: DataFrame, vocab: DataFrame, is_training: bool) -> Data
     texts = good.select("example_id", F.lit("q").alias("kind"),
                         F.concat(F.lit(QUESTION_MARKER + " "), F.col("question_text")).alias("text")).unionByName(
         good.select("example_id", F.lit("c").alias("kind"), F.col("contexts").alias("text")))
-    tok = tokenize.tokenize_texts(texts, vocab, ["example_id", "kind"], partition_keys=["example_id"])
+    tok = tokenize.tokenize_texts(texts, vocab, ["example_id", "kind"], partition_keys=["example_id"],
+                                  marker_prefix="[ContextId=")
     per = tok.groupBy("example_id").agg(
         F.max(F.when(F.col("kind") == "q", F.col("wp_ids"))).alias("q_ids"),
-        F.max(F.when(F.col("kind") == "c", F.struct("wp_ids", "wp_starts", "wp_ends"))).alias("c"))
-    per = per.select("example_id", "q_ids", "c.wp_ids", "c.wp_starts", "c.wp_ends")
+        F.max(F.when(F.col("kind") == "c", F.struct("wp_ids", "wp_starts", "wp_ends", "wp_segs"))).alias("c"))
+    per = per.select("example_id", "q_ids", "c.wp_ids", "c.wp_starts", "c.wp_ends", "c.wp_segs")
     lay = good.select("example_id", language_id_strict("language").alias("language_id"), "segments",
                       *(["answer_type", "start_byte_offset", "end_byte_offset"] if is_training else []))
     return per.join(lay, "example_id")
@@ -47,7 +48,11 @@ def example_arrays(good: DataFrame, vocab: DataFrame, is_training: bool) -> Data
 def prepare(raw: DataFrame, vocab: DataFrame, is_training: bool, max_passages: int = MAX_PASSAGES,
             max_position: int = MAX_POSITION, max_seq_length: int = MAX_SEQ_LENGTH, doc_stride: int = DOC_STRIDE,
             max_question_length: int = MAX_QUESTION_LENGTH, include_unknowns: float = INCLUDE_UNKNOWNS,
-            seed: int = 0) -> Prepared:
+            seed: int = 0, max_examples: int = 0) -> Prepared:
+    """``max_examples`` > 0 keeps the first that many articles in example id
+    order (T4)."""
+    if max_examples > 0:
+        raw = raw.orderBy("example_id").limit(int(max_examples))
     entries, _ = landed(entry.build_entries(raw, max_passages, max_position), "entries")
     good = entries.where("reject_reason IS NULL")
     if is_training:

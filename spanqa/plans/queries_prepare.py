@@ -258,6 +258,31 @@ def q_wordpieces(spark, sf_dir):
                                                               lambda x: x["piece"]), " ").alias("pieces"))
 
 
+@query
+def q_basic_tokens_destructive(spark, sf_dir):
+    """Destructive basic tokenizer (clean, CJK padding,
+    whitespace split, lower case, accents stripped, punctuation split) over
+    every distinct whitespace token of the documents."""
+    d = _docs(spark, sf_dir)
+    words = d.select(F.explode(tokenize.destructive_clean_split("text")).alias("word")).distinct()
+    dw = tokenize.destructive_word_tokens(words, lower=True, vocab=vocab(spark, sf_dir), preserve_unused=True)
+    return dw.select("word", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def q_full_tokenizer(spark, sf_dir):
+    """Destructive tokenizer + wordpieces as ids for every document;
+    ids mapped back to tokens (both directions of the vocabulary)."""
+    d = _docs(spark, sf_dir)
+    v = vocab(spark, sf_dir)
+    ft = tokenize.full_tokenize(d.select("doc_id", "text"), v, ["doc_id"])
+    back = ft.select("doc_id", F.posexplode("ids").alias("k", "id"))
+    named = tokenize.join_dimension(back, v.select("id", "token"), ["id"], name="inv-vocab2", how="left")
+    return named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"),
+                                       F.count_if(F.col("token").isNull()).alias("n_unknown_ids"),
+                                       F.sum(F.char_length("token")).alias("piece_chars"))
+
+
 @query
 def q_tokens_with_offsets(spark, sf_dir):
     """Wordpieces of every entry's contexts with byte

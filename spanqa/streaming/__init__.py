@@ -1,0 +1,3 @@
+"""The reference has no streaming operator (no watermark, window, session or
+state); its generators are lazy batch iteration. Nothing is built here; the
+batch jobs in ``spanqa.plans`` read any file set Spark can list."""
