@@ -613,3 +613,33 @@ SQL["offset_mismatch"] = """
 SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_mismatched,
        CAST(0 AS BIGINT) AS mismatch_bytes
 FROM documents"""
+
+SQL["max_examples"] = """
+SELECT count(*) AS n_entries, min(doc_id) AS first_id, max(doc_id) AS last_id
+FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100)"""
+
+_VOCAB_CTE = SQL["vocab_ids"].strip()[len("WITH "):].rsplit("SELECT token, row_number()", 1)[0].rstrip() + \
+    ",\nvocab AS (SELECT token, row_number() OVER (ORDER BY fl) - 1 AS id FROM firsts)"
+
+SQL["wordpieces"] = "WITH RECURSIVE " + _VOCAB_CTE + rf""",
+toks AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents),
+segs AS (SELECT token, regexp_extract_all(token, '([\t\n\r\p{{Z}}]|[^\t\n\r\p{{Z}}]+)', 1) AS sg FROM toks),
+words AS (SELECT DISTINCT unnest(flatten(list_transform(sg, lambda s: regexp_extract_all(
+            regexp_replace(s, '{_BAD_RE2}', '', 'g'), '({_PU_RE2}|{_NPU_RE2}+)', 1)))) AS word FROM segs),
+body AS (SELECT CASE WHEN starts_with(token, '##') THEN substring(token, 3) ELSE token END AS b FROM vocab),
+ml AS (SELECT max(length(b)) AS maxlen FROM body WHERE length(b) <= 1 OR NOT regexp_matches(b, '{_PU_RE2}')),
+wm AS (SELECT word, length(word) AS m FROM words WHERE length(word) BETWEEN 1 AND 200),
+st AS (SELECT word, m, unnest(range(m)) AS s FROM wm),
+se AS (SELECT word, m, s, unnest(range(s + 1, least(m, s + (SELECT maxlen FROM ml)) + 1)) AS e FROM st),
+longest AS (SELECT se.word, se.s, max(se.e) AS e FROM se JOIN vocab v
+              ON v.token = CASE WHEN se.s > 0 THEN '##' ELSE '' END || substring(se.word, se.s + 1, se.e - se.s)
+            GROUP BY se.word, se.s),
+walk(word, m, pos, out) AS (
+  SELECT word, m, 0, '' FROM wm
+  UNION ALL
+  SELECT w.word, w.m, l.e, w.out || CASE WHEN w.pos = 0 THEN '' ELSE ' ' END
+         || CASE WHEN w.pos > 0 THEN '##' ELSE '' END || substring(w.word, w.pos + 1, l.e - w.pos)
+  FROM walk w JOIN longest l ON l.word = w.word AND l.s = w.pos WHERE w.pos < w.m),
+done AS (SELECT word, out FROM walk WHERE pos = m)
+SELECT w.word, coalesce(d.out, '[UNK]') AS pieces
+FROM words w LEFT JOIN done d ON d.word = w.word WHERE w.word <> ''"""

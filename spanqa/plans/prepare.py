@@ -45,14 +45,18 @@ def example_arrays(good: DataFrame, vocab: DataFrame, is_training: bool) -> Data
     return per.join(lay, "example_id")
 
 
+def limit_examples(raw: DataFrame, max_examples: int) -> DataFrame:
+    """T4: the first ``max_examples`` articles in example id order (all when 0)."""
+    return raw.orderBy("example_id").limit(int(max_examples)) if max_examples > 0 else raw
+
+
 def prepare(raw: DataFrame, vocab: DataFrame, is_training: bool, max_passages: int = MAX_PASSAGES,
             max_position: int = MAX_POSITION, max_seq_length: int = MAX_SEQ_LENGTH, doc_stride: int = DOC_STRIDE,
             max_question_length: int = MAX_QUESTION_LENGTH, include_unknowns: float = INCLUDE_UNKNOWNS,
             seed: int = 0, max_examples: int = 0) -> Prepared:
     """``max_examples`` > 0 keeps the first that many articles in example id
     order (T4)."""
-    if max_examples > 0:
-        raw = raw.orderBy("example_id").limit(int(max_examples))
+    raw = limit_examples(raw, max_examples)
     entries, _ = landed(entry.build_entries(raw, max_passages, max_position), "entries")
     good = entries.where("reject_reason IS NULL")
     if is_training:

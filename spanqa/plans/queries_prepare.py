@@ -134,6 +134,15 @@ def q_entry_rejects(spark, sf_dir):
         F.count(F.lit(1)).alias("n_examples"))
 
 
+@query
+def q_max_examples(spark, sf_dir):
+    """T4: the first 100 articles in id order (the preparation limit),
+    turned into entries."""
+    e = entry.build_entries(P.limit_examples(raw_examples(spark, sf_dir), 100))
+    return e.agg(F.count(F.lit(1)).alias("n_entries"), F.min("example_id").alias("first_id"),
+                 F.max("example_id").alias("last_id"))
+
+
 @query
 def q_first_annotation(spark, sf_dir):
     """The annotation chosen for training and its local span."""
@@ -424,9 +433,11 @@ def q_shards(spark, sf_dir):
     """Examples in id order cut into shards of 64, batches of 16
     (a short last batch dropped), counted per shard."""
     raw = raw_examples(spark, sf_dir).select("example_id")
-    idx = readers.dense_index(raw, "example_id", "pos")
-    s = idx.select("example_id", (F.col("pos") / 64).cast("long").alias("shard"),
-                   (F.col("pos") / 16).cast("long").alias("batch"))
+    path = work_path(spark, "shards")
+    readers.write_shards(raw, path, "example_id", 64)
+    back = spark.read.parquet(path)
+    idx = readers.dense_index(back.select("example_id", "shard"), "example_id", "pos")
+    s = idx.select("example_id", "shard", (F.col("pos") / 16).cast("long").alias("batch"))
     full = s.groupBy("batch").agg(F.count(F.lit(1)).alias("bn")).where("bn = 16")
     kept = s.join(full, "batch", "left_semi")
     return kept.groupBy("shard").agg(F.count(F.lit(1)).alias("n_examples"),

@@ -164,3 +164,11 @@ def land_parquet(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_shards(df: DataFrame, path: str, order_col: str, shard_size: int) -> None:
+    """K4: rows in ``order_col`` order cut into shards of at most
+    ``shard_size`` rows, one folder per shard (empty shards cannot occur)."""
+    idx = dense_index(df, order_col, "_pos")
+    idx.withColumn("shard", (F.col("_pos") / shard_size).cast("long")).drop("_pos").write.mode(
+        "overwrite").partitionBy("shard").parquet(path)
