@@ -643,3 +643,73 @@ walk(word, m, pos, out) AS (
 done AS (SELECT word, out FROM walk WHERE pos = m)
 SELECT w.word, coalesce(d.out, '[UNK]') AS pieces
 FROM words w LEFT JOIN done d ON d.word = w.word WHERE w.word <> ''"""
+
+_WALK = SQL["wordpieces"][len("WITH RECURSIVE "):].rsplit("SELECT w.word, coalesce(d.out, '[UNK]') AS pieces", 1)[0]
+
+SQL["tokens_with_offsets"] = "WITH RECURSIVE " + BASE.strip() + "," + _CTX.rstrip() + """,
+ctx AS (SELECT doc_id, string_agg(marker || ' ' || txt, ' ' ORDER BY cand_pos) AS contexts FROM kc GROUP BY doc_id),
+""" + _WALK.strip().rstrip(",").replace(
+    "toks AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents),",
+    "toks AS (SELECT DISTINCT unnest(string_split(contexts, ' ')) AS token FROM ctx),") + rf""",
+ct AS (SELECT doc_id, string_split(contexts, ' ') AS tl FROM ctx),
+ti AS (SELECT doc_id, tl, unnest(range(len(tl))) AS i FROM ct),
+tt AS (SELECT doc_id, i, tl[i + 1] AS token,
+         coalesce(sum(strlen(tl[i + 1]) + 1) OVER (PARTITION BY doc_id ORDER BY i
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tok_start FROM ti),
+unk AS (SELECT id FROM vocab WHERE token = '[UNK]'),
+spec AS (SELECT tt.doc_id, tt.i, 0 AS j, 0 AS k, v.id, strlen(tt.token) AS nb, tt.tok_start FROM tt
+         JOIN vocab v ON v.token = tt.token
+         WHERE tt.token IN ('[CLS]', '[SEP]', '[PAD]', '[Q]', '[YES]', '[NO]', '[NoLongAnswer]', '[NoShortAnswer]',
+                            '[SA]', '[/SA]', '[UNK]', '[MASK]')
+            OR starts_with(tt.token, '[Paragraph=') OR starts_with(tt.token, '[ContextId=')),
+plain AS (SELECT * FROM tt WHERE NOT (token IN ('[CLS]', '[SEP]', '[PAD]', '[Q]', '[YES]', '[NO]', '[NoLongAnswer]',
+            '[NoShortAnswer]', '[SA]', '[/SA]', '[UNK]', '[MASK]')
+            OR starts_with(token, '[Paragraph=') OR starts_with(token, '[ContextId='))),
+tsub AS (SELECT token, flatten(list_transform(
+           regexp_extract_all(token, '([\t\n\r\p{{Z}}]|[^\t\n\r\p{{Z}}]+)', 1),
+           lambda s: list_concat(
+             list_transform(regexp_extract_all(s, '({_BAD_RE2})', 1), lambda b: {{'p': b, 'good': false}}),
+             list_transform(regexp_extract_all(regexp_replace(s, '{_BAD_RE2}', '', 'g'), '({_PU_RE2}|{_NPU_RE2}+)', 1),
+                            lambda x: {{'p': x, 'good': true}})))) AS subs
+         FROM (SELECT DISTINCT token FROM plain)),
+ts AS (SELECT token, subs, unnest(range(len(subs))) AS j FROM tsub),
+ts2 AS (SELECT token, j, subs[j + 1].p AS p, subs[j + 1].good AS good FROM ts),
+wres AS (SELECT w.word, coalesce(d.out, '[UNK]') AS out FROM words w LEFT JOIN done d ON d.word = w.word),
+gp AS (SELECT ts2.token, ts2.j, string_split(wres.out, ' ') AS pl, ts2.p FROM ts2 JOIN wres ON wres.word = ts2.p
+       WHERE ts2.good),
+gp2 AS (SELECT token, j, p, pl, unnest(range(len(pl))) AS k FROM gp),
+gp3 AS (SELECT token, j, k, pl[k + 1] AS piece, p FROM gp2),
+pieces AS (
+  SELECT gp3.token, gp3.j, gp3.k, v.id,
+         CASE WHEN gp3.piece = '[UNK]' THEN strlen(gp3.p)
+              ELSE strlen(CASE WHEN starts_with(gp3.piece, '##') THEN substring(gp3.piece, 3) ELSE gp3.piece END)
+         END AS nb
+  FROM gp3 JOIN vocab v ON v.token = gp3.piece
+  UNION ALL
+  SELECT ts2.token, ts2.j, 0, coalesce(v.id, (SELECT id FROM unk)), strlen(ts2.p)
+  FROM ts2 LEFT JOIN vocab v ON v.token = ts2.p WHERE NOT ts2.good),
+allp AS (SELECT plain.doc_id, plain.i, pieces.j, pieces.k, pieces.id, pieces.nb, plain.tok_start
+         FROM plain JOIN pieces ON pieces.token = plain.token
+         UNION ALL SELECT doc_id, i, j, k, id, nb, tok_start FROM spec),
+offs AS (SELECT doc_id, id, nb, tok_start + coalesce(sum(nb) OVER (PARTITION BY doc_id, i ORDER BY j, k
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM allp)
+SELECT doc_id AS example_id, CAST(count(*) AS INTEGER) AS n_wordpieces, CAST(sum(id) AS BIGINT) AS id_sum,
+       CAST(sum(st) AS BIGINT) AS start_sum, bool_or(st + nb - 1 < st) AS any_inverted
+FROM offs GROUP BY doc_id"""
+
+_TOK_CTES = SQL["tokens_with_offsets"].rsplit("SELECT doc_id AS example_id, CAST(count(*) AS INTEGER)", 1)[0]
+
+SQL["nearest_wordpiece"] = _TOK_CTES.replace(
+    "offs AS (SELECT doc_id, id, nb, tok_start", "offs AS (SELECT doc_id, i, j, k, id, nb, tok_start").rstrip() + """,
+ix AS (SELECT doc_id, st, st + nb - 1 AS en, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS wi
+       FROM offs),
+tgt AS (SELECT example_id, CASE WHEN annotated_idx < 0 THEN 0 WHEN has_min THEN gs - cs + ts ELSE ts END AS sb,
+               CASE WHEN annotated_idx < 0 THEN 1 WHEN has_min THEN ge - cs + ts ELSE ts + cl END AS eb FROM ans)
+SELECT tgt.example_id,
+       (tgt.sb < tgt.eb AND EXISTS (SELECT 1 FROM ix WHERE ix.doc_id = tgt.example_id AND ix.st <= tgt.eb - 1
+                                    AND ix.en >= tgt.sb)) AS has_wordpiece,
+       CAST(coalesce((SELECT min(wi) FROM ix WHERE ix.doc_id = tgt.example_id AND ix.en >= tgt.sb), -1) AS INTEGER)
+         AS wp_start,
+       CAST(coalesce((SELECT max(wi) FROM ix WHERE ix.doc_id = tgt.example_id AND ix.st <= tgt.eb - 1
+                      AND tgt.eb - 1 >= 0), -1) AS INTEGER) AS wp_end
+FROM tgt"""
