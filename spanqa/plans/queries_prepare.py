@@ -550,7 +550,7 @@ def _goldp_inputs(spark, sf_dir):
     has a minimal answer, one question over the annotated paragraph with the
     minimal-answer texts of all annotators on it; predictions = the derived
     predicted span text. Both written as JSON in the SQuAD / id-map shapes,
-    several files each."""
+    one file per 100 consecutive ids (bounded groups)."""
     def build():
         raw = raw_examples(spark, sf_dir)
         fa = entry.first_annotation(raw).where("chosen.has_min")
@@ -570,7 +570,8 @@ def _goldp_inputs(spark, sf_dir):
             F.char_length(F.make_valid_utf8(F.substring(F.encode("document_plaintext", "UTF-8"), F.col("cs") + 1,
                                                         a["minimal_answer"]["plaintext_start_byte"] - F.col("cs"))
                                             .cast("string"))).cast("bigint").alias("answer_start")))
-        qs = q.select((F.col("example_id") % 4).alias("bucket"), "document_title", "context", F.struct(
+        # one SQuAD file per 100 consecutive ids: every group holds at most 100 questions
+        qs = q.select(F.floor(F.col("example_id") / 100).alias("bucket"), "document_title", "context", F.struct(
             F.concat("language", F.lit("-"), F.col("example_id").cast("string")).alias("id"),
             F.col("question_text").alias("question"), ans.alias("answers")).alias("qa"))
         squad = qs.groupBy("bucket").agg(F.collect_list(F.struct(
@@ -582,7 +583,7 @@ def _goldp_inputs(spark, sf_dir):
         preds = readers.normalize_predictions(derived.with_scan_ordinal(derived.predictions(_docs(spark, sf_dir))))
         texts = raw.select("example_id", "document_plaintext")
         pj = preds.where("minimal_start_byte >= 0").join(texts, "example_id").select(
-            (F.col("example_id") % 4).alias("bucket"),
+            F.floor(F.col("example_id") / 100).alias("bucket"),
             F.concat("language", F.lit("-"), F.col("example_id").cast("string")).alias("id"),
             F.make_valid_utf8(F.substring(F.encode("document_plaintext", "UTF-8"), F.col("minimal_start_byte") + 1,
                                           F.col("minimal_end_byte") - F.col("minimal_start_byte"))
