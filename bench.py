@@ -18,8 +18,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from spanqa.constants import LANGUAGES  # noqa: E402
 from spanqa.operators import goldp, model, tokenize  # noqa: E402
 from spanqa.plans import evaluate as E  # noqa: E402

@@ -343,5 +343,6 @@ def q_scored_samples(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-language best-threshold metrics with the macro average row."""
+    """Flagship: best-threshold f1 / precision / recall / threshold per evaluated
+    language and task (the evaluation job on the derived QA inputs)."""
     return q_best_threshold(spark, sf_dir)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from spanqa.constants import GOLDP_LANGUAGES, MAX_OVERSAMPLE_RATIO
 from spanqa.functions import chars as C
-from spanqa.functions.lang import language_id
 from spanqa.operators import alignment, assemble, entry, features, goldp, model, tokenize
 from spanqa.operators.joins import landed
 from spanqa.plans import predict as PR
@@ -204,8 +203,9 @@ def q_char_classes(spark, sf_dir):
 
 @query
 def q_text_repair(spark, sf_dir):
-    """Slices of every document cut at a byte that may fall inside
-    a character; validity check and replacement decoding."""
+    """For every document longer than 7 bytes, the slice from byte
+    1 to its length - 2 (which may cut characters): validity check and
+    replacement decoding."""
     d = _docs(spark, sf_dir).where("octet_length(text) > 7")
     b = F.encode("text", "UTF-8")
     raw = F.substring(b, 2, F.octet_length("text") - 3).cast("string")
@@ -430,8 +430,9 @@ def q_shuffled(spark, sf_dir):
 
 @query
 def q_shards(spark, sf_dir):
-    """Examples in id order cut into shards of 64, batches of 16
-    (a short last batch dropped), counted per shard."""
+    """Examples in id order written as shards of 64 (one folder per
+    shard), read back, cut into batches of 16 (a short last batch dropped),
+    counted per shard."""
     raw = raw_examples(spark, sf_dir).select("example_id")
     path = work_path(spark, "shards")
     readers.write_shards(raw, path, "example_id", 64)
@@ -531,8 +532,9 @@ def _candidates_file(spark, sf_dir) -> str:
 
 @query
 def q_passage_of_span(spark, sf_dir):
-    """First candidate containing each document's second-paragraph span;
-    0 when no candidate contains it."""
+    """For a 3-byte span at the start of each document's second paragraph
+    (the first when there is only one), the first candidate containing it;
+    0 when none does."""
     raw = raw_examples(spark, sf_dir)
     s = raw.select("example_id", "passage_answer_candidates",
                    F.coalesce(F.col("passage_answer_candidates")[F.least(F.size("passage_answer_candidates") - 1,
