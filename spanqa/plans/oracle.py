@@ -713,3 +713,105 @@ SELECT tgt.example_id,
        CAST(coalesce((SELECT max(wi) FROM ix WHERE ix.doc_id = tgt.example_id AND ix.st <= tgt.eb - 1
                       AND tgt.eb - 1 >= 0), -1) AS INTEGER) AS wp_end
 FROM tgt"""
+
+# contexts (key 2 * doc_id) and questions "[Q] " + first paragraph (key 2 * doc_id + 1) through the same
+# SQL tokenizer; windows counted from the closed form of the window loop
+_QTOK = _TOK_CTES.replace(
+    "ctx AS (SELECT doc_id, string_agg(marker || ' ' || txt, ' ' ORDER BY cand_pos) AS contexts FROM kc GROUP BY doc_id),",
+    "ctx0 AS (SELECT doc_id, string_agg(marker || ' ' || txt, ' ' ORDER BY cand_pos) AS contexts FROM kc "
+    "GROUP BY doc_id),\nctx AS (SELECT doc_id * 2 AS doc_id, contexts FROM ctx0 "
+    "UNION ALL SELECT doc_id * 2 + 1, '[Q] ' || paras[1] FROM d),")
+assert _QTOK != _TOK_CTES
+
+SQL["feature_histogram"] = _QTOK.rstrip() + """,
+cnt AS (SELECT doc_id // 2 AS ex, count(*) FILTER (WHERE doc_id % 2 = 0) AS n,
+               least(64, count(*) FILTER (WHERE doc_id % 2 = 1)) AS nq FROM offs GROUP BY doc_id // 2),
+nw AS (SELECT ex, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((n - (509 - nq)) / least(509 - nq, 128)) AS BIGINT))
+              END AS k FROM cnt)
+SELECT k AS n_features, count(*) AS n_examples FROM nw GROUP BY k"""
+
+SQL["features"] = _QTOK.replace(
+    "offs AS (SELECT doc_id, id, nb, tok_start", "offs AS (SELECT doc_id, i, j, k, id, nb, tok_start").rstrip() + """,
+ids2(language, language_id) AS (VALUES ('arabic', 0), ('bengali', 1), ('finnish', 2), ('indonesian', 3),
+   ('japanese', 4), ('swahili', 5), ('korean', 6), ('russian', 7), ('telugu', 8), ('thai', 9), ('english', 10)),
+op AS (SELECT doc_id // 2 AS ex, doc_id % 2 AS kind, id, st,
+              row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS wi,
+              count(*) OVER (PARTITION BY doc_id) AS cnt FROM offs),
+qsum AS (SELECT ex, least(64, max(cnt)) AS nq, sum(id) FILTER (WHERE wi >= cnt - 64) AS qids
+         FROM op WHERE kind = 1 GROUP BY ex),
+dp AS (SELECT op.ex, op.wi, op.id,
+              EXISTS (SELECT 1 FROM seg WHERE seg.doc_id = op.ex AND op.st >= seg.ctx_start AND op.st < seg.ctx_end)
+                AS mapped
+       FROM op WHERE kind = 0),
+dn AS (SELECT ex, count(*) AS n FROM dp GROUP BY ex),
+wpar AS (SELECT q.ex, q.nq, q.qids, coalesce(dn.n, 0) AS n, 509 - q.nq AS w, least(509 - q.nq, 128) AS step
+         FROM qsum q LEFT JOIN dn ON dn.ex = q.ex),
+wk AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((n - w) / step) AS BIGINT)) END AS kk FROM wpar),
+win AS (SELECT ex, nq, qids, n, w, step, unnest(range(kk)) AS kw FROM wk WHERE kk > 0),
+win2 AS (SELECT *, kw * step AS ws, least(n - kw * step, w) AS wl FROM win),
+agg AS (SELECT win2.ex, win2.kw, win2.nq, win2.qids, win2.wl,
+               coalesce(sum(dp.id), 0) AS dsum, count(dp.id) FILTER (WHERE dp.mapped) AS nm
+        FROM win2 LEFT JOIN dp ON dp.ex = win2.ex AND dp.wi >= win2.ws AND dp.wi < win2.ws + win2.wl
+        GROUP BY win2.ex, win2.kw, win2.nq, win2.qids, win2.wl)
+SELECT agg.ex + agg.kw AS unique_ids, agg.ex AS example_index, CAST(agg.kw AS INTEGER) AS doc_span_index,
+       CAST(ids2.language_id AS INTEGER) AS language_id,
+       CAST((SELECT id FROM vocab WHERE token = '[CLS]') + agg.qids + 2 * (SELECT id FROM vocab WHERE token = '[SEP]')
+            + agg.dsum AS BIGINT) AS id_sum,
+       CAST(agg.nq + 3 + agg.wl AS BIGINT) AS n_real, CAST(agg.wl + 1 AS BIGINT) AS n_doc,
+       CAST(agg.nm AS INTEGER) AS n_mapped
+FROM agg JOIN d ON d.doc_id = agg.ex JOIN ids2 ON ids2.language = d.language"""
+
+_WINDOWS = SQL["features"].rsplit("agg AS (SELECT win2.ex", 1)[0].rstrip().rstrip(",")
+
+SQL["score_batches"] = _WINDOWS + """
+SELECT ex AS example_index, CAST(kw AS INTEGER) AS doc_span_index,
+       ((ex * 1000 + kw) * 31 + 7) % 97 / 8.0::DOUBLE AS start_1,
+       ((ex * 1000 + kw) * 17 + 11) % 89 / 8.0::DOUBLE AS end_1,
+       ((ex * 1000 + kw) + 4) % 5 / 8.0::DOUBLE AS type_4
+FROM win2"""
+
+SQL["nbest"] = _WINDOWS + """,
+pos AS (SELECT ex, kw, ex * 1000 + kw AS u, unnest(range(1, 512)) AS i FROM win2),
+sr AS (SELECT ex, kw, i, row_number() OVER (PARTITION BY ex, kw ORDER BY (u * 31 + i * 7) % 97 DESC, i) AS r
+       FROM pos),
+er AS (SELECT ex, kw, i, row_number() OVER (PARTITION BY ex, kw ORDER BY (u * 17 + i * 11) % 89 DESC, i) AS r
+       FROM pos),
+sa AS (SELECT ex, kw, string_agg(CAST(i AS VARCHAR), ',' ORDER BY r) AS start_indexes FROM sr WHERE r <= 30
+       GROUP BY ex, kw),
+ea AS (SELECT ex, kw, string_agg(CAST(i AS VARCHAR), ',' ORDER BY r) AS end_indexes FROM er WHERE r <= 30
+       GROUP BY ex, kw)
+SELECT sa.ex AS example_index, CAST(sa.kw AS INTEGER) AS doc_span_index, sa.start_indexes, ea.end_indexes
+FROM sa JOIN ea ON ea.ex = sa.ex AND ea.kw = sa.kw"""
+
+_SPANS = SQL["nbest"].rsplit("sa AS (SELECT ex, kw, string_agg", 1)[0].rstrip().rstrip(",") + """,
+op3 AS (SELECT doc_id // 2 AS ex, st, st + nb - 1 AS en,
+               row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS wi FROM offs WHERE doc_id % 2 = 0),
+dm AS (SELECT op3.ex, op3.wi,
+         (SELECT g.plain_start + op3.st - g.ctx_start FROM seg g WHERE g.doc_id = op3.ex AND op3.st >= g.ctx_start
+            AND op3.st < g.ctx_end) AS ps,
+         (SELECT g.plain_start + op3.en - g.ctx_start FROM seg g WHERE g.doc_id = op3.ex AND op3.en >= g.ctx_start
+            AND op3.en < g.ctx_end) AS pe
+       FROM op3),
+posmap AS (SELECT win2.ex, win2.kw, win2.nq + 2 + (dm.wi - win2.ws) AS p, dm.ps, dm.pe
+           FROM win2 JOIN dm ON dm.ex = win2.ex AND dm.wi >= win2.ws AND dm.wi < win2.ws + win2.wl),
+pairs AS (SELECT s.ex, s.kw, s.r AS srank, e.r AS erank, s.i AS si, e.i AS ei,
+            ((s.ex * 1000 + s.kw) * 31 + 7 * s.i) % 97 / 8.0::DOUBLE + ((s.ex * 1000 + s.kw) * 17 + 11 * e.i) % 89 / 8.0::DOUBLE
+            - (((s.ex * 1000 + s.kw) * 31) % 97 / 8.0::DOUBLE + ((s.ex * 1000 + s.kw) * 17) % 89 / 8.0::DOUBLE) AS score,
+            ms.ps AS start_byte, me.pe + 1 AS end_byte
+          FROM sr s JOIN er e ON e.ex = s.ex AND e.kw = s.kw AND e.r <= 30
+          JOIN posmap ms ON ms.ex = s.ex AND ms.kw = s.kw AND ms.p = s.i
+          JOIN posmap me ON me.ex = e.ex AND me.kw = e.kw AND me.p = e.i
+          WHERE s.r <= 30 AND e.i >= s.i AND e.i - s.i + 1 <= 100 AND ms.ps IS NOT NULL AND me.pe IS NOT NULL),
+pbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ex, kw ORDER BY score DESC, srank, erank) AS rb,
+                                   count(*) OVER (PARTITION BY ex, kw) AS n_valid FROM pairs) WHERE rb = 1)"""
+
+SQL["span_candidates"] = _SPANS + """
+SELECT w.ex AS example_index, CAST(w.kw AS INTEGER) AS doc_span_index, coalesce(b.n_valid, 0) AS n_valid,
+       round(b.score, 9) AS score, CAST(b.start_byte AS INTEGER) AS start_byte, CAST(b.end_byte AS INTEGER) AS end_byte
+FROM win2 w LEFT JOIN pbest b ON b.ex = w.ex AND b.kw = w.kw"""
+
+SQL["best_span"] = _SPANS + """
+SELECT ex AS example_index, round(score, 9) AS score, CAST(kw AS INTEGER) AS doc_span_index,
+       CAST(start_byte AS INTEGER) AS start_byte, CAST(end_byte AS INTEGER) AS end_byte
+FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY score DESC, kw, srank, erank) AS re FROM pbest)
+WHERE re = 1"""
