@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqa.llm import mixing, simhash
+from spanqa.llm import decontam, mixing, simhash, toxicity
 from spanqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, test item) whose passage aligns, over whole texts: score, matched words, spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return (found.select("doc_id", F.explode("contaminated_by").alias("h"))
+            .select("doc_id", "h.item_id", "h.score", "h.matched", "h.start", "h.end", "h.item_start", "h.item_end"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+        F.size("offending").alias("n_offending"))
