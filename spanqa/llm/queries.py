@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqa.llm import decontam, mixing, simhash, toxicity
+from spanqa.llm import decontam, mixing, pii, secrets, simhash, toxicity
 from spanqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
         F.when(F.col("toxicity") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
         F.size("offending").alias("n_offending"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base spans, and those that learnt contexts add."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS],
+                        F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"),
+                        pii.digest(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: base spans, and tokens that pass as random."""
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+
+    return found.select("doc_id", *[count(k) for k in range(len(secrets.KINDS))],
+                        F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
+                        secrets.digest(F.col("spans")).alias("spans"))
