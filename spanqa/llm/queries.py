@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqa.llm import ann, decontam, langid, mixing, pii, secrets, simhash, toxicity
+from spanqa.llm import ann, decontam, html_crf, langid, licenses, mixing, pii, secrets, simhash, toxicity
 from spanqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,18 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, by inner product, from the inverted multi-index."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every whole text: template, coverage, matched words, span."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (licenses.scan(docs).select("doc_id", F.explode("licenses").alias("l"))
+            .select("doc_id", "l.license", "l.coverage", "l.matched", "l.start", "l.end"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the block chain, trained on pages that mark their text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_crf.extract(pages, html_crf.train(pages)).select("page_id", "url", "text", "n_chars")
