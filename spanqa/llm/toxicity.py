@@ -20,9 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanqa.llm.common import land
+
 MAX_DOCS = 20_000
 MAX_FEATURES = 2_000
 MIN_DOCS = 3
@@ -91,37 +94,13 @@ class Model:
         return float(-np.expm1(-total)), found
 
 
-def fit(bags: list[list[list[str]]], labels: list[int], max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS,
+def fit(vocabulary: list[str], y: np.ndarray, plain: np.ndarray, doc: np.ndarray, sent: np.ndarray, feat: np.ndarray,
         rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Train on bags (documents) of sentences, each a list of distinct feature names."""
-    y = np.asarray(labels, float)
-    n, pos = len(y), float(y.sum())
-    if n == 0 or pos == 0 or pos == n:
-        return Model({}, np.zeros(0), -20.0 if pos < n or n == 0 else 20.0)
-    have, hit = Counter(), Counter()
-    for bag, label in zip(bags, labels):
-        seen = {f for s in bag for f in s}
-        have.update(seen)
-        if label:
-            hit.update(seen)
-    keep = [f for f, c in have.items() if c >= min_docs]
-    c = np.array([have[f] for f in keep], float)
-    a = np.array([hit[f] for f in keep], float)
-    chi = (a * n - c * pos) ** 2 / np.maximum(c * (n - c) * pos * (n - pos) / n, 1e-9)
-    best = sorted(range(len(keep)), key=lambda i: (-chi[i], keep[i]))[:max_features]
-    vocabulary = {keep[i]: k for k, i in enumerate(best)}
-    doc, sent, feat, plain, k = [], [], [], np.zeros(n), 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = [vocabulary[f] for f in s if f in vocabulary]
-            if ids:
-                doc.append(d)
-                sent += [k] * len(ids)
-                feat += ids
-                k += 1
-            else:
-                plain[d] += 1
-    doc, sent, feat = np.array(doc, int), np.array(sent, int), np.array(feat, int)
+    """Train on bags. y: label of each document; plain: its sentences without a feature; doc: document of each other
+    sentence; sent, feat: sentence and feature of each occurrence."""
+    n, k = len(y), len(doc)
+    if not n or y.min() == y.max():
+        return Model({}, np.zeros(0), 20.0 if n and y.min() > 0 else -20.0)
     w, b = np.zeros(len(vocabulary)), -4.0
     m1, m2, mb1, mb2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
@@ -138,35 +117,77 @@ def fit(bags: list[list[list[str]]], labels: list[int], max_features: int = MAX_
         c1, c2 = 1 - 0.9 ** step, 1 - 0.999 ** step
         w -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
         b -= rate * (mb1 / c1) / (np.sqrt(mb2 / c2) + 1e-8)
-    return Model(vocabulary, w, b)
+    return Model({f: i for i, f in enumerate(vocabulary)}, w, b)
+
+
+def sentences(text: str) -> Iterator[set[str]]:
+    """Distinct features of each sentence with a word."""
+    for m in _SENTENCE.finditer(text):
+        words = set(_WORDS.findall(m.group().lower()))
+        if words:
+            yield {f for x in words for f in names(x)}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, **params) -> Model:
+def select(sample: DataFrame, max_features: int, min_docs: int) -> list[str]:
+    """The features with the largest chi-squared against the label; sample: (y, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            have, hit = Counter(), Counter()
+            for y, t in zip(b.column(0).to_pylist(), b.column(1)):
+                seen = {f for s in sentences(t.as_py() or "") for f in s}
+                have.update(seen)
+                if y:
+                    hit.update(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64()),
+                                              pa.array([hit[f] for f in have], pa.int64())], ["f", "c", "a"])
+
+    n, pos = sample.agg(F.count("*"), F.sum("y")).first()
+    if not n or not pos or n == pos:
+        return []
+    counts = (sample.mapInArrow(run, "f string, c long, a long").groupBy("f")
+              .agg(F.sum("c").cast("double").alias("c"), F.sum("a").cast("double").alias("a")).where(F.col("c") >= min_docs))
+    chi = F.pow(F.col("a") * n - F.col("c") * pos, F.lit(2.0)) / F.greatest(F.col("c") * (n - F.col("c")), F.lit(1.0))
+    return [r.f for r in counts.orderBy(chi.desc(), "f").limit(max_features).select("f").collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES,
+          min_docs: int = MIN_DOCS, **params) -> Model:
     """Fit on documents that have a label and are not held out.
 
     docs: (doc_id, text); labels: (doc_id, toxic), rows with a null in either are left out, a document with
     several labels counts as toxic if one says so. Without both classes the model is constant.
     """
     known = (labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("toxic").alias("_y")))
+             .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_y")))
     n = known.count()
     share = min(1.0, max_docs / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = land(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
+                  .select("doc_id", F.col("_y").alias("y"), "text"), "toxicity-sample")
+    vocabulary = select(sample.select("y", "text"), max_features, min_docs)
+    place = {f: i for i, f in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [["\t".join(sorted({f for x in set(_WORDS.findall(s)) for f in names(x)}))
-                     for s in _SENTENCE.findall((t.as_py() or "").lower())] for t in b.column(0)]
-            bags = [[s for s in bag if s] for bag in bags]
+            bags, plain = [], []
+            for t in b.column(2):
+                ids = [sorted(place[f] for f in s if f in place) for s in sentences(t.as_py() or "")]
+                bags.append([x for x in ids if x])
+                plain.append(len(ids) - len(bags[-1]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array(["\n".join(x) for x in bags], pa.string())], ["y", "bag"])
-
-    # doc_id orders the sample, so that the fit doesn't depend on the order in which tasks end
-    rows = (docs.select("doc_id", "text").join(known, "doc_id").orderBy("doc_id", "text")
-            .select(F.col("text").cast("string"), F.col("_y").cast("int")).mapInArrow(run, "y int, bag string"))
-    sample = rows.toPandas()
-    bags = [[s.split("\t") for s in x.split("\n")] if x else [] for x in sample["bag"]]
-    return fit(bags, [int(v > 0) for v in sample["y"]], **params)
+                [b.column(0), b.column(1), pa.array(plain, pa.int32()), pa.array(bags, pa.list_(pa.list_(pa.int32())))],
+                ["doc_id", "y", "plain", "bags"])
+
+    # ordered, so that the fit doesn't depend on the order in which tasks end
+    got = (sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, plain int, bags array<array<int>>")
+           .orderBy("doc_id", "plain", "bags").drop("doc_id").toArrow().combine_chunks())
+    y, plain = got.column("y").to_numpy(), got.column("plain").to_numpy().astype(float)
+    bags = got.column("bags").combine_chunks() if len(got) else pa.array([], pa.list_(pa.list_(pa.int32())))
+    per_doc = np.asarray(pc.list_value_length(bags), int)
+    inner = bags.flatten()
+    per_sentence = np.asarray(pc.list_value_length(inner), int)
+    return fit(vocabulary, y, plain, np.repeat(np.arange(len(y)), per_doc), np.repeat(np.arange(len(inner)), per_sentence),
+               np.asarray(inner.flatten(), int), **params)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
