@@ -21,20 +21,29 @@ from spanqa.functions.bytes import f1_of, safe_divide
 # Decimal places kept on running float sums, so that sums taken in any order
 # compare equal (precision targets are compared on these values).
 SUM_DIGITS = 9
+# Decimal places of the values summed exactly.
+DECIMAL_DIGITS = 15
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys where null equals null; ``right`` is the bounded block table."""
+    r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(F.broadcast(r), on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def running_sums_desc(df: DataFrame, keys: list[str], order: str, cols: list[str],
                       blocks: int = 64) -> DataFrame:
     """For each row: ``cum_<c>`` = sum of c over rows of its group with
-    order >= this row's (one row per distinct order value expected), and
-    ``tot_<c>`` = the group total.
+    order >= this row's (one row per distinct order value expected, not null),
+    and ``tot_<c>`` = the group total. A null key is a group of its own.
 
     The block table has at most (#groups x (blocks + 1)) rows; callers group by
     a bounded key set (languages x tasks), so it is broadcast.
     """
     pct = ", ".join(str((i + 1) / blocks) for i in range(blocks - 1))
     bounds = df.groupBy(*keys).agg(F.expr(f"percentile_approx({order}, array({pct}), 10000)").alias("_bounds"))
-    with_block = (df.join(F.broadcast(bounds), keys)
+    with_block = (_null_safe(df, bounds, keys)
                   .withColumn("_block", F.expr(f"size(filter(_bounds, b -> b > {order}))"))
                   .drop("_bounds"))
     block_tot = with_block.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_b_{c}") for c in cols])
@@ -47,7 +56,7 @@ def running_sums_desc(df: DataFrame, keys: list[str], order: str, cols: list[str
     )
     wb = (Window.partitionBy(*keys, "_block").orderBy(F.col(order).desc())
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = with_block.join(F.broadcast(offsets), [*keys, "_block"])
+    out = _null_safe(with_block, offsets, [*keys, "_block"])
     return out.select(
         *df.columns,
         *[(F.col(f"_off_{c}") + F.sum(c).over(wb)).alias(f"cum_{c}") for c in cols],
@@ -55,42 +64,24 @@ def running_sums_desc(df: DataFrame, keys: list[str], order: str, cols: list[str
     )
 
 
-# Up to this many distinct (group, score) rows, one window task per group is
-# cheaper than the blocked running sum.
-SINGLE_WINDOW_MAX_ROWS = 2_000_000
-
-
-def running_sums_window(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
-    """Same result as ``running_sums_desc`` with one window per group (for
-    inputs whose size has been checked to be small)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wt = Window.partitionBy(*keys)
-    return df.select(*df.columns, *[F.sum(c).over(w).alias(f"cum_{c}") for c in cols],
-                     *[F.sum(c).over(wt).alias(f"tot_{c}") for c in cols])
-
-
-def threshold_points(stats: DataFrame, keys: list[str] | None = None, materialize: bool = True) -> DataFrame:
+def threshold_points(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per (keys, distinct score) with precision, recall and f1 of
     predicting every example scoring at or above the threshold.
 
-    The per-score table is checkpointed (lineage cut, reused by every metric
-    computed from the curve); its row count then picks one window per group
-    (small) or the blocked running sum (large). ``materialize=False`` keeps
-    the plan lazy and always uses the blocked form.
+    A missing score counts as 0.0 (the value a missing prediction has); a null
+    key is a group of its own. F1 values are summed as DECIMAL, so the order
+    of the rows cannot change a sum. The per-score table is checkpointed
+    (lineage cut, read three times by the running sum).
     """
     keys = keys or ["language", "task"]
-    pts = stats.groupBy(*keys, "score").agg(
-        F.sum("f1").alias("s_f1"),
+    exact = F.round("f1", DECIMAL_DIGITS).cast(f"decimal(38,{DECIMAL_DIGITS})")
+    pts = stats.groupBy(*keys, F.coalesce(F.col("score"), F.lit(0.0)).alias("score")).agg(
+        F.sum(exact).cast(f"decimal(38,{DECIMAL_DIGITS})").alias("s_f1"),
         F.sum(F.col("has_pred").cast("long")).alias("s_pred"),
         F.sum(F.col("has_gold").cast("long")).alias("s_gold"),
-    )
-    small = False
-    if materialize:
-        pts = pts.checkpoint(eager=True)
-        small = pts.count() <= SINGLE_WINDOW_MAX_ROWS
-    run = running_sums_window if small else running_sums_desc
-    cum = run(pts, keys, "score", ["s_f1", "s_pred", "s_gold"])
-    f1sum = F.round("cum_s_f1", SUM_DIGITS)
+    ).checkpoint(eager=True)
+    cum = running_sums_desc(pts, keys, "score", ["s_f1", "s_pred", "s_gold"])
+    f1sum = F.round(F.col("cum_s_f1").cast("double"), SUM_DIGITS)
     return cum.select(
         *keys, "score",
         safe_divide(f1sum, "cum_s_pred").alias("precision"),

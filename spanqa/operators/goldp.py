@@ -29,17 +29,19 @@ def with_language(preds: DataFrame, languages: list[str] | None = None) -> DataF
 def write_split(preds: DataFrame, out_dir: str) -> None:
     """K5: one folder per language label (english as its do-not-average
     label), JSON lines {id, answer}; fails on an invalid id."""
-    checked = with_language(preds).withColumn(
-        "error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("invalid id "), F.col("id")))))
+    message = F.concat(F.lit("invalid id "), F.coalesce(F.col("id"), F.lit("null")))
+    checked = with_language(preds).where(F.when(F.col("error").isNull() & F.col("id").isNotNull(), F.lit(True)).otherwise(
+        F.raise_error(message).cast("boolean")))
     checked.select("id", "answer", "lang_label").write.mode("overwrite").partitionBy("lang_label").json(out_dir)
 
 
 def normalized_tokens(col) -> Column:
-    """lower -> drop punctuation -> drop articles -> split on whitespace."""
+    """lower -> drop punctuation -> drop articles -> split on white space
+    (Unicode separators such as the no-break space included)."""
     c = F.col(col) if isinstance(col, str) else col
     t = F.regexp_replace(F.lower(c), _PUNCT, "")
-    t = F.regexp_replace(t, r"\b(a|an|the)\b", " ")
-    return F.filter(F.split(F.trim(t), r"\s+"), lambda x: x != "")
+    t = F.regexp_replace(t, r"(?U)\b(a|an|the)\b", " ")
+    return F.filter(F.split(t, r"[\s\p{Z}]+"), lambda x: x != "")
 
 
 def squad_scores(dataset: DataFrame, preds: DataFrame) -> DataFrame:

@@ -66,11 +66,11 @@ def validate_predictions(pred: DataFrame, mode: str = "fail") -> DataFrame:
     ``drop``: invalid rows are removed; ``keep``: the error column is kept."""
     checked = prediction_errors(pred)
     if mode == "fail":
-        return checked.withColumn(
-            "error", F.when(F.col("error").isNotNull(),
-                            F.raise_error(F.concat(F.lit("invalid prediction "), F.col("example_id").cast("string"),
-                                                   F.lit(": "), F.col("error"))))
-        ).drop("error")
+        # raised in a filter: a column that is dropped again would be pruned
+        message = F.concat(F.lit("invalid prediction "), F.coalesce(F.col("example_id").cast("string"), F.lit("null")),
+                           F.lit(": "), F.col("error"))
+        return checked.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(
+            F.raise_error(message).cast("boolean"))).drop("error")
     if mode == "drop":
         return checked.where("error IS NULL").drop("error")
     return checked

@@ -122,3 +122,21 @@ def test_minimum_slice_sf001(spark):
     assert got == {
         "swahili": (0.512821, 0.487805, 0.540541, 10.375), "english": (0.507801, 0.501401, 0.514368, 10.125),
         "korean": (0.384615, 0.384615, 0.384615, 11.0), "finnish": (0.588957, 0.578313, 0.6, 10.75)}
+
+
+@pytest.mark.parametrize("row,rule", [
+    ((1, "finnish", 0, 9, 3, "none", 1.0, 1.0), "span"), ((1, "finnish", 0, 1, 5, "yes", 1.0, 1.0), "coexist"),
+    ((1, "finnish", 0, -1, -1, "maybe", 1.0, 1.0), "yes_no_answer"), ((1, "finnish", 0, 1, 5, "none", None, None), "missing score")])
+def test_validation_modes(spark, row, rule):
+    schema = ("example_id long, language string, passage_answer_index long, minimal_start_byte long, minimal_end_byte long, "
+              "yes_no_answer string, passage_score double, minimal_score double")
+    good = (2, "finnish", 0, 1, 5, "none", 1.0, 1.0)
+    df = spark.createDataFrame([row, good], schema)
+    with pytest.raises(Exception, match="invalid prediction 1: "):
+        scoring.validate_predictions(df).count()
+    with pytest.raises(Exception, match="invalid prediction 1: "):
+        scoring.validate_predictions(df).groupBy("language").count().collect()
+    assert [r.example_id for r in scoring.validate_predictions(df, "drop").collect()] == [2]
+    kept = {r.example_id: r.error for r in scoring.validate_predictions(df, "keep").collect()}
+    assert kept[2] is None and kept[1]
+    assert scoring.validate_predictions(df.where("example_id = 2")).count() == 1

@@ -2,12 +2,14 @@
 brute-force Python model; containment, completeness, as-of merge; gold
 passage normalisation and scores."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spanqa.operators import assemble, goldp, model, tokenize
 from spanqa.operators.joins import landed
+from spanqa.plans import predict
 from spanqa.plans import prepare as P
 from spanqa.session import work_path
 from spanqa.sources import derived, readers
@@ -15,24 +17,24 @@ from spanqa.sources import derived, readers
 from conftest import SF001
 
 
-def _nbest(logits, n):
-    order = sorted(range(1, len(logits)), key=lambda i: -logits[i])  # stable: lower index first on ties
-    return order[:n]
-
-
 def _best(windows, beam=30, max_len=100):
-    """windows: list of (doc_span_index, starts, ends, s_logits, e_logits) in window order."""
-    best = None
+    """Highest value of the whole start x end score matrix with everything
+    invalid at -inf; ties by window, then rank of the start, then of the end."""
+    tables = []
     for _, so, eo, sl, el in windows:
-        cls = sl[0] + el[0]
-        for i in _nbest(sl, beam):
-            for j in _nbest(el, beam):
-                if j < i or so[i] == -1 or eo[j] == -1 or j - i + 1 > max_len:
-                    continue
-                score = sl[i] + el[j] - cls
-                if best is None or score > best[0]:
-                    best = (score, so[i], eo[j] + 1)
-    return best
+        s, e = np.array(sl), np.array(el)
+        rank = [1 + np.argsort(-x[1:], kind="stable")[:beam] for x in (s, e)]
+        i, j = rank[0][:, None], rank[1][None, :]
+        ok = (j >= i) & (j < i + max_len) & (np.array(so)[i] >= 0) & (np.array(eo)[j] >= 0)
+        tables.append(np.where(ok, s[i] + e[j] - (s[0] + e[0]), -np.inf))
+        tables[-1] = (tables[-1], rank)
+    top = [t.max() for t, _ in tables]
+    k = int(np.argmax(top))
+    if top[k] == -np.inf:
+        return None
+    t, (ri, rj) = tables[k]
+    a, b = np.unravel_index(t.argmax(), t.shape)
+    return float(top[k]), windows[k][1][ri[a]], windows[k][2][rj[b]] + 1
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +65,18 @@ def test_best_span_matches_brute_force(spark, eval_features):
                                          rs[k].start_logits, rs[k].end_logits))
     want = {ex: b for ex, ws in per.items() if (b := _best(ws)) is not None}
     assert got == want
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batch):
+        seen.add(len(batch))
+        return model.arithmetic_scorer(batch)
+
+    docs = derived.documents(spark, SF001)
+    cands = derived.raw_examples(docs).select("example_id", "passage_answer_candidates")
+    records = predict.predict(eval_features, cands, counted).collect()
+    assert seen.value == len(f)  # every window is scored once
+    assert {r.example_id: (r.minimal_answer_score, r.minimal_answer.start_byte_offset, r.minimal_answer.end_byte_offset)
+            for r in records} == want
 
 
 def test_containment_and_completeness(spark):
@@ -90,6 +104,51 @@ def test_asof_merge_small(spark):
                    ("feature", 35, 30), ("result", 9, 10), ("result", 29, 30)]
 
 
+def test_asof_merge_many_blocks(spark):
+    """Equal to a sequential merge however the rows are dealt out."""
+    ex = [(i * 40,) for i in range(1, 60)]
+    ft = [(i * 40 + k,) for i in range(60) for k in range(0, 40, 2)]
+    rs = [(i * 40 + k,) for i in range(60) for k in range(0, 40, 3)]
+    every = sorted([(k, 0, k) for (k,) in ex] + [(u + 1, 1, u) for (u,) in rs] + [(u + 1, 2, u) for (u,) in ft])
+    want, last = [], None
+    for key, src, datum in every:
+        if src == 0:
+            last = datum
+        else:
+            want.append((("result", "feature")[src - 1], datum, last))
+    frames = [spark.createDataFrame(x, t) for x, t in ((ex, "example_id long"), (ft, "unique_ids long"), (rs, "unique_id long"))]
+    size, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(size), spark.conf.get(parts)
+    try:
+        for advisory, n in (("64m", "8"), ("1k", "8"), ("100b", "40")):
+            spark.conf.set(size, advisory)
+            spark.conf.set(parts, n)
+            got = [(r.source, r.datum_id, r.example_id) for r in assemble.asof_merge(*frames).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str)
+            f = {r.source: (r.n_matched, r.n_failed) for r in assemble.failed_matches(assemble.asof_merge(*frames)).collect()}
+            assert f == {s: (sum(w[0] == s and w[2] is not None for w in want), sum(w[0] == s and w[2] is None for w in want))
+                         for s in ("result", "feature")}
+    finally:
+        spark.conf.set(size, before[0])
+        spark.conf.set(parts, before[1])
+
+
+def test_split_fails_on_invalid_ids(spark):
+    for bad in ("nodash", "klingon-3", None):
+        preds = spark.createDataFrame([("english-1", "a"), (bad, "b")], "id string, answer string")
+        with pytest.raises(Exception, match="invalid id"):
+            goldp.write_split(preds, work_path(spark, "t-split"))
+    out = work_path(spark, "t-split")
+    goldp.write_split(spark.createDataFrame([("english-1", "a"), ("korean-2", "b")], "id string, answer string"), out)
+    assert spark.read.json(out).count() == 2
+
+
+def test_squad_tokens(spark):
+    df = spark.createDataFrame([("x\u00a0y",), ("The d\u00eda, a\u2003 an!",), ("",)], "t string")
+    got = [list(r.x) for r in df.select(goldp.normalized_tokens("t").alias("x")).collect()]
+    assert got == [["x", "y"], ["d\u00eda"], []]
+
+
 def test_squad_normalisation_and_scores(spark):
     ds = spark.createDataFrame([("english-1", 0, "The Cat sat!"), ("english-1", 1, "a dog"), ("swahili-2", 0, "x y z"),
                                 ("korean-3", 0, "q")], "id string, answer_pos int, answer_text string")

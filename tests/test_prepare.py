@@ -1,6 +1,7 @@
 """Preparation job: tokenizer rules, windows, contexts and features, checked
 against literal cases and a brute-force Python model of the same rules."""
 
+import re
 import unicodedata
 from decimal import Decimal
 
@@ -77,25 +78,31 @@ def _basic(token):
     return out
 
 
-def _wordpiece(word, vocab):
-    if len(word) > 200:
-        return [(vocab["[UNK]"], len(word.encode()))]
-    pieces, start = [], 0
-    while start < len(word):
-        end = len(word)
-        while end > start:
-            sub = ("##" if start > 0 else "") + word[start:end]
-            if sub in vocab:
-                break
-            end -= 1
-        if end == start:
-            return [(vocab["[UNK]"], len(word.encode()))]
-        pieces.append((vocab[sub], len(word[start:end].encode())))
-        start = end
-    return pieces
-
-
-def _tokenize(text, vocab):
+def _longest_first(pieces):
+    return "|".join(re.escape(p) for p in sorted(pieces, key=len, reverse=True)) or r"(?!)"
+
+
+class _Pieces:
+    """Longest match first as one regular expression: an atomic head and atomic
+    continuations that never give a character back."""
+
+    def __init__(self, vocab):
+        self.vocab = vocab
+        self.head = _longest_first([t for t in vocab if t and not t.startswith("##")] + [t for t in vocab if t.startswith("##")])
+        self.tail = _longest_first([t[2:] for t in vocab if len(t) > 2 and t.startswith("##")])
+        self.whole = re.compile(f"(?>{self.head})(?>{self.tail})*+", re.S)
+        self.first, self.next = re.compile(self.head, re.S), re.compile(self.tail, re.S)
+
+    def of(self, word):
+        if len(word) > 200 or not self.whole.fullmatch(word):
+            return [(self.vocab["[UNK]"], len(word.encode()))]
+        head = self.first.match(word).group()
+        rest = [m.group() for m in self.next.finditer(word, len(head))]
+        return [(self.vocab[head], len(head.encode()))] + [(self.vocab["##" + p], len(p.encode())) for p in rest]
+
+
+def _tokenize(text, pieces_of):
+    vocab = pieces_of.vocab
     ids, starts, ends, at = [], [], [], 0
     for tok in text.split(" "):
         if tok in SPECIAL or tok.startswith("[Paragraph=") or tok.startswith("[ContextId="):
@@ -103,7 +110,7 @@ def _tokenize(text, vocab):
         else:
             pieces = []
             for sub, good in _basic(tok):
-                pieces += _wordpiece(sub, vocab) if good else [(vocab.get(sub, vocab["[UNK]"]), len(sub.encode()))]
+                pieces += pieces_of.of(sub) if good else [(vocab.get(sub, vocab["[UNK]"]), len(sub.encode()))]
         rel = 0
         for pid, nb in pieces:
             ids.append(pid)
@@ -134,7 +141,8 @@ def test_tokenizer_matches_brute_force(spark, vocab, vocab_dict):
     texts = e.select("example_id", F.col("contexts").alias("text")).unionByName(lit)
     got = {r.example_id: (list(r.wp_ids), list(r.wp_starts), list(r.wp_ends))
            for r in tokenize.tokenize_texts(texts, vocab, ["example_id"]).collect()}
-    want = {r.example_id: _tokenize(r.text, vocab_dict) for r in texts.collect()}
+    pieces_of = _Pieces(vocab_dict)
+    want = {r.example_id: _tokenize(r.text, pieces_of) for r in texts.collect()}
     assert set(got) == set(want)
     bad = [k for k in want if got[k] != tuple(map(list, want[k])) and got[k] != want[k]]
     assert not bad, bad[:5]
@@ -150,24 +158,22 @@ def test_windows_cases(spark, n, w, stride, expected):
     assert [(x.start, x.length) for x in got] == expected
 
 
-def _loop(n, w, stride):
-    out, start = [], 0
-    while start < n:
-        length = min(n - start, w)
-        out.append((start, length))
-        if start + length == n:
-            break
-        start += min(length, stride)
-    return out
-
-
 def test_windows_property(spark):
+    """First start 0, constant steps of min(window, stride), last end n, no
+    earlier window reaching n, every position covered."""
     cases = [(n, w, s) for n in range(0, 40) for w in range(1, 12) for s in (1, 2, 3, 5, 8, 13)]
     df = spark.createDataFrame(cases, "n int, w int, s int")
     for s in (1, 2, 3, 5, 8, 13):
         rows = df.where(F.col("s") == s).select("n", "w", F.expr(features.windows_expr("n", "w", s)).alias("x"))
         for r in rows.collect():
-            assert [(x.start, x.length) for x in r.x] == _loop(r.n, r.w, s), (r.n, r.w, s)
+            starts, ends = [x.start for x in r.x], [x.start + x.length for x in r.x]
+            if r.n == 0:
+                assert starts == []
+                continue
+            assert starts == list(range(0, len(starts) * min(r.w, s), min(r.w, s)))
+            assert ends[-1] == r.n and all(e < r.n for e in ends[:-1])
+            assert all(e - b == min(r.w, r.n - b) for b, e in zip(starts, ends))
+            assert set().union(*(range(b, e) for b, e in zip(starts, ends))) == set(range(r.n))
 
 
 def test_contexts_layout(spark):

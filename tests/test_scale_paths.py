@@ -1,12 +1,12 @@
-"""The code paths taken only at scale give the same rows as the small-data
-paths: the salted dimension join and the blocked running sum."""
+"""Paths made for scale: the split dimension join and the blocked running sum."""
+
+import random
 
 from pyspark.sql import functions as F
 
 from spanqa.operators import curve
 from spanqa.operators.joins import join_dimension
-from spanqa.plans import evaluate as E
-from spanqa.sources import derived, readers
+from spanqa.sources import derived
 
 from conftest import SF01
 
@@ -22,19 +22,34 @@ def test_salted_join_equals_broadcast_join(spark):
     assert a.select(*key).exceptAll(b.select(*key)).count() == 0
 
 
-def test_blocked_running_sum_equals_window(spark):
-    docs = derived.documents(spark, SF01)
-    gold = derived.with_scan_ordinal(derived.raw_examples(docs))
-    pred = readers.normalize_predictions(derived.with_scan_ordinal(derived.predictions(docs)))
-    stats = E.evaluate(gold, pred).stats
-    small = curve.threshold_points(stats, materialize=True)     # one window per group
-    blocked = curve.threshold_points(stats, materialize=False)  # quantile blocks
-    cols = ["language", "task", "score", "precision", "recall", "f1"]
-    r = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row)
-                          for row in df.select(*cols).collect())
-    assert r(small) == r(blocked)
+def test_blocked_running_sum(spark):
     pts = spark.createDataFrame([("x", "t", float(i), 1.0, 1, 1) for i in range(1000)],
                                 "language string, task string, score double, s_f1 double, s_pred long, s_gold long")
     got = {row.score: row.cum_s_pred for row in
            curve.running_sums_desc(pts, ["language", "task"], "score", ["s_pred"], blocks=16).collect()}
     assert got == {float(i): 1000 - i for i in range(1000)}
+
+
+def test_curve_with_nulls_and_a_dominant_group(spark):
+    """Null scores count as 0.0, a null language is a group, one language holds
+    most rows: equal to sums over all rows at or above each threshold."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(3000):
+        lang = "big" if i % 10 else rng.choice(["small", None])
+        score = None if i % 37 == 0 else rng.randrange(-40, 400) / 4
+        rows.append((lang, "t", rng.random() < 0.7, rng.random() < 0.8, rng.randrange(0, 100) / 64, score))
+    df = spark.createDataFrame(rows, "language string, task string, has_gold boolean, has_pred boolean, f1 double, score double")
+    got = {(r.language, r.score): (r.precision, r.recall) for r in curve.threshold_points(df).collect()}
+    want = {}
+    for lang in ("big", "small", None):
+        own = [(r[5] or 0.0, r) for r in rows if r[0] == lang]
+        gold = sum(r[2] for _, r in own)
+        for t in {s for s, _ in own}:
+            above = [r for s, r in own if s >= t]
+            f1, pred = sum(r[4] for r in above), sum(r[3] for r in above)
+            want[lang, t] = (f1 / pred if pred else 0.0, f1 / gold if gold else 0.0)
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+    best = {r.language: r.best_f1 for r in curve.best_threshold(curve.threshold_points(df)).collect()}
+    assert best.keys() == {"big", "small", None}
