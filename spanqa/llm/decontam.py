@@ -2,8 +2,8 @@
 
 Test items are cut into pieces of at most `PIECE` words. The documents are read twice: once to count in how many
 documents each n-gram of the test pieces occurs, once to look up the rare ones and align. A piece's seeds are
-its n-grams found in at most `RARE_SHARE` of all documents, and in any case its rarest quarter, so that a
-passage copied into very many documents keeps its seeds. Where seeds hit, the words of the document around
+its n-grams found in at most `RARE_SHARE` of all documents (or `RARE_DOCS` documents), and in any case its rarest
+half, so that a passage copied into very many documents keeps its seeds. Where a rare seed or two others hit, the words of the document around
 their diagonal are aligned with the piece by Smith-Waterman; a document is contaminated by an item if a
 local alignment reaches `MIN_SCORE` of the piece's perfect score.
 
@@ -28,6 +28,7 @@ PIECE = 64
 MIN_WORDS = 8
 BLOCK = 5_000
 RARE_SHARE = 1e-4
+RARE_DOCS = 5
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, 1, 1
 _WORD = re.compile(r"\w+")
@@ -84,12 +85,12 @@ class Block:
     def __init__(self, items: list[tuple[int, list[str]]], df: Counter, n_docs: int, min_score: float):
         self.items, self.min_score = items, min_score
         self.seeds: dict[tuple, list[tuple[int, int, bool]]] = defaultdict(list)
-        rare = RARE_SHARE * n_docs
+        rare = max(RARE_DOCS, RARE_SHARE * n_docs)
         for k, (_, words) in enumerate(items):
             grams = list(ngrams(words))
             order = sorted(range(len(grams)), key=lambda i: (df[grams[i]], i))
             for at, i in enumerate(order):
-                if df[grams[i]] <= rare or at < max(2, len(grams) // 4):
+                if df[grams[i]] <= rare or at < max(2, (len(grams) + 1) // 2):
                     self.seeds[grams[i]].append((k, i, df[grams[i]] <= rare))
         self.seeds = dict(self.seeds)
 
