@@ -2,9 +2,9 @@
 
 ``join_dimension`` lands the dimension side in the shared folder (cutting its
 lineage), reads its size from the written files and broadcasts it only below
-``max_broadcast_bytes``; above it, the fact side is salted so that a hot key is
-spread over ``salt_buckets`` tasks and the dimension rows are replicated once
-per bucket.
+``max_broadcast_bytes``; above it, both sides are shuffled by key and adaptive
+execution splits the partitions that a hot key fills, repeating only the
+matching part of the dimension.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from spanqa.session import work_path
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-DEFAULT_SALT_BUCKETS = 32
 
 
 def path_bytes(spark, path: str) -> int:
@@ -34,14 +33,10 @@ def landed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], name: str = "dim", how: str = "inner",
-                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-                   salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Equi-join ``fact`` with a dimension unique on ``keys`` (inner or left)."""
     dim_t, nbytes = landed(dim, name)
     # parquet is compressed: allow for expansion in memory
     if nbytes * 4 <= max_broadcast_bytes:
         return fact.join(F.broadcast(dim_t), keys, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salt_buckets))
-    f = fact.withColumn("_salt", salt)
-    d = dim_t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return f.join(d, [*keys, "_salt"], how).drop("_salt")
+    return fact.join(dim_t.hint("merge"), keys, how)

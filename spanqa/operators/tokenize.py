@@ -21,7 +21,7 @@ from spanqa.constants import (CONTINUATION_PREFIX, MAX_INPUT_CHARS_PER_WORD, MAX
                               SPECIAL_TOKENS, UNK_TOKEN, UNUSED_TOKEN_PATTERN)
 from spanqa.functions.chars import (BAD, CJK, NOT_PUNCTUATION, NOT_SPLIT_SPACE, PUNCTUATION, SPLIT_SPACE,
                                    WHITESPACE, strip_accents)
-from spanqa.operators.joins import join_dimension
+from spanqa.operators.joins import join_dimension, landed
 
 
 # ------------------------------------------------------------ vocabulary ---
@@ -97,8 +97,9 @@ def basic_split_expr(col: str = "token") -> str:
 
 def _vocab_max_piece_chars(vocab: DataFrame) -> int:
     """Longest vocabulary piece (characters, without the ## prefix) that can
-    match inside a word: words never contain punctuation, so longer pieces
-    with punctuation are left out (single characters always count)."""
+    match inside a word. Words come out of the punctuation split, so no piece
+    of several characters with punctuation can match (words kept whole by
+    ``preserve_unused`` are looked up as they are, not through this)."""
     body = F.when(F.col("token").startswith(CONTINUATION_PREFIX),
                   F.expr(f"substring(token, {len(CONTINUATION_PREFIX) + 1})")).otherwise(F.col("token"))
     vocab = vocab.where((F.char_length(body) <= 1) | ~body.rlike(PUNCTUATION))
@@ -108,8 +109,7 @@ def _vocab_max_piece_chars(vocab: DataFrame) -> int:
     return int(row.m or 1)
 
 
-def wordpiece_words(words: DataFrame, vocab: DataFrame, max_chars: int = MAX_INPUT_CHARS_PER_WORD,
-                    preserve_unused: bool = False) -> DataFrame:
+def wordpiece_words(words: DataFrame, vocab: DataFrame, max_chars: int = MAX_INPUT_CHARS_PER_WORD) -> DataFrame:
     """J11 + X10: greedy longest-match-first wordpieces of distinct words.
 
     words: (word). Returns (word, wps array<struct<id: bigint, nbytes: int>>):
@@ -169,39 +169,50 @@ def token_pieces(tokens: DataFrame, vocab: DataFrame, max_chars: int = MAX_INPUT
     characters and unmatched words map to [UNK] unless the vocabulary has them.
     """
     unk_id = vocab_id_of(vocab, UNK_TOKEN)
-    distinct = tokens.select("token").distinct()
-    special = distinct.where(is_special_token())
-    plain = distinct.where(~is_special_token())
+    # combined before the shuffle, landed once, read by every branch below
+    distinct = landed(tokens.select("token").distinct(), "tokens")[0]
+    whole = is_special_token()
+    if preserve_unused:  # a token like [unused7] that the vocabulary has stays whole
+        unused = vocab.where(F.col("token").rlike(UNUSED_TOKEN_PATTERN)).select("token", F.lit(True).alias("_in"))
+        distinct = join_dimension(distinct, unused, ["token"], name="unused", how="left")
+        whole = whole | F.col("_in").isNotNull()
+    special = distinct.where(whole).select("token")
+    plain = distinct.where(~whole).select("token")
     sub = plain.select("token", F.posexplode(F.expr(basic_split_expr("token"))).alias("sub_pos", "p")).select(
         "token", "sub_pos", F.col("p.piece").alias("piece"), F.col("p.good").alias("good"))
-    if preserve_unused:
-        keep = sub.join(F.broadcast(vocab.select(F.col("token").alias("piece"), F.lit(True).alias("_in"))),
-                        "piece", "left")
-        sub = keep.withColumn("good", F.col("good") & ~(F.col("_in").isNotNull() &
-                                                        F.col("piece").rlike(UNUSED_TOKEN_PATTERN))).drop("_in")
-    words = sub.where("good").select(F.col("piece").alias("word")).distinct()
-    wp = wordpiece_words(words, vocab, max_chars)
-    good = sub.where("good").join(wp.withColumnRenamed("word", "piece"), "piece", "left")
+    # single characters (commas and the like, in a large share of all tokens) need no join by key: the
+    # single-character vocabulary has at most one row per Unicode character and is broadcast
+    single = F.char_length("piece") == 1
+    chars = vocab.where(F.char_length("token") == 1).select(F.col("token").alias("piece"), F.col("id").alias("cid"))
+    one = sub.where(F.col("good") & single).join(F.broadcast(chars), "piece", "left").select(
+        "token", "sub_pos", F.array(F.struct(F.coalesce("cid", F.lit(unk_id)).alias("id"),
+                                             F.octet_length("piece").alias("nbytes"))).alias("wps"))
+    longer = sub.where(F.col("good") & ~single)
+    wp = wordpiece_words(longer.select(F.col("piece").alias("word")).distinct(), vocab, max_chars)
+    good = longer.join(wp.withColumnRenamed("word", "piece"), "piece", "left")
     vocab_piece = vocab.select(F.col("token").alias("piece"), F.col("id").alias("vid"))
     bad = join_dimension(sub.where(~F.col("good")), vocab_piece, ["piece"], name="vocab", how="left")
     bad = bad.select("token", "sub_pos", F.array(F.struct(F.coalesce("vid", F.lit(unk_id)).alias("id"),
                                                           F.octet_length("piece").alias("nbytes"))).alias("wps"))
-    parts = good.select("token", "sub_pos", "wps").unionByName(bad)
+    parts = good.select("token", "sub_pos", "wps").unionByName(one).unionByName(bad)
     grouped = parts.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("sub_pos", "wps"))).alias("parts"))
-    flat = grouped.select("token", F.flatten(F.transform("parts", lambda x: x["wps"])).alias("wps"))
+    # offsets in two levels: bytes before a part, then bytes before a piece of it (a word has at most max_chars)
+    size = "aggregate(x.wps, 0, (a, q) -> a + q.nbytes)"
+    before = (f"aggregate(parts, named_struct('t', 0, 'b', CAST(array() AS ARRAY<INT>)), (acc, x) -> "
+              f"named_struct('t', acc.t + {size}, 'b', concat(acc.b, array(acc.t)))).b")
+    flat = grouped.withColumn("_b", F.expr(before)).select("token", F.expr(
+        "flatten(transform(parts, (x, k) -> transform(x.wps, (p, i) -> named_struct('id', p.id, 'rel_start', "
+        "CAST(_b[k] + aggregate(slice(x.wps, 1, i), 0, (a, q) -> a + q.nbytes) AS INT), 'nbytes', p.nbytes))))"
+    ).alias("pieces"))
     sp = join_dimension(special, vocab.select(F.col("token"), F.col("id").alias("vid")), ["token"],
                         name="vocab", how="left").select(
         "token", F.array(F.struct(
             F.when(F.col("vid").isNull(), F.raise_error(F.concat(F.lit("Unrecognized special token: "),
                                                                  F.col("token")))).otherwise(F.col("vid")).alias("id"),
-            F.octet_length("token").alias("nbytes"))).alias("wps"))
+            F.lit(0).alias("rel_start"), F.octet_length("token").alias("nbytes"))).alias("pieces"))
     empty = plain.where("token = ''").select("token", F.expr(
-        "CAST(array() AS ARRAY<STRUCT<id: BIGINT, nbytes: INT>>)").alias("wps"))
-    allp = flat.unionByName(sp).unionByName(empty)
-    return allp.select("token", F.expr(
-        "transform(wps, (p, i) -> named_struct('id', p.id, "
-        "'rel_start', CAST(aggregate(slice(wps, 1, i), 0, (a, q) -> a + q.nbytes) AS INT), 'nbytes', p.nbytes))"
-    ).alias("pieces"))
+        "CAST(array() AS ARRAY<STRUCT<id: BIGINT, rel_start: INT, nbytes: INT>>)").alias("pieces"))
+    return flat.unionByName(sp).unionByName(empty)
 
 
 def token_mismatch(pieces: DataFrame) -> DataFrame:
@@ -225,8 +236,9 @@ def tokenize_texts(texts: DataFrame, vocab: DataFrame, keys: list[str],
     window also counts marker tokens, and ``wp_segs`` gives every wordpiece
     the number of markers up to its token minus one (a segment guess).
     """
+    vocab = landed(vocab, "vocab")[0]
+    pieces = token_pieces(text_tokens(texts, keys), vocab, max_chars)
     toks = text_tokens(texts, keys).repartition(*(partition_keys or keys))
-    pieces = token_pieces(toks, vocab, max_chars)
     w = Window.partitionBy(*keys).orderBy("tok_pos").rowsBetween(Window.unboundedPreceding, -1)
     toks = toks.withColumn("tok_start", F.coalesce(F.sum(F.col("tok_bytes") + 1).over(w), F.lit(0)))
     if marker_prefix:
@@ -284,10 +296,15 @@ def full_tokenize(texts: DataFrame, vocab: DataFrame, keys: list[str], lower: bo
                   preserve_unused: bool = False) -> DataFrame:
     """Destructive basic tokenizer then wordpieces, as vocabulary ids
     per text (*keys, ids array<bigint>), computed on distinct words only."""
+    vocab = landed(vocab, "vocab")[0]
     toks = texts.select(*keys, F.posexplode(destructive_clean_split("text")).alias("w_pos", "word"))
     dw = destructive_word_tokens(toks.select("word").distinct(), lower, vocab, preserve_unused)
     sub = dw.select("word", F.posexplode("tokens").alias("t_pos", "piece"))
-    wp = wordpiece_words(sub.select(F.col("piece").alias("word")).distinct(), vocab)
+    kept = F.col("piece").rlike(UNUSED_TOKEN_PATTERN) if preserve_unused else F.lit(False)
+    words = sub.select(F.col("piece").alias("word"), kept.alias("kept")).distinct()
+    whole = words.where("kept").join(vocab.withColumnRenamed("token", "word"), "word").select(
+        "word", F.array(F.struct("id", F.octet_length("word").alias("nbytes"))).alias("wps"))
+    wp = wordpiece_words(words.where("not kept").select("word"), vocab).unionByName(whole)
     per_word = (sub.join(wp.withColumnRenamed("word", "piece"), "piece", "left")
                 .groupBy("word").agg(F.sort_array(F.collect_list(F.struct("t_pos", "wps"))).alias("p"))
                 .select("word", F.flatten(F.transform("p", lambda x: F.transform(x["wps"], lambda y: y["id"])))

@@ -2,7 +2,7 @@
 
 raw examples -> entries (in-row, landed in the shared folder) -> question
 and contexts texts -> tokenization (distinct tokens only; one hash
-partitioning on example_id serves the running offsets, the per-text
+partitioning on the row key serves the running offsets, the per-text
 collection and the question/contexts pairing) -> per-example arrays joined
 with the entry layout -> windows exploded into feature rows.
 """
@@ -30,19 +30,20 @@ class Prepared:
 
 def example_arrays(good: DataFrame, vocab: DataFrame, is_training: bool) -> DataFrame:
     """Tokenize questions ("[Q] " + question) and contexts of valid entries and
-    pair them with the layout needed for features."""
-    texts = good.select("example_id", F.lit("q").alias("kind"),
+    pair them with the layout needed for features. Every input line is treated
+    alone (``row_key``), so lines that repeat an example id stay apart."""
+    texts = good.select("row_key", F.lit("q").alias("kind"),
                         F.concat(F.lit(QUESTION_MARKER + " "), F.col("question_text")).alias("text")).unionByName(
-        good.select("example_id", F.lit("c").alias("kind"), F.col("contexts").alias("text")))
-    tok = tokenize.tokenize_texts(texts, vocab, ["example_id", "kind"], partition_keys=["example_id"],
+        good.select("row_key", F.lit("c").alias("kind"), F.col("contexts").alias("text")))
+    tok = tokenize.tokenize_texts(texts, vocab, ["row_key", "kind"], partition_keys=["row_key"],
                                   marker_prefix="[ContextId=")
-    per = tok.groupBy("example_id").agg(
+    per = tok.groupBy("row_key").agg(
         F.max(F.when(F.col("kind") == "q", F.col("wp_ids"))).alias("q_ids"),
         F.max(F.when(F.col("kind") == "c", F.struct("wp_ids", "wp_starts", "wp_ends", "wp_segs"))).alias("c"))
-    per = per.select("example_id", "q_ids", "c.wp_ids", "c.wp_starts", "c.wp_ends", "c.wp_segs")
-    lay = good.select("example_id", language_id_strict("language").alias("language_id"), "segments",
+    per = per.select("row_key", "q_ids", "c.wp_ids", "c.wp_starts", "c.wp_ends", "c.wp_segs")
+    lay = good.select("row_key", "example_id", language_id_strict("language").alias("language_id"), "segments",
                       *(["answer_type", "start_byte_offset", "end_byte_offset"] if is_training else []))
-    return per.join(lay, "example_id")
+    return per.join(lay, "row_key")
 
 
 def limit_examples(raw: DataFrame, max_examples: int) -> DataFrame:
@@ -57,7 +58,9 @@ def prepare(raw: DataFrame, vocab: DataFrame, is_training: bool, max_passages: i
     """``max_examples`` > 0 keeps the first that many articles in example id
     order (T4)."""
     raw = limit_examples(raw, max_examples)
-    entries, _ = landed(entry.build_entries(raw, max_passages, max_position), "entries")
+    # the key is fixed by writing it
+    entries, _ = landed(entry.build_entries(raw, max_passages, max_position)
+                        .withColumn("row_key", F.monotonically_increasing_id()), "entries")
     good = entries.where("reject_reason IS NULL")
     if is_training:
         good = entry.answer_typing(good)

@@ -227,3 +227,51 @@ def test_training_labels_point_at_mapped_pieces(spark, vocab):
     for r in pos:
         assert 0 < r.start_positions <= r.end_positions < 512
         assert r.segment_ids[r.start_positions] == 1 and r.segment_ids[r.end_positions] == 1
+
+
+WORDS = "[UNK] [CLS] [SEP] want ##want ##ed wa un runn ##ing , [unused0]".split()
+
+
+@pytest.fixture(scope="module")
+def small_vocab(spark):
+    return spark.createDataFrame(list(enumerate(WORDS)), "id long, token string")
+
+
+@pytest.mark.parametrize("preserve,ids", [(False, [7, 4, 5, 10, 8, 9] + [0] * 9), (True, [7, 4, 5, 10, 8, 9, 11] + [0] * 6)])
+def test_destructive_tokenizer_published_values(spark, small_vocab, preserve, ids):
+    df = spark.createDataFrame([(1, "UNwantéd,running [unused0] [CLS] [unused55]")], "k long, text string")
+    assert list(tokenize.full_tokenize(df, small_vocab, ["k"], True, preserve).first().ids) == ids
+
+
+@pytest.mark.parametrize("text,lower,tokens", [
+    ("ah博推zz", True, ["ah", "博", "推", "zz"]), (" \tHeLLo!how  \n Are yoU?  ", True, ["hello", "!", "how", "are", "you", "?"]),
+    (" \tHeLLo!how  \n Are yoU?  ", False, ["HeLLo", "!", "how", "Are", "yoU", "?"]), ("Héllo", True, ["hello"])])
+def test_destructive_split_published_values(spark, text, lower, tokens):
+    df = spark.createDataFrame([(text,)], "text string")
+    words = df.select(F.posexplode(tokenize.destructive_clean_split("text")).alias("i", "word"))
+    by = {r.word: list(r.tokens) for r in tokenize.destructive_word_tokens(words.select("word").distinct(), lower).collect()}
+    assert [t for r in words.orderBy("i").collect() for t in by[r.word]] == tokens
+
+
+def test_wordpieces_published_values(spark, small_vocab):
+    df = spark.createDataFrame([("unwanted",), ("unwantedX",), ("running",)], "word string")
+    got = {r.word: [WORDS[p.id] for p in r.wps] for r in tokenize.wordpiece_words(df, small_vocab).collect()}
+    assert got == {"unwanted": ["un", "##want", "##ed"], "unwantedX": ["[UNK]"], "running": ["runn", "##ing"]}
+
+
+def test_offset_tokenizer_keeps_unused_tokens(spark, small_vocab):
+    toks = spark.createDataFrame([("[unused0]",), ("[unused55]",), ("un,want",)], "token string")
+    got = {r.token: [(p.id, p.rel_start, p.nbytes) for p in r.pieces]
+           for r in tokenize.token_pieces(toks, small_vocab, preserve_unused=True).collect()}
+    assert got["[unused0]"] == [(11, 0, 9)] and got["un,want"] == [(7, 0, 2), (10, 2, 1), (3, 3, 4)]
+    assert [p[1:] for p in got["[unused55]"]] == [(0, 1), (1, 8), (9, 1)]
+
+
+def test_repeated_example_ids_stay_apart(spark, vocab):
+    rows = [(7, "english", "t", "", t, "q", [(0, len(t), 0, len(t))], []) for t in ("ab cd", "xy z", "ab cd")]
+    pr = P.prepare(spark.createDataFrame(rows, schemas.RAW_EXAMPLE), vocab, is_training=False)
+    ex = pr.examples.select("example_id", "row_key", "wp_ids").collect()
+    assert len(ex) == 3 and len({r.row_key for r in ex}) == 3 and {r.example_id for r in ex} == {7}
+    one = P.prepare(spark.createDataFrame(rows[:1], schemas.RAW_EXAMPLE), vocab, is_training=False).examples.first().wp_ids
+    assert sorted(map(list, (r.wp_ids for r in ex))).count(list(one)) == 2
+    assert pr.features.count() == 3

@@ -11,12 +11,12 @@ from spanqa.sources import derived
 from conftest import SF01
 
 
-def test_salted_join_equals_broadcast_join(spark):
+def test_shuffled_join_equals_broadcast_join(spark):
     docs = derived.documents(spark, SF01)
     toks = docs.select("doc_id", F.explode(F.split("text", " ")).alias("token"))
     dim = toks.select("token").distinct().withColumn("n", F.length("token"))
     a = join_dimension(toks, dim, ["token"], name="t-dim-b")                       # broadcast
-    b = join_dimension(toks, dim, ["token"], name="t-dim-s", max_broadcast_bytes=0, salt_buckets=7)  # salted
+    b = join_dimension(toks, dim, ["token"], name="t-dim-s", max_broadcast_bytes=0)  # shuffled
     key = ["doc_id", "token", "n"]
     assert a.count() == b.count() == toks.count()
     assert a.select(*key).exceptAll(b.select(*key)).count() == 0
