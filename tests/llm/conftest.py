@@ -1,18 +1,5 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-from spanqa.session import local_session  # noqa: E402
-
-
-@pytest.fixture(scope="session")
-def spark():
-    return local_session("*", shuffle_partitions=8, app="spanqa-tests")
-
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, kind string"
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from spanqa.llm import ann, decontam, licenses, mixing, pii, simhash, toxicity
 from spanqa.llm.queries import QUERIES
-from test_simhash import slow_components
-from test_spans import slow_pii
+from .test_simhash import slow_components
+from .test_spans import slow_pii
 
 SF = "/root/testdata/sf0.01"
 
