@@ -10,7 +10,6 @@ chosen by a hash of doc_id, three windows of each. Prediction covers every byte
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,6 @@ EMBEDDING = 8
 MAX_DOCS = 4_000
 WINDOWS_PER_DOC = 3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 _STEP = 192
 
 
@@ -146,7 +144,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             lang, score = ["und"] * len(t), [0.0] * len(t)
             group, weight = [], 0
             for i, text in enumerate(t):
-                if net is None or not text or not _LETTER.search(text):
+                if net is None or not text or not any(map(str.isalpha, text)):
                     continue
                 x, size = windows(text)
                 group.append((i, x, size))
