@@ -9,7 +9,8 @@ an article or main element, and outside navigation, headers and footers, asides,
 they are adverts, notices, comments and the like, are main text; the rest isn't. On every other training
 page the sectioning marks are hidden from the features, so that the chain also learns from text, position and
 neighbours and works on pages without such marks. Training uses a bounded sample of `MAX_PAGES` pages in
-expectation, chosen by a hash; extraction covers every page whole.
+expectation, chosen by a hash among those of at most `MAX_CHARS` characters, and the first `MAX_BLOCKS` blocks of each;
+extraction covers every page whole.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 MAX_PAGES = 600
 MAX_BLOCKS = 200
+MAX_CHARS = 200_000
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style template noscript head title svg math iframe object canvas audio video map".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
@@ -264,7 +266,7 @@ def fit(htmls: list[str]) -> Chain:
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Chain:
     """Fit on a bounded sample of `pages(html)`."""
-    known = pages.where("html is not null").select(F.col("html").cast("string").alias("html"))
+    known = pages.where("html is not null").where(F.length(F.col("html").cast("string")) <= MAX_CHARS).select(F.col("html").cast("string").alias("html"))
     share = min(1.0, max_pages / max(known.count(), 1))
     rows = known.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("html")
     return fit([r.html for r in rows.toLocalIterator()])
