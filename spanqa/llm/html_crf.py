@@ -265,10 +265,13 @@ def fit(htmls: list[str]) -> Chain:
 
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Chain:
-    """Fit on a bounded sample of `pages(html)`."""
-    known = pages.where("html is not null").where(F.length(F.col("html").cast("string")) <= MAX_CHARS).select(F.col("html").cast("string").alias("html"))
+    """Fit on a bounded sample of `pages(html, ...)`; rows are drawn by a hash of all their columns, so that very many
+    copies of one page under different ids count no more than any other rows."""
+    html = F.col("html").cast("string")
+    known = pages.withColumn("_h", F.xxhash64(*pages.columns)).where(F.length(html) <= MAX_CHARS).select(
+        "_h", html.alias("html"))
     share = min(1.0, max_pages / max(known.count(), 1))
-    rows = known.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("html")
+    rows = known.where(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("html", "_h").select("html")
     return fit([r.html for r in rows.toLocalIterator()])
 
 
