@@ -10,7 +10,9 @@ found by a scan of all vectors, and the number of candidates is the smallest tha
 that form clusters need few; vectors without any structure need a share of the table.
 
 Every vector is indexed. Cells are packed into blocks of about `BLOCK` vectors (a larger cell is split) that meet
-chunks of about `BLOCK` queries, so neither a crowded cell nor a popular one lands in one task. The cell table
+chunks of about `BLOCK` queries, so neither a crowded cell nor a popular one lands in one task. A block passes on only
+what can still be among the nearest found: scores not below those of the nearest in the codebook sample, as far as
+the probe reaches it, which is a part of the candidates and so gives a lower bound. The cell table
 (at most MAX_CENTROIDS squared counts) is all that passes through the driver.
 """
 
@@ -174,13 +176,16 @@ def search(embeddings: DataFrame, is_query: Column, top: int = TOP, candidates:
         share = int(min(1.0, want / max(have, 1)) * (1 << 20)) + 1
         return df.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).orderBy("vec_id").select("vec_id", "v").toArrow()
 
-    x = _matrix(some(valid, sample, n).column("v"))
-    if not len(x):
-        x = _matrix(valid.limit(1).toArrow().column("v"))
+    drawn = some(valid, sample, n)
+    if not len(drawn):
+        drawn = valid.limit(1).select("vec_id", "v").toArrow()
+    x, drawn_ids = _matrix(drawn.column("v")), drawn.column("vec_id").to_numpy()
     k = int(np.clip(round((n / PER_CELL) ** 0.5), 2, MAX_CENTROIDS))
     half = max(1, dim // 2)
     index = Index((kmeans(x[:, :half], k), kmeans(x[:, half:], k, seed=1) if dim > 1 else np.zeros((1, 0))))
 
+    drawn_cells = index.cells(x)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
@@ -212,19 +217,30 @@ def search(embeddings: DataFrame, is_query: Column, top: int = TOP, candidates:
         for b in batches:
             if not len(b):
                 continue
-            wanted = []
-            for q in _matrix(b.column(1)):
+            wanted, queries_ = [], _matrix(b.column(1))
+            near = queries_ @ x.T
+            near[b.column(0).to_numpy()[:, None] == drawn_ids[None]] = -np.inf
+            for i, q in enumerate(queries_):
                 by: dict[int, list[int]] = {}
-                for c in index.probe(q, candidates):
+                cells = index.probe(q, candidates)
+                for c in cells:
                     for block in range(index.first[c], index.last[c] + 1):
                         by.setdefault(int(block), []).append(c)
                 wanted.append([{"block": k, "cells": v} for k, v in by.items()])
+                reached = np.zeros(len(index.counts), bool)
+                reached[cells] = True
+                near[i, ~reached[drawn_cells]] = -np.inf
+            bound = np.partition(near, -top, axis=1)[:, -top] if len(x) >= top else np.full(len(b), -np.inf)
+            bound -= 1e-9 * (1 + np.abs(bound))
             kind = pa.list_(pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wanted, kind)], ["query_id", "v", "wanted"])
-
-    probes = land(queries.mapInArrow(
-        probe, "query_id long, v array<double>, wanted array<struct<block:int,cells:array<int>>>"), "ann-probes")
-    asked = probes.select("query_id", "v", F.explode("wanted").alias("w")).select("query_id", "v", "w.block", "w.cells")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(bound), pa.array(wanted, kind)],
+                ["query_id", "v", "bound", "wanted"])
+
+    probes = land(queries.mapInArrow(probe, "query_id long, v array<double>, bound double, "
+                                     "wanted array<struct<block:int,cells:array<int>>>"), "ann-probes")
+    asked = probes.select("query_id", "v", "bound", F.explode("wanted").alias("w")).select(
+        "query_id", "v", "bound", "w.block", "w.cells")
     chunks = land(asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "ann-chunks")
     left = (blocks.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .drop("chunks"))
@@ -240,6 +256,7 @@ def search(embeddings: DataFrame, is_query: Column, top: int = TOP, candidates:
         qid = wanted.column("query_id").to_numpy()
         s = inner_products(_matrix(wanted.column("v")), _matrix(vectors.column("v")))
         s[qid[:, None] == ids[None]] = -np.inf
+        s[s < wanted.column("bound").to_numpy()[:, None]] = -np.inf
         for i, c in enumerate(wanted.column("cells").to_pylist()):
             s[i, ~np.isin(cells, c)] = -np.inf
         return top_rows(qid, s, ids, cells, top)
