@@ -90,3 +90,10 @@ def metrics_json(ev: Evaluation) -> DataFrame:
     return m.select(F.to_json(F.struct(
         "avg_passage_f1", "avg_passage_recall", "avg_passage_precision",
         "avg_minimal_f1", "avg_minimal_recall", "avg_minimal_precision")).alias("json"))
+
+
+def write_reports(ev: Evaluation, path: str, languages: list[str] | None = None) -> None:
+    """K6: one JSON line per evaluated language and task under ``path``/languages,
+    the aggregate metrics as one JSON line under ``path``/metrics."""
+    language_report(ev, languages).write.mode("overwrite").json(f"{path}/languages")
+    metrics_json(ev).write.mode("overwrite").text(f"{path}/metrics")

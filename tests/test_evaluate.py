@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spanqa.functions.spans import is_null_span, partial_match, span_error
 from spanqa.operators import curve, scoring
 from spanqa.plans import evaluate as E
+from spanqa.session import work_path
 from spanqa.sources import derived, readers
 
 from conftest import SF01
@@ -140,3 +141,17 @@ def test_validation_modes(spark, row, rule):
     kept = {r.example_id: r.error for r in scoring.validate_predictions(df, "keep").collect()}
     assert kept[2] is None and kept[1]
     assert scoring.validate_predictions(df.where("example_id = 2")).count() == 1
+
+
+def test_written_reports(spark):
+    raw = _raw(spark, [(1, "finnish", [(0, 1, 5, "NONE")] * 3), (2, "finnish", [(-1, -1, -1, "NONE")] * 3)])
+    schema = ("example_id long, language string, passage_answer_index long, minimal_start_byte long, minimal_end_byte long, "
+              "yes_no_answer string, passage_score double, minimal_score double, _ord long")
+    pred = spark.createDataFrame([(1, "finnish", 0, 1, 5, "none", 2.0, 2.0, 1)], schema)
+    ev = E.evaluate(raw, pred)
+    out = work_path(spark, "t-reports")
+    E.write_reports(ev, out)
+    rows = spark.read.json(f"{out}/languages").collect()
+    assert {(r.language, r.task, r.best_f1) for r in rows} == {("finnish", "passage", 1.0), ("finnish", "minimal", 1.0)}
+    total = spark.read.json(f"{out}/metrics").collect()
+    assert len(total) == 1 and total[0].avg_passage_f1 == 1.0
