@@ -4,32 +4,48 @@ the gold answer with up to 100 bytes around it (start clamped at 0)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanqa.operators.entry import _bslice
 from spanqa.operators.features import to_plaintext_expr
+from spanqa.operators.joins import join_dimension
 
 
-def slice_report(entries: DataFrame, tokens: DataFrame, width: int = 20) -> DataFrame:
+def cut_bytes(text: str, start: Column, length: Column) -> Column:
+    """``length`` bytes of ``text`` from byte ``start`` on, as a string that may hold cut characters."""
+    return F.substring(F.encode(text, "UTF-8"), start + 1, length).cast("string")
+
+
+def slice_report(entries: DataFrame, tokens: DataFrame, vocab: DataFrame, width: int = 20) -> DataFrame:
     """entries: example_id, contexts, plaintext, segments; tokens: example_id,
-    wp_starts. Per slice: its text, whether the bytes are whole characters,
-    the plaintext offset of its first byte (-1 for markers / spaces), the
-    plaintext recovered from that offset, and the wordpieces starting in it."""
-    j = entries.select("example_id", "contexts", "plaintext", "segments").join(
-        tokens.select("example_id", "wp_starts"), "example_id")
-    s = j.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("contexts") - 1, F.lit(0)),
-                                           F.lit(width))).alias("at"))
-    s = s.withColumn("_cb", F.encode("contexts", "UTF-8")).withColumn("_pb", F.encode("plaintext", "UTF-8"))
-    s = s.withColumn("plain_at", F.expr(f"{to_plaintext_expr('array(at)', 'segments')}[0]"))
-    return s.select(
-        "example_id", "at",
-        F.expr(_bslice("_cb", "at", f"at + {width}")).alias("ctx_text"),
-        F.is_valid_utf8(F.substring("_cb", F.col("at") + 1, width).cast("string")).alias("whole_chars"),
-        "plain_at",
-        F.when(F.col("plain_at") >= 0, F.expr(_bslice("_pb", "plain_at", f"plain_at + {width}"))).alias("plain_text"),
-        F.size(F.filter("wp_starts", lambda x: (x >= F.col("at")) & (x < F.col("at") + width))).alias("n_wordpieces"),
-    )
+    wp_ids, wp_starts; vocab: id, token. Per slice: its text, whether the bytes
+    are whole characters, the plaintext offset of its first byte (-1 for markers
+    / spaces), the plaintext recovered from that offset, and the number and
+    space-joined text of the wordpieces starting in it.
+
+    Slices are cut inside the article's row, so only they are multiplied; pieces
+    meet their slice by an equi-join on the slice's start."""
+    w = int(width)
+    e = entries.select("example_id", F.encode("contexts", "UTF-8").alias("cb"), "segments",
+                       F.encode("plaintext", "UTF-8").alias("pb"),
+                       F.expr(f"sequence(0, greatest(octet_length(contexts) - 1, 0), {w})").alias("cuts"))
+    e = e.withColumn("plain", F.expr(to_plaintext_expr("cuts", "segments")))
+    s = e.select("example_id", F.expr(
+        f"inline(zip_with(cuts, plain, (a, p) -> named_struct('at', a, 'plain_at', p, 'raw', substring(cb, a + 1, {w}), "
+        f"'plain_text', IF(p >= 0, {_bslice('pb', 'CAST(p AS INT)', f'CAST(p AS INT) + {w}')}, NULL))))"))
+    p = tokens.select("example_id", F.posexplode(F.arrays_zip("wp_ids", "wp_starts")).alias("i", "p")).select(
+        "example_id", "i", F.col("p.wp_ids").alias("id"),
+        F.expr(f"CAST(p.wp_starts - p.wp_starts % {w} AS INT)").alias("at"))
+    p = join_dimension(p, vocab.select("id", "token"), ["id"], name="report-vocab", how="left")
+    p = p.groupBy("example_id", "at").agg(
+        F.count(F.lit(1)).cast("int").alias("n_wordpieces"),
+        F.array_sort(F.collect_list(F.struct("i", F.coalesce("token", F.lit("")).alias("token")))).alias("pieces"))
+    raw = F.col("raw").cast("string")
+    return s.join(p, ["example_id", "at"], "left").select(
+        "example_id", "at", F.make_valid_utf8(raw).alias("ctx_text"), F.is_valid_utf8(raw).alias("whole_chars"),
+        "plain_at", "plain_text", F.coalesce("n_wordpieces", F.lit(0)).alias("n_wordpieces"),
+        F.coalesce(F.array_join("pieces.token", " "), F.lit("")).alias("wordpieces"))
 
 
 def answer_context(entries: DataFrame, around: int = 100) -> DataFrame:

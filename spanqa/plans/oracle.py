@@ -439,18 +439,6 @@ lc AS (SELECT language, count(*) AS n_examples FROM d GROUP BY language)""") + "
 SELECT language, n_examples, CAST(floor(least(10.0, max(n_examples) OVER () / n_examples)) AS INTEGER) AS ratio
 FROM lc"""
 
-SQL["oversampled"] = _with(BASE, """
-lc AS (SELECT language, count(*) AS n_examples FROM d GROUP BY language),
-lr AS (SELECT language, n_examples, floor(least(10.0, max(n_examples) OVER () / n_examples)) AS ratio FROM lc)""") + """
-SELECT language, CAST(n_examples * ratio AS BIGINT) AS n_rows FROM lr"""
-
-SQL["shards"] = """
-WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
-s AS (SELECT doc_id, pos // 64 AS shard, pos // 16 AS batch FROM o),
-fb AS (SELECT batch FROM s GROUP BY batch HAVING count(*) = 16)
-SELECT shard, count(*) AS n_examples, count(DISTINCT batch) AS n_batches
-FROM s WHERE batch IN (SELECT batch FROM fb) GROUP BY shard"""
-
 # ---------------------------------------------------------------- windows ---
 
 _WIN = r"""
@@ -691,16 +679,16 @@ pieces AS (
 allp AS (SELECT plain.doc_id, plain.i, pieces.j, pieces.k, pieces.id, pieces.nb, plain.tok_start
          FROM plain JOIN pieces ON pieces.token = plain.token
          UNION ALL SELECT doc_id, i, j, k, id, nb, tok_start FROM spec),
-offs AS (SELECT doc_id, id, nb, tok_start + coalesce(sum(nb) OVER (PARTITION BY doc_id, i ORDER BY j, k
+offs AS (SELECT doc_id, i, j, k, id, nb, tok_start + coalesce(sum(nb) OVER (PARTITION BY doc_id, i ORDER BY j, k
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM allp)
-SELECT doc_id AS example_id, CAST(count(*) AS INTEGER) AS n_wordpieces, CAST(sum(id) AS BIGINT) AS id_sum,
-       CAST(sum(st) AS BIGINT) AS start_sum, bool_or(st + nb - 1 < st) AS any_inverted
+SELECT doc_id AS example_id, CAST(count(*) AS INTEGER) AS n_wordpieces, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY i, j, k)) AS ids_md5,
+       md5(string_agg(CAST(st AS VARCHAR), ',' ORDER BY i, j, k)) AS starts_md5,
+       md5(string_agg(CAST(st + nb - 1 AS VARCHAR), ',' ORDER BY i, j, k)) AS ends_md5
 FROM offs GROUP BY doc_id"""
 
 _TOK_CTES = SQL["tokens_with_offsets"].rsplit("SELECT doc_id AS example_id, CAST(count(*) AS INTEGER)", 1)[0]
 
-SQL["nearest_wordpiece"] = _TOK_CTES.replace(
-    "offs AS (SELECT doc_id, id, nb, tok_start", "offs AS (SELECT doc_id, i, j, k, id, nb, tok_start").rstrip() + """,
+SQL["nearest_wordpiece"] = _TOK_CTES.rstrip() + """,
 ix AS (SELECT doc_id, st, st + nb - 1 AS en, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS wi
        FROM offs),
 tgt AS (SELECT example_id, CASE WHEN annotated_idx < 0 THEN 0 WHEN has_min THEN gs - cs + ts ELSE ts END AS sb,
@@ -730,18 +718,20 @@ nw AS (SELECT ex, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((n - (50
               END AS k FROM cnt)
 SELECT k AS n_features, count(*) AS n_examples FROM nw GROUP BY k"""
 
-SQL["features"] = _QTOK.replace(
-    "offs AS (SELECT doc_id, id, nb, tok_start", "offs AS (SELECT doc_id, i, j, k, id, nb, tok_start").rstrip() + """,
+SQL["features"] = _QTOK.rstrip() + """,
 ids2(language, language_id) AS (VALUES ('arabic', 0), ('bengali', 1), ('finnish', 2), ('indonesian', 3),
    ('japanese', 4), ('swahili', 5), ('korean', 6), ('russian', 7), ('telugu', 8), ('thai', 9), ('english', 10)),
-op AS (SELECT doc_id // 2 AS ex, doc_id % 2 AS kind, id, st,
+op AS (SELECT doc_id // 2 AS ex, doc_id % 2 AS kind, id, st, st + nb - 1 AS en,
               row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS wi,
               count(*) OVER (PARTITION BY doc_id) AS cnt FROM offs),
-qsum AS (SELECT ex, least(64, max(cnt)) AS nq, sum(id) FILTER (WHERE wi >= cnt - 64) AS qids
+qsum AS (SELECT ex, least(64, max(cnt)) AS nq, 
+                string_agg(CAST(id AS VARCHAR), ',' ORDER BY wi) FILTER (WHERE wi >= cnt - 64) AS qids
          FROM op WHERE kind = 1 GROUP BY ex),
 dp AS (SELECT op.ex, op.wi, op.id,
-              EXISTS (SELECT 1 FROM seg WHERE seg.doc_id = op.ex AND op.st >= seg.ctx_start AND op.st < seg.ctx_end)
-                AS mapped
+              coalesce((SELECT plain_start + op.st - ctx_start FROM seg WHERE seg.doc_id = op.ex
+                          AND op.st >= seg.ctx_start AND op.st < seg.ctx_end), -1) AS ps,
+              coalesce((SELECT plain_start + op.en - ctx_start FROM seg WHERE seg.doc_id = op.ex
+                          AND op.en >= seg.ctx_start AND op.en < seg.ctx_end), -1) AS pe
        FROM op WHERE kind = 0),
 dn AS (SELECT ex, count(*) AS n FROM dp GROUP BY ex),
 wpar AS (SELECT q.ex, q.nq, q.qids, coalesce(dn.n, 0) AS n, 509 - q.nq AS w, least(509 - q.nq, 128) AS step
@@ -750,13 +740,21 @@ wk AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((n - w) /
 win AS (SELECT ex, nq, qids, n, w, step, unnest(range(kk)) AS kw FROM wk WHERE kk > 0),
 win2 AS (SELECT *, kw * step AS ws, least(n - kw * step, w) AS wl FROM win),
 agg AS (SELECT win2.ex, win2.kw, win2.nq, win2.qids, win2.wl,
-               coalesce(sum(dp.id), 0) AS dsum, count(dp.id) FILTER (WHERE dp.mapped) AS nm
+               string_agg(CAST(dp.id AS VARCHAR), ',' ORDER BY dp.wi) AS dids,
+               string_agg(CAST(dp.ps AS VARCHAR), ',' ORDER BY dp.wi) AS dps,
+               string_agg(CAST(dp.pe AS VARCHAR), ',' ORDER BY dp.wi) AS dpe,
+               count(dp.id) FILTER (WHERE dp.ps >= 0) AS nm
         FROM win2 LEFT JOIN dp ON dp.ex = win2.ex AND dp.wi >= win2.ws AND dp.wi < win2.ws + win2.wl
         GROUP BY win2.ex, win2.kw, win2.nq, win2.qids, win2.wl)
 SELECT agg.ex + agg.kw AS unique_ids, agg.ex AS example_index, CAST(agg.kw AS INTEGER) AS doc_span_index,
        CAST(ids2.language_id AS INTEGER) AS language_id,
-       CAST((SELECT id FROM vocab WHERE token = '[CLS]') + agg.qids + 2 * (SELECT id FROM vocab WHERE token = '[SEP]')
-            + agg.dsum AS BIGINT) AS id_sum,
+       md5((SELECT id FROM vocab WHERE token = '[CLS]') || ',' || agg.qids || ','
+           || (SELECT id FROM vocab WHERE token = '[SEP]') || ',' || agg.dids || ','
+           || (SELECT id FROM vocab WHERE token = '[SEP]') || repeat(',0', CAST(509 - agg.nq - agg.wl AS BIGINT))) AS ids_md5,
+       md5(repeat('-1,', CAST(agg.nq + 2 AS BIGINT)) || agg.dps || repeat(',-1', CAST(510 - agg.nq - agg.wl AS BIGINT)))
+         AS starts_md5,
+       md5(repeat('-1,', CAST(agg.nq + 2 AS BIGINT)) || agg.dpe || repeat(',-1', CAST(510 - agg.nq - agg.wl AS BIGINT)))
+         AS ends_md5,
        CAST(agg.nq + 3 + agg.wl AS BIGINT) AS n_real, CAST(agg.wl + 1 AS BIGINT) AS n_doc,
        CAST(agg.nm AS INTEGER) AS n_mapped
 FROM agg JOIN d ON d.doc_id = agg.ex JOIN ids2 ON ids2.language = d.language"""
@@ -833,3 +831,18 @@ SELECT count(*) AS n_records, CAST(0 AS BIGINT) AS n_bad_length, count(DISTINCT
 # the repeatable order itself is not comparable by an order-insensitive check: the row set is
 SQL["shuffled"] = _WINDOWS + """
 SELECT ex + kw AS unique_ids, ex AS example_index, CAST(kw AS INTEGER) AS doc_span_index FROM win2"""
+
+SQL["oversampled"] = _WINDOWS + """,
+lc AS (SELECT language, count(*) AS n_examples FROM d GROUP BY language),
+lr AS (SELECT language, floor(least(10.0, max(n_examples) OVER () / n_examples)) AS ratio FROM lc)
+SELECT CAST(ids2.language_id AS INTEGER) AS language_id, CAST(count(*) * max(lr.ratio) AS BIGINT) AS n_rows,
+       CAST(max(lr.ratio) AS INTEGER) AS n_copies
+FROM win2 JOIN d ON d.doc_id = win2.ex JOIN lr ON lr.language = d.language JOIN ids2 ON ids2.language = d.language
+GROUP BY ids2.language_id"""
+
+SQL["shards"] = _WINDOWS + """,
+o AS (SELECT ex, dense_rank() OVER (ORDER BY ex) - 1 AS er, row_number() OVER (ORDER BY ex, kw) - 1 AS pos,
+             count(*) OVER () AS n_all FROM win2)
+SELECT er // 64 AS shard, count(DISTINCT ex) AS n_examples, count(*) AS n_features, CAST(1 AS BIGINT) AS n_files,
+       count(*) FILTER (WHERE pos < n_all - n_all % 16) AS n_batched
+FROM o GROUP BY er // 64"""

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanqa.constants import (DOC_STRIDE, INCLUDE_UNKNOWNS, MAX_PASSAGES, MAX_POSITION, MAX_QUESTION_LENGTH,
-                              MAX_SEQ_LENGTH, QUESTION_MARKER)
+from spanqa.constants import (DOC_STRIDE, INCLUDE_UNKNOWNS, MAX_OVERSAMPLE_RATIO, MAX_PASSAGES, MAX_POSITION,
+                              MAX_QUESTION_LENGTH, MAX_SEQ_LENGTH, QUESTION_MARKER)
 from spanqa.functions.lang import language_id_strict
-from spanqa.operators import entry, features, tokenize
+from spanqa.operators import entry, features, tokenize, training
 from spanqa.operators.joins import landed
 
 
@@ -70,3 +70,16 @@ def prepare(raw: DataFrame, vocab: DataFrame, is_training: bool, max_passages: i
     feats = features.build_features(ex, cls_id, sep_id, is_training, max_seq_length, doc_stride,
                                     max_question_length, include_unknowns, seed)
     return Prepared(entries, ex, feats)
+
+
+def training_rows(raw: DataFrame, vocab: DataFrame, oversample: bool = True,
+                  max_ratio: int = MAX_OVERSAMPLE_RATIO, seed: int = 0, **options) -> DataFrame:
+    """The training features, repeated by the ratios of the
+    languages of ``raw`` (``copy`` counts from 1) and numbered in a repeatable
+    shuffled order (``position``). ``options`` go to ``prepare``."""
+    f, _ = landed(prepare(raw, vocab, is_training=True, seed=seed, **options).features, "training-features")
+    if oversample:
+        f = training.oversample(f, training.language_ratios(raw, max_ratio))
+    else:
+        f = f.withColumn("copy", F.lit(1))
+    return training.shuffled(f, ["example_index", "doc_span_index", "copy"], seed)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqa.constants import GOLDP_LANGUAGES, MAX_OVERSAMPLE_RATIO
+from spanqa.constants import GOLDP_LANGUAGES
 from spanqa.functions import chars as C
-from spanqa.operators import alignment, assemble, entry, features, goldp, model, tokenize
+from spanqa.operators import alignment, assemble, entry, features, goldp, model, tokenize, training
 from spanqa.operators.joins import landed
 from spanqa.plans import predict as PR
 from spanqa.plans import prepare as P
@@ -203,12 +203,11 @@ def q_char_classes(spark, sf_dir):
 
 @query
 def q_text_repair(spark, sf_dir):
-    """For every document longer than 7 bytes, the slice from byte
-    1 to its length - 2 (which may cut characters): validity check and
-    replacement decoding."""
-    d = _docs(spark, sf_dir).where("octet_length(text) > 7")
-    b = F.encode("text", "UTF-8")
-    raw = F.substring(b, 2, F.octet_length("text") - 3).cast("string")
+    """For every document, the slice from byte 1 to its length - 2
+    (which may cut characters, and is empty in texts of under 4 bytes):
+    validity check and replacement decoding."""
+    d = _docs(spark, sf_dir)
+    raw = alignment.cut_bytes("text", F.lit(1), F.greatest(F.octet_length("text") - 3, F.lit(0)))
     return d.select("doc_id", F.is_valid_utf8(raw).alias("valid"),
                     F.octet_length(F.make_valid_utf8(raw)).alias("repaired_bytes"),
                     F.char_length(F.regexp_replace(F.make_valid_utf8(raw), "[^�]", "")).alias("n_replaced"))
@@ -292,18 +291,20 @@ def q_full_tokenizer(spark, sf_dir):
                                        F.sum(F.char_length("token")).alias("piece_chars"))
 
 
+def _digest(array: str):
+    return F.md5(F.array_join(F.col(array).cast("array<string>"), ","))
+
+
 @query
 def q_tokens_with_offsets(spark, sf_dir):
     """Wordpieces of every entry's contexts with byte
-    offsets; summarised per example (count, id checksum, offset checks)."""
+    offsets; per example the count and digests of the ids, starts and ends in order."""
     e = entries(spark, sf_dir).where("reject_reason IS NULL")
     tt = tokenize.tokenize_texts(e.select("example_id", F.col("contexts").alias("text")), vocab(spark, sf_dir),
                                  ["example_id"])
     return tt.select("example_id", F.size("wp_ids").alias("n_wordpieces"),
-                     F.aggregate("wp_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
-                     F.aggregate("wp_starts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("start_sum"),
-                     F.exists(F.arrays_zip("wp_starts", "wp_ends"),
-                              lambda z: z["wp_ends"] < z["wp_starts"]).alias("any_inverted"))
+                     _digest("wp_ids").alias("ids_md5"), _digest("wp_starts").alias("starts_md5"),
+                     _digest("wp_ends").alias("ends_md5"))
 
 
 @query
@@ -348,10 +349,11 @@ def q_nearest_wordpiece(spark, sf_dir):
 
 @query
 def q_features(spark, sf_dir):
-    """Evaluation features (all windows) - one row per window."""
+    """Evaluation features (all windows) - one row per window, arrays as digests of their values."""
     f = eval_prepared(spark, sf_dir)
     return f.select("unique_ids", "example_index", "doc_span_index", "language_id",
-                    F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+                    _digest("input_ids").alias("ids_md5"), _digest("wp_start_offset").alias("starts_md5"),
+                    _digest("wp_end_offset").alias("ends_md5"),
                     F.aggregate("input_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"),
                     F.aggregate("segment_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_doc"),
                     F.size(F.filter("wp_start_offset", lambda x: x >= 0)).alias("n_mapped"))
@@ -387,62 +389,44 @@ def q_feature_roundtrip(spark, sf_dir):
 
 # ------------------------------------------------------ sampling / shards ---
 
-def _lang_counts(raw: DataFrame) -> DataFrame:
-    return raw.groupBy("language").agg(F.count(F.lit(1)).alias("n_examples"))
-
-
 @query
 def q_lang_counts(spark, sf_dir):
     """A10: examples per language."""
-    return _lang_counts(raw_examples(spark, sf_dir))
-
-
-def _ratios(raw: DataFrame, max_ratio: int = MAX_OVERSAMPLE_RATIO) -> DataFrame:
-    c = _lang_counts(raw)
-    # one row per language (bounded by the language list)
-    return c.withColumn("ratio", F.floor(F.least(F.lit(float(max_ratio)), F.max("n_examples").over(
-        Window.partitionBy()) / F.col("n_examples"))).cast("int"))
+    return training.language_ratios(raw_examples(spark, sf_dir)).select("language", "n_examples")
 
 
 @query
 def q_oversample_ratio(spark, sf_dir):
     """Oversampling ratio per language int(min(10, max count / count))."""
-    return _ratios(raw_examples(spark, sf_dir)).select("language", "n_examples", "ratio")
+    return training.language_ratios(raw_examples(spark, sf_dir))
 
 
 @query
 def q_oversampled(spark, sf_dir):
-    """T5: every example repeated by its language's ratio; rows per language."""
-    raw = raw_examples(spark, sf_dir)
-    r = _ratios(raw).select("language", "ratio")
-    o = raw.select("example_id", "language").join(F.broadcast(r), "language").select(
-        "language", F.explode(F.sequence(F.lit(1), "ratio")).alias("copy"))
-    return o.groupBy("language").agg(F.count(F.lit(1)).alias("n_rows"))
+    """T5: every feature repeated by its language's ratio; rows and copies per language."""
+    o = training.oversample(eval_prepared(spark, sf_dir), training.language_ratios(raw_examples(spark, sf_dir)))
+    return o.groupBy("language_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("copy").alias("n_copies"))
 
 
 @query
 def q_shuffled(spark, sf_dir):
-    """Features in a repeatable pseudo-random order (hash of id and seed)."""
-    f = eval_prepared(spark, sf_dir)
-    return f.select("unique_ids", "example_index", "doc_span_index").orderBy(
-        F.xxhash64("example_index", "doc_span_index", F.lit(12345)))
+    """Features in a repeatable pseudo-random order (hash of ids and seed)."""
+    f = eval_prepared(spark, sf_dir).select("unique_ids", "example_index", "doc_span_index")
+    return training.shuffled(f, ["example_index", "doc_span_index"], 12345).orderBy("position").drop("position")
 
 
 @query
 def q_shards(spark, sf_dir):
-    """Examples in id order written as shards of 64 (one folder per
-    shard), read back, cut into batches of 16 (a short last batch dropped),
-    counted per shard."""
-    raw = raw_examples(spark, sf_dir).select("example_id")
+    """Features written in shards of 64 examples and read back; per shard the counts of the sink, the
+    files, and the features that batches of 16 keep (features in id order, a short last batch dropped)."""
     path = work_path(spark, "shards")
-    readers.write_shards(raw, path, "example_id", 64)
-    back = spark.read.parquet(path)
-    idx = readers.dense_index(back.select("example_id", "shard"), "example_id", "pos")
-    s = idx.select("example_id", "shard", (F.col("pos") / 16).cast("long").alias("batch"))
-    full = s.groupBy("batch").agg(F.count(F.lit(1)).alias("bn")).where("bn = 16")
-    kept = s.join(full, "batch", "left_semi")
-    return kept.groupBy("shard").agg(F.count(F.lit(1)).alias("n_examples"),
-                                     F.countDistinct("batch").alias("n_batches"))
+    counts = training.write_shards(eval_prepared(spark, sf_dir), path, 64)
+    back = spark.read.parquet(path).select(F.col("shard").cast("long").alias("shard"), "example_index",
+                                           "doc_span_index", F.input_file_name().alias("file"))
+    files = back.groupBy("shard").agg(F.countDistinct("file").alias("n_files"))
+    kept = training.batches(readers.dense_index(back, ["example_index", "doc_span_index"], "position"), 16)
+    return counts.join(files, "shard", "left").join(
+        kept.groupBy("shard").agg(F.count(F.lit(1)).alias("n_batched")), "shard", "left").fillna(0, ["n_batched"])
 
 
 # ------------------------------------------------------------- assembly ---
@@ -645,11 +629,11 @@ def q_alignment_report(spark, sf_dir):
     """20-byte slices of every valid entry's contexts with the
     plaintext they map to and the wordpieces starting in them."""
     e = entries(spark, sf_dir).where("reject_reason IS NULL")
-    tt = tokenize.tokenize_texts(e.select("example_id", F.col("contexts").alias("text")), vocab(spark, sf_dir),
-                                 ["example_id"])
-    r = alignment.slice_report(e, tt)
-    return r.select("example_id", "at", "whole_chars", "plain_at", "n_wordpieces",
-                    (F.col("plain_at") < 0).alias("unmapped"))
+    v = vocab(spark, sf_dir)
+    tt = tokenize.tokenize_texts(e.select("example_id", F.col("contexts").alias("text")), v, ["example_id"])
+    return alignment.slice_report(e, tt, v).select(
+        "example_id", "at", "whole_chars", "plain_at", "n_wordpieces", "wordpieces",
+        (F.col("plain_at") < 0).alias("unmapped"))
 
 
 @query

@@ -6,7 +6,7 @@ with ``land_parquet`` before heavy work)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanqa import schemas
@@ -95,25 +95,31 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 
     Each line is stripped; a repeated token keeps its first id and does not
     use up an id; a blank line is the token "". Ids are dense in file order.
-    The line ordinal comes from a single ordered pass (zipWithIndex), so the
-    job scales with the file and needs no driver-side loop.
+    Lines are numbered where they are scanned, so that the job scales with the
+    file and needs no driver-side loop.
     """
-    lines = dense_index(spark.read.text(path), None, "line_no")
-    first = (lines.select(F.regexp_replace("value", PY_STRIP, "").alias("token"), "line_no")
-             .groupBy("token").agg(F.min("line_no").alias("first_line")))
-    return dense_index(first, "first_line", "id").select("token", "id")
+    lines = spark.read.text(path).select(F.regexp_replace("value", PY_STRIP, "").alias("token"),
+                                         F.monotonically_increasing_id().alias("line_no"))
+    first = lines.groupBy("token").agg(F.min("line_no").alias("first_line"))
+    return dense_index(first, ["first_line"], "id").select("token", "id")
 
 
-def dense_index(df: DataFrame, order_col: str | None, name: str) -> DataFrame:
-    """Add a dense 0-based index in ``order_col`` order (scan order if None).
+def dense_index(df: DataFrame, order_cols: list[str], name: str) -> DataFrame:
+    """Add a dense 0-based index in the order of ``order_cols``, which should
+    tell the rows apart.
 
-    Distributed: a range-partitioned sort, then per-partition counts turned into
-    offsets (zipWithIndex) - no single-task window over the whole table.
+    The rows are range-partitioned once and written with the number of their
+    range; a row's index is the size of the ranges before its own plus its rank
+    there. The broadcast sizes are one row per range.
     """
-    src = df.orderBy(order_col) if order_col else df
-    schema = src.schema.add(name, "long")
-    rdd = src.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = land_parquet(df.repartitionByRange(n, *order_cols).withColumn("_range", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order_cols))
+    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + rank - 1).drop("_range", "_before")
 
 
 def read_features(spark: SparkSession, path: str, seq_length: int, is_training: bool) -> DataFrame:
@@ -164,11 +170,3 @@ def land_parquet(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def write_shards(df: DataFrame, path: str, order_col: str, shard_size: int) -> None:
-    """K4: rows in ``order_col`` order cut into shards of at most
-    ``shard_size`` rows, one folder per shard (empty shards cannot occur)."""
-    idx = dense_index(df, order_col, "_pos")
-    idx.withColumn("shard", (F.col("_pos") / shard_size).cast("long")).drop("_pos").write.mode(
-        "overwrite").partitionBy("shard").parquet(path)

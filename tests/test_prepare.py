@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanqa import schemas
-from spanqa.operators import entry, features, tokenize
+from spanqa.functions.lang import language_id_strict
+from spanqa.operators import alignment, entry, features, tokenize, training
 from spanqa.operators.joins import landed
 from spanqa.plans import prepare as P
 from spanqa.session import work_path
@@ -275,3 +276,85 @@ def test_repeated_example_ids_stay_apart(spark, vocab):
     one = P.prepare(spark.createDataFrame(rows[:1], schemas.RAW_EXAMPLE), vocab, is_training=False).examples.first().wp_ids
     assert sorted(map(list, (r.wp_ids for r in ex))).count(list(one)) == 2
     assert pr.features.count() == 3
+
+
+def test_oversampled_shuffled_batches(spark):
+    ex = spark.createDataFrame([("english",)] * 25 + [("finnish",)] * 2 + [("thai",)] * 10, "language string")
+    ratios = training.language_ratios(ex)
+    assert {r.language: (r.n_examples, r.ratio) for r in ratios.collect()} == {
+        "english": (25, 1), "finnish": (2, 10), "thai": (10, 2)}
+    f = spark.createDataFrame([(1, 10), (1, 2), (2, 2), (3, 9), (4, 0)], "example_index long, language_id int")
+    many = training.oversample(f, ratios)
+    assert {(r.example_index, r.language_id): r["count"] for r in many.groupBy("example_index", "language_id").count().collect()} == {
+        (1, 10): 1, (1, 2): 10, (2, 2): 10, (3, 9): 2, (4, 0): 1}
+    keys = ["example_index", "language_id", "copy"]
+
+    def order(seed, parts):
+        rows = training.shuffled(many.repartition(parts), keys, seed).orderBy("position").collect()
+        assert [r.position for r in rows] == list(range(24))
+        return [tuple(r[k] for k in keys) for r in rows]
+
+    assert order(1, 3) == order(1, 7) != order(2, 3)
+    b = training.batches(training.shuffled(many, keys), 5).groupBy("batch").count().collect()
+    assert {r.batch: r["count"] for r in b} == {0: 5, 1: 5, 2: 5, 3: 5}
+
+
+def test_shards_are_whole_files(spark):
+    rows = [(e, k) for e in range(0, 70, 3) for k in range(1 + e % 4)]
+    f = spark.createDataFrame(rows, "example_index long, doc_span_index int").repartition(5)
+    path = work_path(spark, "t-shards")
+    counts = {r.shard: (r.n_examples, r.n_features) for r in training.write_shards(f, path, 7).collect()}
+    ids = sorted({e for e, _ in rows})
+    want = {k: ids[7 * k:7 * k + 7] for k in range(4)}
+    assert counts == {k: (len(v), sum(1 + e % 4 for e in v)) for k, v in want.items()}
+    back = spark.read.parquet(path).select("*", F.input_file_name().alias("file")).collect()
+    assert sorted((r.example_index, r.doc_span_index) for r in back) == sorted(rows)
+    assert {r.example_index for r in back if r.shard == 2} == set(want[2])
+    assert len({r.file for r in back}) == 4
+    empty = training.write_shards(f.limit(0), work_path(spark, "t-shards"), 7)
+    assert empty.count() == 0
+
+
+def test_training_rows(spark, vocab):
+    raw = landed(derived.raw_examples(derived.documents(spark, SF001)), "t-raw3")[0]
+    plain = P.prepare(raw, vocab, is_training=True).features.groupBy("language_id").count()
+    rows = landed(P.training_rows(raw, vocab, oversample=True, seed=3), "t-rows")[0]
+    ratio = {r.id: r.ratio for r in training.language_ratios(raw).select(
+        language_id_strict("language").cast("int").alias("id"), "ratio").collect()}
+    assert {r.language_id: r["count"] for r in rows.groupBy("language_id").count().collect()} == {
+        r.language_id: r["count"] * ratio[r.language_id] for r in plain.collect()}
+    assert sorted(r.position for r in rows.select("position").collect()) == list(range(rows.count()))
+
+
+def test_cut_bytes_repair(spark):
+    texts = ["", "a", "é", "aé中😀z", "😀😀", "中a中", "plain words"]
+    df = spark.createDataFrame([(t, s, n) for t in texts for s in range(4) for n in range(7)], "t string, s int, n int")
+    raw = alignment.cut_bytes("t", F.col("s"), F.col("n"))
+    for r in df.select("*", F.is_valid_utf8(raw).alias("ok"), F.make_valid_utf8(raw).alias("fixed")).collect():
+        b = r.t.encode()[r.s:r.s + r.n]
+        assert r.fixed == b.decode("utf-8", "replace") and r.ok == ("�" not in r.fixed)
+
+
+def test_alignment_report_matches_brute_force(spark, vocab, vocab_dict):
+    raw = derived.raw_examples(derived.documents(spark, SF001).where("doc_id < 12"))
+    e = landed(entry.build_entries(raw).where("reject_reason IS NULL"), "t-entries2")[0]
+    tt = landed(tokenize.tokenize_texts(e.select("example_id", F.col("contexts").alias("text")), vocab, ["example_id"]), "t-tok")[0]
+    names = {i: t for t, i in vocab_dict.items()}
+    toks = {r.example_id: r for r in tt.collect()}
+    want = {}
+    for r in e.collect():
+        ctx, plain = r.contexts.encode(), r.plaintext.encode()
+        for at in range(0, len(ctx), 20):
+            p = next((g.plain_start + at - g.ctx_start for g in r.segments if g.ctx_start <= at < g.ctx_end), -1)
+            t = toks[r.example_id]
+            inside = [names[i] for i, s in zip(t.wp_ids, t.wp_starts) if at <= s < at + 20]
+            want[r.example_id, at] = (ctx[at:at + 20].decode("utf-8", "replace"), p, len(inside), " ".join(inside),
+                                      plain[p:p + 20].decode("utf-8", "replace") if p >= 0 else None)
+    got = {(r.example_id, r.at): (r.ctx_text, r.plain_at, r.n_wordpieces, r.wordpieces, r.plain_text)
+           for r in alignment.slice_report(e, tt, vocab).collect()}
+    assert got == want
+    for r in alignment.answer_context(e).join(e.select("example_id", F.col("contexts").alias("c"), F.col("answer").alias("a")),
+                                              "example_id").collect():
+        c, s, t = r.c.encode(), r.a.span_start, r.a.span_end
+        assert (r.answer, r.before, r.after) == (c[s:t].decode("utf-8", "replace"), c[max(0, s - 100):s].decode("utf-8", "replace"),
+                                                 c[t:t + 100].decode("utf-8", "replace"))
