@@ -145,9 +145,9 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
                     bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, th, fp, component_id) for every row of `docs(doc_id, text)`.
+    """(doc_id, th, fp, root, component_id) for every row of `docs(doc_id, text)`.
 
-    component_id is the smallest doc_id that links reach, the row's own included. Null and blank texts
+    root is the smallest fingerprint of the component and names it. component_id is the smallest doc_id that links reach, the row's own included. Null and blank texts
     have fingerprint zero and link like any other. Null doc_ids are never a component_id unless no other
     is reached (then it is null). Extra columns are ignored; an empty table gives an empty result.
     """
@@ -158,22 +158,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     least = of.where("fp != root").groupBy("root").agg(F.min("least").alias("other"))
     named = (of.join(least, "root", "left").where("fp = root")
              .select("root", F.least("least", F.coalesce("other", F.lit(_NO_ID))).alias("component_id")))
-    named = of.select("fp", "root").join(named, "root").select("fp", F.expr(f"nullif(component_id, {_NO_ID})").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    named = of.select("fp", "root").join(named, "root").select(
+        "fp", "root", F.expr(f"nullif(component_id, {_NO_ID})").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """One row of each near-duplicate group: the one with the smallest doc_id, nulls last.
+    """One row of each near-duplicate component: the one with the smallest doc_id, nulls last, then the smallest th.
 
-    Rows that agree in doc_id and text are one document; any one of them stands for it. Only those
+    Texts that no link joins are never one group, whether their doc_ids are null, repeated or neither. Rows that agree in doc_id and text are one document; any one of them stands for it. Only those
     (usually none) are shuffled for it; all other rows need the one join with the kept ids.
     """
     cols = docs.columns
     found = land(near_duplicates(docs, **params), "simhash-found")
-    group = F.coalesce("component_id", F.lit(_NO_ID))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "th"))
-    keep = land(found.groupBy(group.alias("g")).agg(first.alias("f"))
-                .select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th")).distinct()
+    keep = land(found.groupBy("root").agg(first.alias("f"))
+                .select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th"))
                 .join(found.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("th").alias("_th"))
                       .count(), ["_id", "_th"]), "simhash-keep")
     keyed = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(_NO_ID)), "_t": F.xxhash64("text")})

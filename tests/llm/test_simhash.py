@@ -99,6 +99,15 @@ def test_keep_one(spark, odd, none):
     assert [r.component_id for r in rows] == slow_components([(r.doc_id, r.fp & ((1 << 64) - 1)) for r in rows])
 
 
+def test_keep_one_by_component(spark):
+    """Unlinked texts stay, with null ids or under one id; within a component the smallest id stays."""
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (None, "one two three four five"),
+            (7, "red green blue yellow"), (7, "north south east west"), (8, "north south east west"), (9, "alpha beta gamma delta")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [
+        (0, "one two three four five"), (7, "north south east west"), (7, "red green blue yellow"), (9, "alpha beta gamma delta")]
+
+
 def test_components(spark):
     from spanqa.llm.common import connected_components
     chain = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(149, 200), (7, 7)]
