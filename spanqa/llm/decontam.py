@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into pieces of at most `PIECE` words. The documents are read twice: once to count in how many
+Test items are cut into pieces of at most `PIECE` words that overlap by half or more, so that any run of
+`PIECE // 2` words lies within a piece. The documents are read twice: once to count in how many
 documents each n-gram of the test pieces occurs, once to look up the rare ones and align. A piece's seeds are
 its n-grams found in at most `RARE_SHARE` of all documents (or `RARE_DOCS` documents), and in any case its rarest
 half, so that a passage copied into very many documents keeps its seeds. Where a rare seed or two others hit, the words of the document around
 their diagonal are aligned with the piece by Smith-Waterman; a document is contaminated by an item if a
-local alignment reaches `MIN_SCORE` of the piece's perfect score.
+local alignment reaches `MIN_SCORE` of the piece's perfect score, or if a stretch of it holds `RUN_WORDS` matched
+words more than `RUN_EDIT` for each of its edits (so any verbatim run of `RUN_WORDS` words does, however long the piece).
 
 The pieces are worked off in blocks of `BLOCK` pieces in expectation, which bounds what a task holds. The
 documents are never shuffled.
@@ -30,6 +32,8 @@ BLOCK = 5_000
 RARE_SHARE = 1e-4
 RARE_DOCS = 5
 MIN_SCORE = 0.5
+RUN_WORDS = 13
+RUN_EDIT = 3
 MATCH, MISMATCH, GAP = 2, 1, 1
 _WORD = re.compile(r"\w+")
 HIT = "array<struct<item_id:long,score:double,matched:int,start:int,end:int,item_start:int,item_end:int>>"
@@ -40,39 +44,39 @@ def tokens(text: str | None) -> list[str]:
 
 
 def pieces(text: str | None) -> list[list[str]]:
-    """Consecutive pieces of nearly equal length, at most PIECE words; none below MIN_WORDS words."""
+    """The whole text up to PIECE words, else pieces of PIECE words at most half a piece apart; none below MIN_WORDS words."""
     w = tokens(text)
     if len(w) < MIN_WORDS:
         return []
-    k = -(-len(w) // PIECE)
-    cut = [len(w) * i // k for i in range(k + 1)]
-    return [w[a:b] for a, b in zip(cut, cut[1:])]
+    more = max(0, len(w) - PIECE)
+    k = -(-more // (PIECE // 2))
+    return [w[a:a + PIECE] for a in (more * i // max(1, k) for i in range(k + 1))]
 
 
 def ngrams(words: list[str]):
     return zip(*(words[i:] for i in range(N)))
 
 
-def align(item: list[str], window: list[str]) -> tuple[int, int, int, int, int, int]:
+def align(item: list[str], window: list[str], match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int, int, int, int]:
     """Best local alignment: (score, matches, window start, window end, item start, item end)."""
     ids = {w: i for i, w in enumerate(dict.fromkeys(item))}
     x = np.array([ids[w] for w in item])
     y = np.array([ids.get(w, -1) for w in window])
     n = len(y)
-    step = GAP * np.arange(n + 1)
+    step = gap * np.arange(n + 1)
     h = np.zeros((len(x) + 1, n + 1), np.int32)
     for i, v in enumerate(x, 1):
-        row = np.maximum(h[i - 1] - GAP, 0)
-        np.maximum(row[1:], h[i - 1, :-1] + np.where(y == v, MATCH, -MISMATCH), out=row[1:])
+        row = np.maximum(h[i - 1] - gap, 0)
+        np.maximum(row[1:], h[i - 1, :-1] + np.where(y == v, match, -mismatch), out=row[1:])
         h[i] = np.maximum.accumulate(row + step) - step
     i, j = divmod(int(h.argmax()), n + 1)
     best, end, item_end, matches = int(h[i, j]), j, i, 0
     while i and j and h[i, j]:
         same = x[i - 1] == y[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else -MISMATCH):
+        if h[i, j] == h[i - 1, j - 1] + (match if same else -mismatch):
             matches += int(same)
             i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - GAP:
+        elif h[i, j] == h[i - 1, j] - gap:
             i -= 1
         else:
             j -= 1
@@ -120,8 +124,12 @@ class Block:
                 lo, hi = max(0, group[0][0] - pad), min(len(words), group[-1][0] + len(item) + pad)
                 score, matched, s, e, i0, i1 = align(item, words[lo:hi])
                 share = score / (MATCH * len(item))
-                if share >= self.min_score and matched >= min(MIN_WORDS, len(item)) and \
-                        share > best.get(item_id, {"score": 0})["score"]:
+                enough = share >= self.min_score and matched >= min(MIN_WORDS, len(item))
+                if not enough and score >= MATCH * RUN_WORDS:
+                    run, matched, s, e, i0, i1 = align(item, words[lo:hi], 1, RUN_EDIT, RUN_EDIT)
+                    enough = run >= RUN_WORDS
+                    share = (MATCH * matched - (matched - run) // RUN_EDIT) / (MATCH * len(item))
+                if enough and share > best.get(item_id, {"score": 0})["score"]:
                     best[item_id] = {"item_id": item_id, "score": share, "matched": matched,
                                      "start": found[lo + s].start(), "end": found[lo + e - 1].end(),
                                      "item_start": i0, "item_end": i1}
@@ -176,8 +184,8 @@ def _hits(block: Block) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """`docs` plus `contaminated_by`: for each test item found, its id, score (share of the perfect alignment),
-    matched words, span in the text (code points of the lower-cased text) and in the piece (words).
+    """`docs` plus `contaminated_by`: for each test item found, its id, score (share of the perfect alignment; below
+    `min_score` where a run of words alone is the finding), matched words, span in the text (code points of the lower-cased text) and in the piece (words).
 
     Null and empty texts and empty tables give empty arrays; all columns pass through.
     """

@@ -1,6 +1,7 @@
 """Decontamination, licenses, nearest neighbours and the pipeline against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -65,6 +66,34 @@ def test_decontamination(spark, odd, none):
     assert decontam.clean(none, bench).collect() == [] and decontam.clean(odd, bench.limit(0)).count() == odd.count()
 
 
+def found_in(items, texts, text):
+    """Hits in `text` by the items' pieces, with frequencies from `texts` and it."""
+    parts = [(i, p) for i, t in items for p in decontam.pieces(t)]
+    df = Counter(g for t in [*texts, text] for g in set(decontam.ngrams(decontam.tokens(t))))
+    return decontam.Block(parts, df, len(texts) + 1, decontam.MIN_SCORE).hits(text)
+
+
+def test_part_copies_of_any_place():
+    """A verbatim run is found wherever it lies in an item, across cuts too, and by a run of 13 words; 6 are too few."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(50_000)]
+    for n, run in ((63, 31), (63, 13), (400, 56), (400, 28), (400, 13), (65, 13), (1000, 32)):
+        item = rng.sample(vocab, n)
+        for at in {0, 10, n // 2 - run // 2, n * 3 // 7 - run // 2, n - run}:
+            text = " ".join(rng.choices(vocab, k=80) + item[at:at + run] + rng.choices(vocab, k=80))
+            hit, = found_in([(1, " ".join(item))], [], text)
+            assert hit["matched"] >= min(run, decontam.PIECE // 2)
+            assert text[hit["start"]:hit["end"]] in " ".join(item[at:at + run])
+        assert found_in([(1, " ".join(item))], [], " ".join(rng.choices(vocab, k=80) + item[20:26])) == []
+    item = rng.sample(vocab, 400)
+    edited = [w for i, w in enumerate(item[150:170]) if i != 11]  # 19 words, one left out
+    assert found_in([(1, " ".join(item))], [], " ".join(rng.choices(vocab, k=80) + edited + rng.choices(vocab, k=80)))
+    for n in (8, 64, 65, 96, 97, 1000):
+        cut = decontam.pieces(" ".join(vocab[:n]))
+        assert max(map(len, cut)) <= decontam.PIECE and {w for p in cut for w in p} == set(vocab[:n])
+        assert all(int(b[0][1:]) - int(a[0][1:]) <= decontam.PIECE // 2 for a, b in zip(cut, cut[1:]))
+
+
 def test_decontamination_query(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontamination"](spark, SF).collect()}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
