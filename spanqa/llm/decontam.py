@@ -2,10 +2,10 @@
 
 Test items are cut into pieces of at most `PIECE` words that overlap by half or more, so that any run of
 `PIECE // 2` words lies within a piece. The documents are read twice: once to count in how many
-documents each n-gram of the test pieces occurs, once to look up the rare ones and align. A piece's seeds are
-its n-grams found in at most `RARE_SHARE` of all documents (or `RARE_DOCS` documents), and in any case its rarest
-half, so that a passage copied into very many documents keeps its seeds. Where a rare seed or two others hit, the words of the document around
-their diagonal are aligned with the piece by Smith-Waterman; a document is contaminated by an item if a
+documents each n-gram of the test pieces occurs, once to look them up and align. All n-grams of a piece are seeds,
+however common, so that an edited copy of a passage that very many documents hold is found by whatever part it keeps.
+Where a rare seed (found in at most `RARE_SHARE` of all documents, or `RARE_DOCS` documents) or two others hit, the
+words of the document around their diagonal are aligned with the piece by Smith-Waterman; a document is contaminated by an item if a
 local alignment reaches `MIN_SCORE` of the piece's perfect score, or if a stretch of it holds `RUN_WORDS` matched
 words more than `RUN_EDIT` for each of its edits (so any verbatim run of `RUN_WORDS` words does, however long the piece).
 
@@ -91,11 +91,8 @@ class Block:
         self.seeds: dict[tuple, list[tuple[int, int, bool]]] = defaultdict(list)
         rare = max(RARE_DOCS, RARE_SHARE * n_docs)
         for k, (_, words) in enumerate(items):
-            grams = list(ngrams(words))
-            order = sorted(range(len(grams)), key=lambda i: (df[grams[i]], i))
-            for at, i in enumerate(order):
-                if df[grams[i]] <= rare or at < max(2, (len(grams) + 1) // 2):
-                    self.seeds[grams[i]].append((k, i, df[grams[i]] <= rare))
+            for i, g in enumerate(ngrams(words)):
+                self.seeds[g].append((k, i, df[g] <= rare))
         self.seeds = dict(self.seeds)
 
     def hits(self, text: str | None) -> list[dict]:

@@ -94,6 +94,18 @@ def test_part_copies_of_any_place():
         assert all(int(b[0][1:]) - int(a[0][1:]) <= decontam.PIECE // 2 for a, b in zip(cut, cut[1:]))
 
 
+def test_edited_copy_of_a_popular_item():
+    """What an edited copy keeps is a seed even where very many documents hold the whole item."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(50_000)]
+    item = rng.sample(vocab, 40)
+    for kept in (range(20, 40), range(20), range(10, 30)):
+        text = " ".join(w if i in kept or i % 2 else f"new{i}" for i, w in enumerate(item))
+        for copies in (0, 3, 200):
+            hit, = found_in([(1, " ".join(item))], [" ".join(item)] * copies, f"some words before {text} some words after")
+            assert hit["score"] >= decontam.MIN_SCORE and hit["matched"] >= 29
+
+
 def test_decontamination_query(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontamination"](spark, SF).collect()}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
