@@ -9,6 +9,9 @@ words of the document around their diagonal are aligned with the piece by Smith-
 local alignment reaches `MIN_SCORE` of the piece's perfect score, or if a stretch of it holds `RUN_WORDS` matched
 words more than `RUN_EDIT` for each of its edits (so any verbatim run of `RUN_WORDS` words does, however long the piece).
 
+Test items under `MIN_WORDS` words are looked up as they are: a document that holds the whole item as a sequence of
+words is contaminated. In scripts written without spaces every character is a word.
+
 The pieces are worked off in blocks of `BLOCK` pieces in expectation, which bounds what a task holds. The
 documents are never shuffled.
 """
@@ -35,7 +38,12 @@ MIN_SCORE = 0.5
 RUN_WORDS = 13
 RUN_EDIT = 3
 MATCH, MISMATCH, GAP = 2, 1, 1
-_WORD = re.compile(r"\w+")
+#: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, kana, Bopomofo, Han. Vowel signs and tone marks are characters too.
+_UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ebd\u0ec0-\u0ecd\u0edc-\u0edf\u0f40-\u0fbc\u1000-\u103f\u1050-\u108f"
+             "\u1780-\u17d3\u1950-\u19c9\u1a20-\u1a7c\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3041-\u3096\u309d-\u309f"
+             "\u30a1-\u30fa\u30fc-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ef\uaa60-\uaadf"
+             "\uf900-\ufaff\uff66-\uff9d\U0001b000-\U0001b16f\U00020000-\U0003ffff")
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 HIT = "array<struct<item_id:long,score:double,matched:int,start:int,end:int,item_start:int,item_end:int>>"
 
 
@@ -44,9 +52,9 @@ def tokens(text: str | None) -> list[str]:
 
 
 def pieces(text: str | None) -> list[list[str]]:
-    """The whole text up to PIECE words, else pieces of PIECE words at most half a piece apart; none below MIN_WORDS words."""
+    """The whole text up to PIECE words, else pieces of PIECE words at most half a piece apart; none without a word."""
     w = tokens(text)
-    if len(w) < MIN_WORDS:
+    if not w:
         return []
     more = max(0, len(w) - PIECE)
     k = -(-more // (PIECE // 2))
@@ -84,16 +92,22 @@ def align(item: list[str], window: list[str], match: int = MATCH, mismatch: int
 
 
 class Block:
-    """Seeds of a block of pieces: n-gram -> [(piece, position, rare)]."""
+    """Seeds of a block of pieces: n-gram -> [(piece, position, rare)]; short items: first word -> {words: [item_id]}."""
 
     def __init__(self, items: list[tuple[int, list[str]]], df: Counter, n_docs: int, min_score: float):
         self.items, self.min_score = items, min_score
         self.seeds: dict[tuple, list[tuple[int, int, bool]]] = defaultdict(list)
         rare = max(RARE_DOCS, RARE_SHARE * n_docs)
-        for k, (_, words) in enumerate(items):
+        self.short: dict[str, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, (item_id, words) in enumerate(items):
+            if len(words) < MIN_WORDS:
+                self.short[words[0]][tuple(words)].append(item_id)
+                continue
             for i, g in enumerate(ngrams(words)):
                 self.seeds[g].append((k, i, df[g] <= rare))
         self.seeds = dict(self.seeds)
+        self.short = {w: dict(of) for w, of in self.short.items()}
+        self.lengths = {w: sorted(set(map(len, of))) for w, of in self.short.items()}
 
     def hits(self, text: str | None) -> list[dict]:
         """Contaminating items of a text, one entry an item, in the order of item_id."""
@@ -130,6 +144,12 @@ class Block:
                     best[item_id] = {"item_id": item_id, "score": share, "matched": matched,
                                      "start": found[lo + s].start(), "end": found[lo + e - 1].end(),
                                      "item_start": i0, "item_end": i1}
+        for j in [j for j, w in enumerate(words) if w in self.short] if self.short else []:
+            for n in self.lengths[words[j]]:
+                for item_id in self.short[words[j]].get(tuple(words[j:j + n]), ()):
+                    if best.get(item_id, {"score": 0})["score"] < 1:
+                        best[item_id] = {"item_id": item_id, "score": 1.0, "matched": n, "start": found[j].start(),
+                                         "end": found[j + n - 1].end(), "item_start": 0, "item_end": n}
         return [best[i] for i in sorted(best)]
 
 
@@ -152,7 +172,7 @@ def document_frequency(docs: DataFrame, grams: set[tuple]) -> Counter:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> list[Block]:
-    """Seeds of all test pieces, block by block. Items with null id or text, or under MIN_WORDS words, have none."""
+    """Seeds of all test pieces, block by block. Items with null id or text, or without a word, have none."""
     @F.udf("array<array<string>>")
     def cut(text):
         return pieces(text)
@@ -166,7 +186,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
         rows = parts.where(F.pmod(F.xxhash64("item_id", "k"), F.lit(n_blocks)) == b).collect()
         items = sorted((r.item_id, list(r.words)) for r in rows)
         if items:
-            df = document_frequency(docs, {g for _, w in items for g in ngrams(w)})
+            df = document_frequency(docs, {g for _, w in items if len(w) >= MIN_WORDS for g in ngrams(w)})
             out.append(Block(items, df, n_docs, min_score))
     return out
 

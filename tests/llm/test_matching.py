@@ -106,6 +106,20 @@ def test_edited_copy_of_a_popular_item():
             assert hit["score"] >= decontam.MIN_SCORE and hit["matched"] >= 29
 
 
+def test_short_items_and_scripts_without_spaces():
+    """Short items count as whole word sequences; Han, kana and Thai texts are taken by characters."""
+    items = [(1, "Paris, France"), (2, "Paris"), (3, "?!"), (4, "東京は日本の首都であり世界最大の都市圏です"), (5, "首都"),
+             (6, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"), (7, "two of four words"), (8, "q=42")]
+    for text, ids in (("He lived in PARIS - France.", [1, 2]), ("paris of france, comparison", [2]), ("Parisian, France", []),
+                      ("two of the four words; two of four word", []), ("so q 42?", [8]), ("", []), (None, []), ("?!", []),
+                      ("昔、東京は日本の首都であり世界最大の都市圏ですと書いた", [4, 5]), ("首 都", [5]), ("首相の都", []),
+                      ("xกรุงเทพมหานครเป็นเมืองหลวงของประเทศไทยy", [6])):
+        hits = found_in(items, [], text or "") if text else decontam.Block([], Counter(), 0, 0.5).hits(text)
+        assert [h["item_id"] for h in hits] == ids, text
+    hit, = found_in(items[:1], [], "He lived in PARIS - France.")
+    assert (hit["score"], hit["matched"], hit["start"], hit["end"]) == (1.0, 2, 12, 26)
+
+
 def test_decontamination_query(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontamination"](spark, SF).collect()}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
