@@ -5,12 +5,14 @@ of each `WINNOW` neighbouring hashes the smallest is kept (winnowing), so any sh
 bytes shares a fingerprint. The templates' fingerprints form the inverted index (fingerprint to template and
 place); a document's fingerprints that are in it name the candidates and their diagonals. Around each diagonal
 the words of text and template are aligned within a band; matched template words over all template words is
-the coverage. The templates are a parameter (a list of notices, not a corpus table); texts are never shuffled.
+the coverage. What is left of a text before and after a reported notice is aligned again where the template's
+fingerprints hit it, so notices that follow each other closely are reported one by one. The templates are a parameter (a list of notices, not a corpus table); texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -82,17 +84,18 @@ def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
     return h[at], at, normal
 
 
-def banded(a: list[str], b: list[str], diagonal: int, band: int) -> tuple[int, int, int]:
-    """Most words of `a` matched in order in `b` near a diagonal: (matches, first, last place in b); -1 without any.
+def banded(a: list[str], b: list[str], diagonal: int, band: int, lo: int = 0, hi: int | None = None) -> tuple[int, int, int]:
+    """Most words of `a` matched in order in `b[lo:hi]` near a diagonal: (matches, first, last place in b); -1 without any.
 
     Of equal counts, the alignment that ends first and starts last.
     """
     row: dict[int, tuple[int, int, int]] = {}
     best = (0, -1, -1)
+    hi = len(b) if hi is None else hi
     for i, word in enumerate(a):
         now: dict[int, tuple[int, int, int]] = {}
         run = (0, -1, -1)
-        for j in range(max(0, i + diagonal - band), min(len(b), i + diagonal + band + 1)):
+        for j in range(max(lo, i + diagonal - band), min(hi, i + diagonal + band + 1)):
             cand = max(run, row.get(j, (0, -1, -1)), key=lambda c: (c[0], c[1]))
             if b[j] == word:
                 p = row.get(j - 1) or max((row[k] for k in row if k < j), default=(0, -1, -1), key=lambda c: (c[0], c[1]))
@@ -128,26 +131,36 @@ class Scanner:
             return []
         found = words(text)
         plain = [w for w, _, _ in found]
-        near: dict[str, list[int]] = defaultdict(list)
+        near: dict[str, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         spaces = np.concatenate([[0], np.cumsum(np.frombuffer(normal, np.uint8) == 32)])
         for i in hit.tolist():
             for k, word in self.index[int(h[i])]:
-                near[k].append(int(spaces[at[i]]) - word)
+                at_word = int(spaces[at[i]])
+                near[k][at_word - word].add(at_word)
         out = []
         for k, diagonals in near.items():
             a = self.words[k]
-            last = None
-            for d in sorted(set(diagonals)):
-                if last is not None and d - last <= BAND:
-                    continue
-                last = d
-                matched, first, end = banded(a, plain, d, 2 * BAND)
-                if matched >= min_coverage * len(a):
-                    out.append({"license": k, "coverage": matched / len(a), "matched": matched,
-                                "start": found[first][1], "end": found[end][2]})
+            cuts = [0, len(plain)]  # ends of the free stretches, in pairs
+            tried: dict[tuple[int, int], int] = {}  # last diagonal without a notice, by free stretch
+            for d in sorted(diagonals):
+                places = sorted(diagonals[d])
+                while places:
+                    x = bisect_right(cuts, places[0])
+                    if x % 2 == 0:  # inside a reported notice
+                        places.pop(0)
+                        continue
+                    lo, hi = cuts[x - 1], cuts[x]
+                    if d - tried.get((lo, hi), -len(plain) - len(a) - BAND) > BAND:
+                        matched, first, end = banded(a, plain, d, 2 * BAND, lo, hi)
+                        if matched and matched >= min_coverage * len(a):
+                            out.append({"license": k, "coverage": matched / len(a), "matched": matched,
+                                        "start": found[first][1], "end": found[end][2]})
+                            cuts[x:x] = [first, end + 1]
+                            continue
+                        tried[lo, hi] = d
+                    places = [p for p in places if p >= hi]
         out.sort(key=lambda r: (r["start"], r["end"], r["license"]))
-        best: dict[tuple, dict] = {(r["license"], r["start"], r["end"]): r for r in out}
-        return list(best.values())
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:

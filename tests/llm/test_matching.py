@@ -146,6 +146,23 @@ def test_licenses(spark, odd, none):
     assert true <= rows
 
 
+def test_license_notices_that_follow_each_other():
+    """Every notice of one template is reported, however close the next one is and whichever is edited."""
+    scanner = licenses.Scanner({k: licenses.TEMPLATES[k] for k in ("MIT", "MIT-grant")})
+    mit = "Released under the MIT License."
+    for between in ("", " and", " x" * 3, " x" * 8, " x" * 30):
+        text = f"{mit}{between} {mit}{between} {mit}"
+        got = [(r["start"], r["end"]) for r in scanner.scan(text)]
+        step = len(mit) + len(between) + 1
+        assert got == [(i * step, i * step + len(mit) - 1) for i in range(3)]
+    got = scanner.scan(f"Released under the MIT terms. {mit} Published under the MIT License. {mit}")
+    assert [(r["license"], r["matched"]) for r in got] == [("MIT", 4), ("MIT", 5), ("MIT", 4), ("MIT", 5)]
+    grant = licenses.TEMPLATES["MIT-grant"]
+    got = scanner.scan(f"{mit} {grant}. {mit} {grant}")
+    assert [r["license"] for r in got] == ["MIT", "MIT-grant"] * 2 and all(r["coverage"] == 1 for r in got)
+    assert len(scanner.scan(f"{mit} " * 500)) == 500
+
+
 def brute(ids, x, top=20):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
