@@ -87,7 +87,7 @@ def _broken_raw(spark) -> DataFrame:
 @query
 def q_example_scan(spark, sf_dir):
     """Raw examples written as gzip JSONL (with literal invalid
-    rows), scanned with file/line lineage; survivors and pruned per reason."""
+    rows), scanned; counts of survivors and pruned per reason, without a row or a line number per input line."""
     path = work_path(spark, "examples-jsonl")
     derived.raw_examples(_docs(spark, sf_dir)).unionByName(_broken_raw(spark)).write.option(
         "compression", "gzip").json(path)
