@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanqa.session import work_path
 
@@ -26,6 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`df`, landed, with a dense 0-based rank in the order of the columns `order` (nulls first).
+
+    One range partitioning; equal rows are spread by their place in `df`, so that no number of them fills one task.
+    Rows are numbered where they are sorted, and the sizes of the tasks before are added (one row a task).
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *order, "_row")
+             .sortWithinPartitions(*order, "_row").drop("_row").withColumn("_at", F.monotonically_increasing_id()))
+    dealt = land(dealt, "ranked").withColumn("_task", F.shiftright("_at", 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_task").agg(F.count("*").alias("_n")).select(
+        "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return dealt.join(F.broadcast(sizes), "_task").withColumn(name, at).drop("_task", "_at", "_before")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once a row, however often `body` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -54,3 +54,80 @@ final AS (
   LEFT JOIN e2 ON p.source IS NOT DISTINCT FROM e2.source)
 SELECT doc_id, size, source_size, target, (size * repeats)::BIGINT AS taken, repeats::BIGINT AS repeats FROM final
 """
+
+#: CTE `crc`: the 256 remainders of CRC-32, and the expression for the CRC-32 of an ASCII string.
+CRC_TABLE = r"""
+crc AS (
+  SELECT list(t ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END,
+                          b::BIGINT) AS t
+    FROM range(256) AS r(b)))"""
+
+
+def crc32(s: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string, given the list of remainders as crc.t."""
+    step = "xor(c >> 8, list_extract(crc.t, (xor(c, x) & 255) + 1))"
+    codes = f"list_transform(regexp_extract_all({s}, '.'), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+SQL["op12_merkle"] = rf"""
+WITH RECURSIVE {CRC_TABLE.strip()},
+texts AS (
+  SELECT d.*, CASE WHEN {crc32("coalesce(doc_id, 0)::VARCHAR")} % 5 = 0 AND doc_id IS NOT NULL
+                   THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS bad
+  FROM documents d, crc),
+coded AS (
+  SELECT doc_id, source,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, bad
+  FROM texts),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(bad) || ':' || bad, '-')) AS bad_leaf
+  FROM coded),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, r AS idx, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level, idx, digest, count(*) OVER (PARTITION BY tree) AS n FROM (
+    SELECT tree, level + 1 AS level, idx // 16 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest
+    FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 16)),
+subroots AS (SELECT tree, digest, level AS height FROM nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS level, tree AS idx, digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT level, idx, digest, count(*) OVER () AS n FROM (
+    SELECT level + 1 AS level, idx // 16 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest
+    FROM upper_nodes WHERE n > 1 GROUP BY level, idx // 16)),
+top AS (SELECT digest AS root, level AS height FROM upper_nodes WHERE n = 1),
+steps AS (
+  SELECT p.tree, p.r, k.k AS level,
+         CASE WHEN k.k < h.height THEN p.r // (16 ** k.k)::BIGINT ELSE p.tree // (16 ** (k.k - h.height))::BIGINT END AS idx
+  FROM placed p JOIN subroots h USING (tree), top t,
+       range(40) AS k(k) WHERE k.k < h.height + t.height),
+sides AS (
+  SELECT st.tree, st.r, st.level,
+         coalesce(string_agg(CASE WHEN c.idx < st.idx THEN c.digest END, '' ORDER BY c.idx), '') AS l,
+         coalesce(string_agg(CASE WHEN c.idx > st.idx THEN c.digest END, '' ORDER BY c.idx), '') AS rt
+  FROM steps st JOIN (
+    SELECT n.tree, n.level, n.idx, n.digest FROM nodes n JOIN subroots h USING (tree) WHERE n.level < h.height
+    UNION ALL
+    SELECT h.tree, h.height + u.level, u.idx, u.digest FROM subroots h, upper_nodes u, top t WHERE u.level < t.height) c
+    ON c.tree = st.tree AND c.level = st.level AND c.idx // 16 = st.idx // 16
+  GROUP BY ALL),
+folded AS (
+  SELECT tree, r, 0 AS level, bad_leaf AS h FROM placed
+  UNION ALL
+  SELECT f.tree, f.r, f.level + 1, sha256(s.l || f.h || s.rt)
+  FROM folded f JOIN sides s ON s.tree = f.tree AND s.r = f.r AND s.level = f.level),
+ends AS (SELECT tree, r, arg_max(h, level) AS folded_root FROM folded GROUP BY ALL),
+proofs AS (SELECT tree, r, sha256(string_agg(l || rt, '' ORDER BY level)) AS proof FROM sides GROUP BY ALL)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, t.root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded_root,
+       e.folded_root = t.root AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN ends e USING (tree, r) LEFT JOIN proofs q USING (tree, r), top t
+"""

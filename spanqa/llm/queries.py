@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqa.llm import ann, decontam, html_crf, langid, licenses, mixing, pii, secrets, simhash, toxicity
+from spanqa.llm import ann, decontam, html_crf, langid, licenses, merkle, mixing, pii, secrets, simhash, toxicity
 from spanqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,13 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page by the block chain, trained on pages that mark their text."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_crf.extract(pages, html_crf.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, and the root recomputed from each leaf after tampering with one in five."""
+    found = merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS))
+    folded = merkle.fold(F.coalesce("tampered_leaf", "leaf"), F.col("path"))
+    return (found.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+                         folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
