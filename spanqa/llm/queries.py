@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqa.llm import ann, decontam, html_crf, langid, licenses, merkle, mixing, pii, secrets, simhash, toxicity
+from spanqa.llm import ann, decontam, html_crf, langid, licenses, merkle, mixing, pieces, pii, secrets, simhash, toxicity
 from spanqa.llm.common import table
 
+#: Folder of the public tokenizers' vocabulary files on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -118,3 +121,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (found.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
                          folded.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and the text decoded from them."""
+    model = pieces.Model.read(f"{TOKENIZERS}/piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
