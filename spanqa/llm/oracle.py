@@ -131,3 +131,77 @@ SELECT p.doc_id, p.leaf, s.digest AS subroot, t.root, coalesce(q.proof, sha256('
        e.folded_root = t.root AS verified
 FROM placed p JOIN subroots s USING (tree) JOIN ends e USING (tree, r) LEFT JOIN proofs q USING (tree, r), top t
 """
+
+_W = r"[^\x20\x09-\x0D]"
+SQL["op11_conversations"] = rf"""
+WITH RECURSIVE {CRC_TABLE.strip()},
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(2) AS copies(n) WHERE h <> 0 AND (n = 0 OR h = 3)),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(
+           concat_ws(':', coalesce('=' || conv_id, ''), strlen(role), role, text))) AS i,
+         regexp_extract_all(text, '{_W}') AS ch
+  FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN len(ch) = 0 THEN 1
+                 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+                 WHEN ch[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY i) AS prev
+  FROM placed),
+facts AS (
+  SELECT conv, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (i > 1 AND (prev || ini) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv),
+moves(st, k, st2) AS (
+  VALUES ('', 0, ''), ('', 1, 'u'), ('', 2, 'a'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'),
+         ('u', 0, 'u'), ('u', 1, 'a'), ('u', 2, 'u'), ('a', 0, 'a'), ('a', 1, 'u'), ('a', 2, 'a')),
+steps(st, letter, ini, st2) AS (
+  VALUES ('', 'D', '', ''), ('s', 'D', '', 's'), ('u', 'D', '', 'u'), ('a', 'D', '', 'a'), ('', 'K', 's', 's'),
+         ('', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'), ('a', 'K', 'u', 'u'), ('', 'R', '', 'u'),
+         ('s', 'R', '', 'u'), ('u', 'R', '', 'a'), ('a', 'R', '', 'u')),
+walk AS (
+  SELECT conv, 0 AS i, '' AS st, '000000000000' AS best FROM facts
+  UNION ALL
+  SELECT conv, i, st, min(printf('%012d', cost) || audit) AS best FROM (
+    SELECT w.conv, f.i, s.st2 AS st,
+           substr(w.best, 1, 12)::BIGINT + 5 * m.k + CASE s.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END
+             + CASE WHEN f.fault = 3 AND s.letter <> 'D' THEN 5 ELSE 0 END AS cost,
+           substr(w.best, 13) || repeat('I', m.k) || s.letter AS audit
+    FROM walk w JOIN faulty f ON f.conv = w.conv AND f.i = w.i + 1 JOIN moves m ON m.st = w.st JOIN steps s ON s.st = m.st2
+    WHERE CASE s.letter WHEN 'D' THEN true WHEN 'K' THEN f.fault IN (0, 3) AND f.ini = s.ini ELSE f.fault IN (0, 3) END)
+  GROUP BY conv, i, st),
+ends AS (
+  SELECT w.conv, min(printf('%012d', substr(w.best, 1, 12)::BIGINT + 5 * m.k) || substr(w.best, 13) || repeat('I', m.k)) AS best
+  FROM walk w JOIN facts f ON f.conv = w.conv AND f.n = w.i JOIN moves m ON m.st = w.st WHERE m.st2 IN ('', 'a')
+  GROUP BY w.conv),
+letters AS (
+  SELECT conv, substr(best, 12 + p, 1) AS letter, p,
+         count(*) FILTER (substr(best, 12 + p, 1) <> 'I') OVER (PARTITION BY conv ORDER BY p) AS i,
+         count(*) FILTER (substr(best, 12 + p, 1) <> 'D') OVER (PARTITION BY conv ORDER BY p) AS o
+  FROM ends, range(1, 100000) AS r(p) WHERE p <= length(best) - 12),
+repaired AS (
+  SELECT l.conv, l.p, l.o, l.letter, CASE WHEN l.letter = 'K' THEN f.role END AS role,
+         CASE WHEN l.letter = 'I' THEN '' ELSE f.text END AS text,
+         max(CASE WHEN l.letter = 'K' AND l.o = 1 AND f.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv) AS s
+  FROM letters l LEFT JOIN faulty f ON f.conv = l.conv AND f.i = l.i WHERE l.letter <> 'D'),
+texts AS (
+  SELECT conv, string_agg(coalesce(role, CASE WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text,
+                          chr(10) ORDER BY p) AS t
+  FROM repaired GROUP BY conv)
+SELECT c.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIGINT AS blank,
+       coalesce(f.duplicate, 0)::BIGINT AS duplicate, coalesce(f.truncated, 0)::BIGINT AS truncated,
+       coalesce(f.illegal, 0)::BIGINT AS illegal, coalesce(substr(e.best, 1, 12)::BIGINT, 0) AS cost,
+       coalesce(substr(e.best, 13), '') AS audit, sha256(coalesce(t.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv = f.conv LEFT JOIN texts t ON t.conv = f.conv
+"""

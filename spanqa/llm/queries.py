@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqa.llm import ann, decontam, html_crf, langid, licenses, merkle, mixing, pieces, pii, secrets, simhash, toxicity
+from spanqa.llm import (ann, conversations, decontam, html_crf, langid, licenses, merkle, mixing, pieces, pii, secrets,
+                        simhash, toxicity)
 from spanqa.llm.common import table
 
 #: Folder of the public tokenizers' vocabulary files on the driver.
@@ -113,6 +114,18 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(pages, html_crf.train(pages)).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of the repaired turns of every conversation, damaged by a hash before."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.audits(conversations.damage(turns)).withColumnRenamed("conv_id", "_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return (turns.select("conv_id").distinct().join(found, F.expr("conv_id <=> _id"), "left")
+            .select("conv_id", *[F.when(F.col("audit").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in counts],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
 @query
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of all documents, and the root recomputed from each leaf after tampering with one in five."""
