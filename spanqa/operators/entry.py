@@ -47,14 +47,14 @@ def first_annotation(raw: DataFrame, max_passages: int = MAX_PASSAGES) -> DataFr
 
 
 def build_entries(raw: DataFrame, max_passages: int = MAX_PASSAGES, max_position: int = MAX_POSITION,
-                  keep_yes_no: bool = False) -> DataFrame:
+                  keep_yes_no: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One entry per raw article with
     ``reject_reason`` (null when the entry is valid).
 
     Output columns: example_id, id (string), name, language, question_text,
     plaintext, contexts, segments, answer (candidate_id, span_text,
     span_start, span_end, input_text), has_correct_context, n_candidates,
-    reject_reason.
+    reject_reason, and the columns of ``raw`` listed in ``carry``.
     """
     mp = int(max_passages)
     df = first_annotation(raw, max_passages).withColumn("_pt", F.encode("document_plaintext", "UTF-8"))
@@ -124,7 +124,7 @@ def build_entries(raw: DataFrame, max_passages: int = MAX_PASSAGES, max_position
     return df.select(
         "example_id", F.col("example_id").cast("string").alias("id"), F.col("document_title").alias("name"),
         "language", "question_text", F.col("document_plaintext").alias("plaintext"), "contexts", "segments",
-        "answer", "has_correct_context", F.col("_n").alias("n_candidates"), "reject_reason",
+        "answer", "has_correct_context", F.col("_n").alias("n_candidates"), "reject_reason", *(carry or []),
     )
 
 

@@ -78,6 +78,10 @@ def build_features(ex: DataFrame, cls_id: int, sep_id: int, is_training: bool,
     ex: example_id, language_id, q_ids, wp_ids, wp_starts, wp_ends (contexts
     offsets, inclusive ends), segments; training adds answer_type,
     start_byte_offset, end_byte_offset.
+
+    With ``keep_errors`` (training) the errors come out of the same pass: an example that has none of its
+    features for an error is one row, a window left out for one is a row too; ``error`` names it and is null for
+    features, and ``row_key`` is kept.
     """
     if max_seq_length <= max_question_length + 3:
         raise ValueError("max_seq_length must exceed max_question_length + 3")
@@ -100,7 +104,12 @@ def build_features(ex: DataFrame, cls_id: int, sep_id: int, is_training: bool,
         df = df.withColumn("ex_error", F.expr(
             "coalesce(ex_error, CASE WHEN wp_start_pos = -1 THEN 'no starting wordpiece' "
             "WHEN wp_end_pos = -1 THEN 'no ending wordpiece' END)"))
-    df = df.withColumn("win", F.expr(windows_expr("size(wp_ids)", "width", doc_stride)))
+        # an example with an error is carried on as one empty window
+        df = df.withColumn("win", F.expr(
+            f"IF(ex_error IS NULL, {windows_expr('size(wp_ids)', 'width', doc_stride)}, "
+            "array(named_struct('start', 0, 'length', 0)))"))
+    else:
+        df = df.withColumn("win", F.expr(windows_expr("size(wp_ids)", "width", doc_stride)))
     f = df.select("*", F.posexplode("win").alias("doc_span_index", "win_s")).drop("win")
     f = f.withColumn("ws", F.col("win_s.start")).withColumn("wl", F.col("win_s.length"))
     f = f.withColumn("pad", F.lit(L) - F.col("nq") - 3 - F.col("wl"))
@@ -121,23 +130,23 @@ def build_features(ex: DataFrame, cls_id: int, sep_id: int, is_training: bool,
         return f.select("unique_ids", "example_index", "doc_span_index", "language_id", "input_ids", "input_mask",
                         "segment_ids", "wp_start_offset", "wp_end_offset")
     unknown = ANSWER_TYPES["UNKNOWN"]
-    f = f.where("ex_error IS NULL")
+    failed = F.col("ex_error").isNotNull()
     f = f.withColumn("contains", F.expr("wp_start_pos >= ws AND wp_end_pos <= ws + wl - 1"))
     negative = (~F.col("contains")) | (F.col("answer_type") == unknown)
-    f = f.where(~negative | keep_sample(F.col("example_id"), F.col("doc_span_index"), include_unknowns, seed))
+    f = f.where(failed | ~negative
+                | keep_sample(F.col("example_id"), F.col("doc_span_index"), include_unknowns, seed))
     f = f.withColumn("start_positions", F.when(negative, F.lit(0)).otherwise(
         F.col("wp_start_pos") - F.col("ws") + F.col("nq") + 2).cast("bigint"))
     f = f.withColumn("end_positions", F.when(negative, F.lit(0)).otherwise(
         F.col("wp_end_pos") - F.col("ws") + F.col("nq") + 2).cast("bigint"))
     f = f.withColumn("answer_types", F.when(negative, F.lit(unknown)).otherwise(F.col("answer_type")).cast("bigint"))
-    f = f.withColumn("wp_error", F.expr(
+    wp_error = F.expr(
         "NOT (wp_start_offset[CAST(start_positions AS INT)] > -1 AND wp_end_offset[CAST(end_positions AS INT)] > -1 "
-        "AND end_positions >= start_positions)") & ~negative)
-    if not keep_errors:
-        f = f.where(~F.col("wp_error"))
+        "AND end_positions >= start_positions)") & ~negative
+    f = f.withColumn("error", F.coalesce("ex_error", F.when(wp_error, F.lit("wp_error"))))
     cols = ["unique_ids", "example_index", "doc_span_index", "language_id", "input_ids", "input_mask",
             "segment_ids", "start_positions", "end_positions", "answer_types"]
-    return f.select(*cols, *(["wp_error"] if keep_errors else []))
+    return f.select(*cols, "error", "row_key") if keep_errors else f.where("error IS NULL").select(*cols)
 
 
 def features_per_example(features: DataFrame, examples: DataFrame) -> DataFrame:

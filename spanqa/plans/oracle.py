@@ -423,7 +423,23 @@ allr AS (SELECT outcome, count(*) AS n FROM der GROUP BY outcome UNION ALL SELEC
 
 SQL["entry_rejects"] = _with(BASE, _REJECT_LIT) + """
 SELECT outcome, CAST(sum(n) AS BIGINT) AS n_examples FROM allr GROUP BY outcome"""
-SQL["example_scan"] = SQL["entry_rejects"]
+
+_SCAN_LIT = """
+lit(line_no, example_id, outcome) AS (VALUES
+  (1, -1, 'invalid_candidate_offsets'), (2, -2, 'bad_candidate_index'), (3, -3, 'answer_mismatch'),
+  (4, -4, 'no_candidates'), (5, -5, 'empty_context'), (6, -6, 'ok'), (7, -7, 'ok'), (8, -8, 'ok'),
+  (9, NULL, 'invalid_json'), (10, NULL, 'invalid_json'), (11, NULL, 'invalid_json')),
+scanned AS (
+  SELECT doc_id // 512 AS shard, row_number() OVER (PARTITION BY doc_id // 512 ORDER BY doc_id) AS line_no,
+         doc_id AS example_id, language,
+         CASE WHEN len(list_filter(list_slice(paras, 1, 45), lambda x: x = '')) > 0 THEN 'empty_context'
+              ELSE 'ok' END AS outcome
+  FROM d
+  UNION ALL SELECT -1, line_no, example_id, 'english', outcome FROM lit)"""
+
+SQL["example_scan"] = _with(BASE, _SCAN_LIT) + """
+SELECT CAST(shard AS BIGINT) AS shard, CAST(line_no AS BIGINT) AS line_no, CAST(example_id AS BIGINT) AS example_id, outcome
+FROM scanned"""
 
 SQL["candidate_scan"] = _with(BASE) + """
 SELECT doc_id AS example_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE n END AS INTEGER) AS n_candidates,
@@ -702,6 +718,33 @@ SELECT tgt.example_id,
                       AND tgt.eb - 1 >= 0), -1) AS INTEGER) AS wp_end
 FROM tgt"""
 
+# errors of training preparation: answers without a wordpiece (empty for ids that end in 7)
+_ERRORS = _TOK_CTES.rstrip() + "," + _SCAN_LIT.rstrip() + """,
+ix AS (SELECT doc_id, st, st + nb - 1 AS en FROM offs),
+tgt AS (SELECT example_id, CASE WHEN annotated_idx < 0 THEN 0 WHEN has_min THEN gs - cs + ts ELSE ts END AS sb,
+               CASE WHEN annotated_idx < 0 THEN 1 WHEN has_min THEN CASE WHEN example_id % 10 = 7 THEN gs ELSE ge END
+                                                                    - cs + ts
+                    ELSE ts + cl END AS eb, annotated_idx >= 0 AND annotated_idx < least(n, 45) AS has_correct_context
+        FROM ans),
+found AS (
+  SELECT s.shard, s.line_no, s.example_id, s.language, coalesce(t.has_correct_context, true) AS has_correct_context,
+         CASE WHEN t.example_id IS NULL OR t.sb >= t.eb THEN 'no wordpiece in answer span'
+              WHEN NOT EXISTS (SELECT 1 FROM ix WHERE ix.doc_id = t.example_id AND ix.st <= t.eb - 1 AND ix.en >= t.sb)
+              THEN 'no wordpiece in answer span' ELSE '' END AS errors,
+         row_number() OVER (ORDER BY s.shard, s.line_no) <= 25 AS is_first
+  FROM scanned s LEFT JOIN tgt t ON t.example_id = s.example_id WHERE s.outcome = 'ok')"""
+
+SQL["preparation_report"] = _ERRORS + """
+SELECT CAST(shard AS BIGINT) AS shard, CAST(line_no AS BIGINT) AS line_no, CAST(example_id AS BIGINT) AS example_id, language,
+       has_correct_context, errors, is_first
+FROM found WHERE is_first OR errors <> ''"""
+
+SQL["error_sample"] = _ERRORS + """
+SELECT errors AS error, CAST(rank AS INTEGER) AS rank, CAST(shard AS BIGINT) AS shard, CAST(line_no AS BIGINT) AS line_no,
+       CAST(example_id AS BIGINT) AS example_id
+FROM (SELECT *, row_number() OVER (PARTITION BY errors ORDER BY shard, line_no) AS rank FROM found WHERE errors <> '')
+WHERE rank <= 25"""
+
 # contexts (key 2 * doc_id) and questions "[Q] " + first paragraph (key 2 * doc_id + 1) through the same
 # SQL tokenizer; windows counted from the closed form of the window loop
 _QTOK = _TOK_CTES.replace(

@@ -26,6 +26,7 @@ class Prepared:
     entries: DataFrame     # all entries with reject_reason
     examples: DataFrame    # per-example token arrays and layout
     features: DataFrame    # feature rows
+    errors: DataFrame | None = None  # training: row_key, example_index, doc_span_index, error
 
 
 def example_arrays(good: DataFrame, vocab: DataFrame, is_training: bool) -> DataFrame:
@@ -61,6 +62,18 @@ def prepare(raw: DataFrame, vocab: DataFrame, is_training: bool, max_passages: i
     # the key is fixed by writing it
     entries, _ = landed(entry.build_entries(raw, max_passages, max_position)
                         .withColumn("row_key", F.monotonically_increasing_id()), "entries")
+    return prepare_entries(entries, vocab, is_training, max_seq_length, doc_stride, max_question_length,
+                           include_unknowns, seed)
+
+
+def prepare_entries(entries: DataFrame, vocab: DataFrame, is_training: bool, max_seq_length: int = MAX_SEQ_LENGTH,
+                    doc_stride: int = DOC_STRIDE, max_question_length: int = MAX_QUESTION_LENGTH,
+                    include_unknowns: float = INCLUDE_UNKNOWNS, seed: int = 0, fail_on_error: bool = False) -> Prepared:
+    """Features of written entries with a ``row_key`` (those of ``prepare`` or of ``scan.scan_examples``).
+
+    Training features and errors are one written table, read twice. With ``fail_on_error`` the first error
+    raises.
+    """
     good = entries.where("reject_reason IS NULL")
     if is_training:
         good = entry.answer_typing(good)
@@ -68,8 +81,16 @@ def prepare(raw: DataFrame, vocab: DataFrame, is_training: bool, max_passages: i
     cls_id = tokenize.vocab_id_of(vocab, "[CLS]")
     sep_id = tokenize.vocab_id_of(vocab, "[SEP]")
     feats = features.build_features(ex, cls_id, sep_id, is_training, max_seq_length, doc_stride,
-                                    max_question_length, include_unknowns, seed)
-    return Prepared(entries, ex, feats)
+                                    max_question_length, include_unknowns, seed, keep_errors=is_training)
+    if not is_training:
+        return Prepared(entries, ex, feats)
+    rows, _ = landed(feats, "training-windows")
+    errors = rows.where("error IS NOT NULL").select("row_key", "example_index", "doc_span_index", "error")
+    if fail_on_error:
+        first = errors.orderBy("example_index", "doc_span_index").first()
+        if first:
+            raise ValueError(f"Encountered an error while creating example {first.example_index}: {first.error}")
+    return Prepared(entries, ex, rows.where("error IS NULL").drop("error", "row_key"), errors)
 
 
 def training_rows(raw: DataFrame, vocab: DataFrame, oversample: bool = True,
@@ -77,7 +98,7 @@ def training_rows(raw: DataFrame, vocab: DataFrame, oversample: bool = True,
     """The training features, repeated by the ratios of the
     languages of ``raw`` (``copy`` counts from 1) and numbered in a repeatable
     shuffled order (``position``). ``options`` go to ``prepare``."""
-    f, _ = landed(prepare(raw, vocab, is_training=True, seed=seed, **options).features, "training-features")
+    f = prepare(raw, vocab, is_training=True, seed=seed, **options).features
     if oversample:
         f = training.oversample(f, training.language_ratios(raw, max_ratio))
     else:

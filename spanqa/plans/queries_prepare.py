@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanqa.constants import GOLDP_LANGUAGES
 from spanqa.functions import chars as C
-from spanqa.operators import alignment, assemble, entry, features, goldp, model, tokenize, training
+from spanqa.operators import alignment, assemble, entry, features, goldp, model, scan, tokenize, training
 from spanqa.operators.joins import landed
 from spanqa.plans import predict as PR
 from spanqa.plans import prepare as P
@@ -54,8 +54,8 @@ def eval_prepared(spark, sf_dir) -> DataFrame:
 
 def train_prepared(spark, sf_dir) -> DataFrame:
     def build():
-        pr = P.prepare(raw_examples(spark, sf_dir), vocab(spark, sf_dir), is_training=True, include_unknowns=0.1)
-        return landed(pr.features, "train-features")[0]
+        return P.prepare(raw_examples(spark, sf_dir), vocab(spark, sf_dir), is_training=True,
+                         include_unknowns=0.1).features
     return _cached(spark, sf_dir, "train-features", build)
 
 
@@ -76,25 +76,79 @@ _BROKEN_RAW = [
 ]
 
 
-def _broken_raw(spark) -> DataFrame:
+#: Valid examples whose answer (empty, reversed, a space) holds no wordpiece.
+_FAULTY_RAW = [
+    (-6, [(0, 5), (6, 11)], [(0, 3, 3, "NONE")]),
+    (-7, [(0, 5), (6, 11)], [(0, 4, 2, "NONE")]),
+    (-8, [(0, 11)], [(0, 5, 6, "NONE")]),
+]
+
+
+def _broken_raw(spark, examples=_BROKEN_RAW) -> DataFrame:
     rows = [(i, "english", f"broken {i}", "", "abcde fghij", "q?",
              [(s, e, s, e) for s, e in c], [(None, (ci,), (s, e), yn) for ci, s, e, yn in a])
-            for i, c, a in _BROKEN_RAW]
+            for i, c, a in examples]
     from spanqa import schemas
     return spark.createDataFrame(rows, schemas.RAW_EXAMPLE)
 
 
+#: Lines that are no example, at the end of the literal file of the scan query.
+_BROKEN_LINES = ["", "{no json", "[]"]
+
+
+def _example_files(spark, sf_dir) -> str:
+    """Raw examples as JSON lines: a file of 512 consecutive ids each, gzip for every other one, and one with
+    literal examples (invalid, or with an answer of no wordpiece) and lines that are no example. The minimal answers of
+    ids that end in 7 are empty. Returns a glob."""
+    def build():
+        path = work_path(spark, "examples-jsonl")
+        empty = F.transform("annotations", lambda a: a.withField("minimal_answer.plaintext_end_byte", a[
+            "minimal_answer"]["plaintext_start_byte"]))
+        rows = derived.raw_examples(_docs(spark, sf_dir)).withColumn("annotations", F.when(
+            F.col("example_id") % 10 == 7, empty).otherwise(F.col("annotations"))).select(
+            F.expr("example_id div 512").alias("shard"), "example_id", F.to_json(F.struct("*")).alias("value"))
+        rows = rows.repartition("shard").sortWithinPartitions("shard", "example_id")
+        for k, codec in enumerate(("gzip", "none")):
+            rows.where(F.col("shard") % 2 == k).select("shard", "value").write.option("compression", codec).partitionBy(
+                "shard").text(f"{path}/{codec}")
+        broken = [r.v for r in _broken_raw(spark, _BROKEN_RAW + _FAULTY_RAW).select(F.to_json(F.struct("*")).alias("v")).collect()]
+        spark.createDataFrame([(x,) for x in broken + _BROKEN_LINES], "value string").coalesce(1).write.text(
+            f"{path}/none/shard=-1")
+        return spark.createDataFrame([(f"{path}/*/*",)], "p string")
+    return _cached(spark, sf_dir, "example-files", build).first().p
+
+
+def _shard_of_file():
+    return F.regexp_extract("file", "shard=(-?[0-9]+)", 1).cast("bigint").alias("shard")
+
+
 @query
 def q_example_scan(spark, sf_dir):
-    """Raw examples written as gzip JSONL (with literal invalid
-    rows), scanned; counts of survivors and pruned per reason, without a row or a line number per input line."""
-    path = work_path(spark, "examples-jsonl")
-    derived.raw_examples(_docs(spark, sf_dir)).unionByName(_broken_raw(spark)).write.option(
-        "compression", "gzip").json(path)
-    raw = readers.read_raw_examples(spark, path)
-    e = entry.build_entries(raw.drop("_ord"))
-    return e.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("outcome")).agg(
-        F.count(F.lit(1)).alias("n_examples"))
+    """Raw examples scanned from JSONL files (plain and gzip, with literal invalid lines): file,
+    line number, id and outcome of every line."""
+    e = scan.scan_examples(spark, _example_files(spark, sf_dir)).entries
+    return e.select(_shard_of_file(), "line_no", "example_id", F.coalesce("reject_reason", F.lit("ok")).alias("outcome"))
+
+
+def _scanned_training(spark, sf_dir):
+    e = scan.scan_examples(spark, _example_files(spark, sf_dir)).entries
+    e = landed(e.withColumn("file", _shard_of_file()), "scanned")[0]  # shard numbers order the files like names
+    pr = P.prepare_entries(e, vocab(spark, sf_dir), is_training=True, include_unknowns=1.0)
+    return e, pr
+
+
+@query
+def q_preparation_report(spark, sf_dir):
+    """What training preparation reports of the scanned files - the first 25 examples and all with errors."""
+    e, pr = _scanned_training(spark, sf_dir)
+    return scan.preparation_report(e, pr.errors).withColumnRenamed("file", "shard")
+
+
+@query
+def q_error_sample(spark, sf_dir):
+    """The first 25 examples of every preparation error, with file and line."""
+    e, pr = _scanned_training(spark, sf_dir)
+    return scan.error_sample(e, pr.errors).withColumnRenamed("file", "shard")
 
 
 @query
