@@ -40,7 +40,7 @@ def main():
     derived.raw_examples(docs).repartition(n_shards).write.option("compression", "gzip").json(gold_path)
     pred_path = work_path(spark, "bench-pred")
     derived.predictions(docs).write.json(pred_path)
-    vocab_path = tokenize.write_vocab_file(tokenize.derive_vocab_lines(docs), work_path(spark, "bench-vocab"))
+    vocab_path = tokenize.write_vocab_file(derived.derive_vocab_lines(docs), work_path(spark, "bench-vocab"))
     dpath, ppath = QP._goldp_inputs(spark, sf_dir)
     in_bytes = sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(gold_path) for f in fs)
     n_docs = docs.count()

@@ -33,13 +33,18 @@ def byte_slice(text, start, end) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
-def byte_slice_is_whole(text, start, end) -> Column:
-    """True when [start, end) does not cut through a character."""
-    t = _c(text)
-    s = F.greatest(_c(start), F.lit(0))
-    n = F.greatest(_c(end) - s, F.lit(0))
-    raw = F.substring(F.encode(t, "UTF-8"), s + 1, n)
-    return F.is_valid_utf8(raw.cast("string"))
+# One UTF-8 encoded character (or a run of ASCII) over bytes that are read as Latin-1 characters: the states
+# of the decoder, which also keep out overlong forms, surrogates and what is beyond U+10FFFF.
+_CONT = r"[\x80-\xBF]"
+WELL_FORMED = (rf"[\x00-\x7F]+|[\xC2-\xDF]{_CONT}|\xE0[\xA0-\xBF]{_CONT}|[\xE1-\xEC\xEE\xEF]{_CONT}{{2}}|"
+               rf"\xED[\x80-\x9F]{_CONT}|\xF0[\x90-\xBF]{_CONT}{{2}}|[\xF1-\xF3]{_CONT}{{3}}|"
+               rf"\xF4[\x80-\x8F]{_CONT}{{2}}")
+
+
+def decode_ignoring_errors(binary) -> Column:
+    """bytes as text; what is no well-formed UTF-8 is left out."""
+    kept = F.regexp_extract_all(F.decode(_c(binary), "ISO-8859-1"), F.lit(WELL_FORMED), F.lit(0))
+    return F.encode(F.array_join(kept, ""), "ISO-8859-1").cast("string")
 
 
 def safe_divide(x, y) -> Column:

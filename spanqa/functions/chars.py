@@ -20,6 +20,8 @@ NOT_PUNCTUATION = r"[^!-/:-@\[-`{-~\p{P}]"
 # CJK ideographs (eight code point ranges)
 CJK = (r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
        r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]")
+# neither punctuation nor CJK
+NEITHER = f"[{NOT_PUNCTUATION}&&[^{CJK[1:-1]}]]"
 # characters isolated as "bad" by the offset-preserving cleaner: NUL, U+FFFD, control
 BAD = r"[[\x{0}\x{FFFD}\p{Cc}\p{Cf}]&&[^\t\n\r]]"
 # whitespace seen by the offset-preserving splitter once bad characters are out

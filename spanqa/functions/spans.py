@@ -46,6 +46,26 @@ def partial_match(gs: str, ge: str, ps: str, pe: str) -> Column:
     return F.expr(partial_match_sql(gs, ge, ps, pe))
 
 
+def merge_segments(segments: Column) -> Column:
+    """Sorted, disjoint array<struct<start: bigint, end: bigint>> of the bytes that any of the segments [start, end)
+    covers; segments that touch are one. Empty and null segments cover nothing."""
+    clean = F.array_sort(F.filter(F.transform(segments, lambda s: F.struct(
+        s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))), lambda s: s["start"] < s["end"]))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["start"] <= last["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))
+                      ).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(clean, F.array().cast("array<struct<start:bigint,end:bigint>>"), step)
+
+
+def segment_positions(segments: Column) -> Column:
+    """The positions that sorted, disjoint, nonempty segments cover, in order."""
+    return F.flatten(F.transform(segments, lambda s: F.sequence(s["start"], s["end"] - 1)))
+
+
 def nonnull_span_equal(as_: str, ae: str, bs: str, be: str) -> Column:
     """Both spans non-negative and equal."""
     return F.expr(

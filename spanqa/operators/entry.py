@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanqa.constants import ANSWER_TYPES, MAX_PASSAGES, MAX_POSITION
+from spanqa.functions.bytes import byte_slice
 from spanqa.functions.lang import language_id
 
 # Reasons an article is rejected, in the order the rules are checked.
@@ -128,6 +129,24 @@ def build_entries(raw: DataFrame, max_passages: int = MAX_PASSAGES, max_position
     )
 
 
+def candidate_text(rows: DataFrame, index: str, on_range: str = "fail", text: str = "document_plaintext",
+                   candidates: str = "passage_answer_candidates") -> DataFrame:
+    """``rows`` plus ``cand`` (start, end: its bytes as one segment) and ``cand_text`` of the candidate at
+    ``index``. An index out of range, or null, fails the job (``fail``) or gives nulls (``null``)."""
+    if on_range not in ("fail", "null"):
+        raise ValueError(f"on_range is fail or null, not {on_range!r}")
+    i = F.col(index)
+    if on_range == "fail":
+        # raised in a filter: a column that is dropped again would be pruned
+        inside = F.coalesce((i >= 0) & (i < F.size(candidates)), F.lit(False))
+        rows = rows.where(F.when(inside, F.lit(True)).otherwise(F.raise_error(F.concat(
+            F.lit("Invalid index for passage candidate: "), F.coalesce(i.cast("string"), F.lit("null")))).cast("boolean")))
+    c = F.get(F.col(candidates), F.when((i >= 0) & (i < F.size(candidates)), i).cast("int"))
+    return rows.withColumn("cand", F.when(c.isNotNull(), F.struct(
+        c["plaintext_start_byte"].alias("start"), c["plaintext_end_byte"].alias("end")))).withColumn(
+        "cand_text", F.when(F.col("cand").isNotNull(), byte_slice(text, F.col("cand.start"), F.col("cand.end"))))
+
+
 def candidate_type_and_position(idx, max_position: int = MAX_POSITION):
     """``[NoLongAnswer]`` for -1, else ``[Paragraph=k]`` with
     k = min(idx + 1, max_position)."""

@@ -25,11 +25,17 @@ def path_bytes(spark, path: str) -> int:
 
 
 def landed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Write to the shared folder, read back; returns (table, bytes on disk)."""
+    """Write to the shared folder, read back; returns (table, bytes on disk). A table this function returned
+    is not written again."""
+    known = getattr(df, "_landed_bytes", None)
+    if known is not None:
+        return df, known
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), path_bytes(spark, path)
+    table = spark.read.parquet(path)
+    table._landed_bytes = path_bytes(spark, path)
+    return table, table._landed_bytes
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], name: str = "dim", how: str = "inner",

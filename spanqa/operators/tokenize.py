@@ -2,7 +2,7 @@
 
 texts --posexplode(split on ' ')--> tokens (X3)
 distinct tokens --basic split (X4-X9)--> sub-pieces --distinct words-->
-  substrings joined to the vocabulary, greedy longest match (J11, X10)
+  greedy longest match against the vocabulary's trie (J11, X10)
   --> pieces per distinct token (X11) with relative byte ranges
 tokens JOIN token pieces (size-checked broadcast, else salted shuffle join)
   --> running byte offsets per text (W5) --> wordpieces with inclusive byte
@@ -17,35 +17,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanqa.constants import (CONTINUATION_PREFIX, MAX_INPUT_CHARS_PER_WORD, MAX_POSITION, SPECIAL_TOKEN_PREFIXES,
-                              SPECIAL_TOKENS, UNK_TOKEN, UNUSED_TOKEN_PATTERN)
-from spanqa.functions.chars import (BAD, CJK, NOT_PUNCTUATION, NOT_SPLIT_SPACE, PUNCTUATION, SPLIT_SPACE,
+from spanqa.constants import (CONTINUATION_PREFIX, MAX_INPUT_CHARS_PER_WORD, SPECIAL_TOKEN_PREFIXES, SPECIAL_TOKENS,
+                              UNK_TOKEN, UNUSED_TOKEN_PATTERN)
+from spanqa.functions.chars import (BAD, CJK, NEITHER, NOT_PUNCTUATION, NOT_SPLIT_SPACE, PUNCTUATION, SPLIT_SPACE,
                                    WHITESPACE, strip_accents)
+from spanqa.functions.longest_match import LongestMatch
 from spanqa.operators.joins import join_dimension, landed
 
+#: A vocabulary up to this size on disk is collected for the trie (a model's vocabulary is a few megabytes).
+MAX_VOCAB_BYTES = 16 * 1024 * 1024
 
-# ------------------------------------------------------------ vocabulary ---
-
-def derive_vocab_lines(docs: DataFrame, n_words: int = 2000, max_position: int = MAX_POSITION) -> DataFrame:
-    """Stand-in vocabulary (lines, in order): special tokens, context markers,
-    every character of the corpus and its continuation form, then the most
-    frequent whitespace-separated words (count desc, word asc)."""
-    spark = docs.sparkSession
-    specials = spark.createDataFrame([(0, i, t) for i, t in enumerate(SPECIAL_TOKENS)], "sec int, k long, line string")
-    markers = spark.range(max_position).select(F.lit(1).alias("sec"), F.col("id").alias("k"),
-                                               F.concat(F.lit("[ContextId="), F.col("id").cast("string"), F.lit("]")))
-    chars = (docs.select(F.explode(F.split("text", "")).alias("c"))
-             .where((F.col("c") != "") & ~F.col("c").rlike(r"[\s\p{Z}\p{Cc}]"))
-             .distinct())
-    c1 = chars.select(F.lit(2).alias("sec"), F.lit(0).cast("long").alias("k"), F.col("c").alias("line"))
-    c2 = chars.select(F.lit(3).alias("sec"), F.lit(0).cast("long").alias("k"),
-                      F.concat(F.lit(CONTINUATION_PREFIX), "c").alias("line"))
-    words = (docs.select(F.explode(F.split("text", r"[\s\p{Z}]+")).alias("w")).where("w <> ''")
-             .groupBy("w").count()
-             .orderBy(F.col("count").desc(), F.col("w")).limit(n_words)  # top-k is the feature here
-             .select(F.lit(4).alias("sec"), (-F.col("count")).alias("k"), F.col("w").alias("line")))
-    return specials.unionByName(markers.toDF("sec", "k", "line")).unionByName(c1).unionByName(c2).unionByName(words)
 
+# ------------------------------------------------------------ vocabulary ---
 
 def write_vocab_file(lines: DataFrame, path: str) -> str:
     """One token per line, in (section, key, token) order, as a single text file."""
@@ -77,58 +60,59 @@ def is_special_token(col="token"):
     return cond
 
 
-def basic_split_expr(col: str = "token") -> str:
+def basic_split_expr(col: str = "token", isolate_cjk: bool = False) -> str:
     """X4-X9 (offset-preserving basic tokenizer) on one whitespace-free token.
 
     Per run between split-space characters: its bad characters first (they are
     emitted before the pending run, which keeps merging across them), then the
     remaining run split around punctuation. CJK characters are not split (the
-    isolation step is undone by the run merging). Returns
-    array<struct<piece: string, good: boolean>> covering every character.
+    isolation step is undone by the run merging) unless ``isolate_cjk`` is set (X7): then each is a piece of its own.
+    Returns array<struct<piece: string, good: boolean>> covering every character.
     """
     seg = f"r'({SPLIT_SPACE}|{NOT_SPLIT_SPACE}+)'"
+    parts = f"{PUNCTUATION}|{CJK}|{NEITHER}+" if isolate_cjk else f"{PUNCTUATION}|{NOT_PUNCTUATION}+"
     return (
         f"flatten(transform(regexp_extract_all({col}, {seg}, 1), s -> concat("
         f"transform(regexp_extract_all(s, r'({BAD})', 1), b -> named_struct('piece', b, 'good', false)), "
-        f"transform(regexp_extract_all(regexp_replace(s, r'{BAD}', ''), r'({PUNCTUATION}|{NOT_PUNCTUATION}+)', 1), "
+        f"transform(regexp_extract_all(regexp_replace(s, r'{BAD}', ''), r'({parts})', 1), "
         "x -> named_struct('piece', x, 'good', true)))))"
     )
 
 
-def _vocab_max_piece_chars(vocab: DataFrame) -> int:
-    """Longest vocabulary piece (characters, without the ## prefix) that can
-    match inside a word. Words come out of the punctuation split, so no piece
-    of several characters with punctuation can match (words kept whole by
-    ``preserve_unused`` are looked up as they are, not through this)."""
-    body = F.when(F.col("token").startswith(CONTINUATION_PREFIX),
-                  F.expr(f"substring(token, {len(CONTINUATION_PREFIX) + 1})")).otherwise(F.col("token"))
-    vocab = vocab.where((F.char_length(body) <= 1) | ~body.rlike(PUNCTUATION))
-    row = vocab.agg(F.max(F.when(F.col("token").startswith(CONTINUATION_PREFIX),
-                                 F.char_length("token") - len(CONTINUATION_PREFIX))
-                          .otherwise(F.char_length("token"))).alias("m")).first()
-    return int(row.m or 1)
-
-
-def wordpiece_words(words: DataFrame, vocab: DataFrame, max_chars: int = MAX_INPUT_CHARS_PER_WORD) -> DataFrame:
+def wordpiece_words(words: DataFrame, vocab: DataFrame, max_chars: int = MAX_INPUT_CHARS_PER_WORD,
+                    max_vocab_bytes: int = MAX_VOCAB_BYTES) -> DataFrame:
     """J11 + X10: greedy longest-match-first wordpieces of distinct words.
 
-    words: (word). Returns (word, wps array<struct<id: bigint, nbytes: int>>):
-    every substring up to the longest vocabulary piece is joined to the
-    vocabulary (continuations with the ``##`` prefix); a walk from the start
-    takes the longest match at each position. Words longer than ``max_chars``
-    characters, or with a position no piece matches, become one [UNK] piece.
+    words: (word). Returns (word, wps array<struct<id: bigint, nbytes: int>>). Continuations are looked up with the
+    ``##`` prefix. Words longer than ``max_chars`` characters, or with a position no piece matches, become
+    one [UNK] piece. The vocabulary's trie goes to the tasks; a vocabulary of over ``max_vocab_bytes`` on disk
+    is joined instead.
     """
-    spark = words.sparkSession
-    maxlen = _vocab_max_piece_chars(vocab)
-    unk_id = vocab.where(F.col("token") == UNK_TOKEN).select("id")
-    w = words.withColumn("m", F.char_length("word"))
+    vocab, nbytes = landed(vocab.select("token", "id"), "vocab")
+    if nbytes > max_vocab_bytes:
+        return _wordpieces_joined(words, vocab, max_chars)
+    unk = vocab_id_of(vocab, UNK_TOKEN)
+    match = LongestMatch([(r.token, r.id) for r in vocab.collect()], CONTINUATION_PREFIX)
+    shared = words.sparkSession.sparkContext.broadcast(match)
+    return words.select("word").mapInArrow(lambda batches: shared.value.batches(batches, unk, max_chars),
+                                           "word string, wps array<struct<id: bigint, nbytes: int>>")
+
+
+def _wordpieces_joined(words: DataFrame, vocab: DataFrame, max_chars: int) -> DataFrame:
+    """`wordpiece_words` for a vocabulary of any size: the substrings of a word up to the longest piece are joined
+    with it, and the longest match of every start becomes an entry of the word's map that a walk follows."""
+    text = F.when(F.col("token").startswith(CONTINUATION_PREFIX), F.greatest(
+        F.char_length("token") - len(CONTINUATION_PREFIX), F.lit(1))).otherwise(F.char_length("token"))
+    longest_piece = int(vocab.agg(F.max(text)).first()[0] or 1)
+    unk_id = vocab_id_of(vocab, UNK_TOKEN)
+    w = words.select("word", F.char_length("word").alias("m"))
     subs = (w.where((F.col("m") > 0) & (F.col("m") <= max_chars))
             .select("word", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("s"), "m")
-            .select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least("m", F.col("s") + maxlen))).alias("e"))
+            .select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least("m", F.col("s") + longest_piece
+                                                                              + len(CONTINUATION_PREFIX)))).alias("e"))
             .withColumn("piece", F.concat(F.when(F.col("s") > 0, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
                                           F.expr("substring(word, s + 1, e - s)"))))
     hits = join_dimension(subs, vocab.select(F.col("token").alias("piece"), "id"), ["piece"], name="vocab")
-    # longest match per (word, start), then one map per word: each walk step is one lookup
     longest = hits.groupBy("word", "s").agg(F.max(F.struct("e", "id")).alias("b"))
     nxt = longest.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("s", "b"))).alias("nxt"))
     walk = (
@@ -140,9 +124,7 @@ def wordpiece_words(words: DataFrame, vocab: DataFrame, max_chars: int = MAX_INP
         "    named_struct('pos', b.e, 'fail', false, 'out', concat(a2.out, "
         "      array(named_struct('s', a2.pos, 'e', b.e, 'id', b.id))))))))"
     )
-    cands = nxt
-    unk_id = vocab_id_of(vocab, UNK_TOKEN)
-    walked = w.join(cands, "word", "left").withColumn("_w", F.expr(
+    walked = w.join(nxt, "word", "left").withColumn("_w", F.expr(
         f"IF(nxt IS NULL OR m > {int(max_chars)} OR m = 0, NULL, {walk})"))
     out = walked.withColumn("wps", F.expr(
         f"IF(_w IS NULL OR _w.fail, array(named_struct('id', {unk_id}L, 'nbytes', octet_length(word))), "
@@ -159,7 +141,7 @@ def vocab_id_of(vocab: DataFrame, token: str) -> int:
 
 
 def token_pieces(tokens: DataFrame, vocab: DataFrame, max_chars: int = MAX_INPUT_CHARS_PER_WORD,
-                 preserve_unused: bool = False) -> DataFrame:
+                 preserve_unused: bool = False, isolate_cjk: bool = False) -> DataFrame:
     """Wordpieces of every distinct whitespace token.
 
     Returns (token, pieces array<struct<id: bigint, rel_start: int, nbytes: int>>)
@@ -178,7 +160,7 @@ def token_pieces(tokens: DataFrame, vocab: DataFrame, max_chars: int = MAX_INPUT
         whole = whole | F.col("_in").isNotNull()
     special = distinct.where(whole).select("token")
     plain = distinct.where(~whole).select("token")
-    sub = plain.select("token", F.posexplode(F.expr(basic_split_expr("token"))).alias("sub_pos", "p")).select(
+    sub = plain.select("token", F.posexplode(F.expr(basic_split_expr("token", isolate_cjk))).alias("sub_pos", "p")).select(
         "token", "sub_pos", F.col("p.piece").alias("piece"), F.col("p.good").alias("good"))
     # single characters (commas and the like, in a large share of all tokens) need no join by key: the
     # single-character vocabulary has at most one row per Unicode character and is broadcast
@@ -223,7 +205,7 @@ def token_mismatch(pieces: DataFrame) -> DataFrame:
 
 def tokenize_texts(texts: DataFrame, vocab: DataFrame, keys: list[str],
                    max_chars: int = MAX_INPUT_CHARS_PER_WORD, partition_keys: list[str] | None = None,
-                   marker_prefix: str | None = None) -> DataFrame:
+                   marker_prefix: str | None = None, isolate_cjk: bool = False) -> DataFrame:
     """Wordpieces of every text with byte offsets into that text.
 
     texts: (*keys, text). Returns one row per text:
@@ -235,9 +217,10 @@ def tokenize_texts(texts: DataFrame, vocab: DataFrame, keys: list[str],
     on it reuse the same partitioning). With ``marker_prefix`` the same
     window also counts marker tokens, and ``wp_segs`` gives every wordpiece
     the number of markers up to its token minus one (a segment guess).
+    ``isolate_cjk``: every CJK character is a word of its own; offsets stay exact.
     """
     vocab = landed(vocab, "vocab")[0]
-    pieces = token_pieces(text_tokens(texts, keys), vocab, max_chars)
+    pieces = token_pieces(text_tokens(texts, keys), vocab, max_chars, isolate_cjk=isolate_cjk)
     toks = text_tokens(texts, keys).repartition(*(partition_keys or keys))
     w = Window.partitionBy(*keys).orderBy("tok_pos").rowsBetween(Window.unboundedPreceding, -1)
     toks = toks.withColumn("tok_start", F.coalesce(F.sum(F.col("tok_bytes") + 1).over(w), F.lit(0)))

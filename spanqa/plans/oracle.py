@@ -207,6 +207,17 @@ SELECT g.example_id, CAST(g.ann_pos AS INTEGER) AS ann_pos, g.ci AS candidate_in
 FROM qa_gold g JOIN qa_candidates c ON c.doc_id = g.example_id AND c.cand_pos = g.ci
 WHERE g.ci >= 0"""
 
+SQL["candidate_positions"] = _with(BASE, """
+sp AS (SELECT g.example_id, g.ann_pos, c.start_b AS s1, c.start_b + c.len_b AS e1, b.start_b AS s2, b.start_b + b.len_b AS e2,
+              g.s AS s3, g.e AS e3
+       FROM qa_gold g JOIN qa_candidates c ON c.doc_id = g.example_id AND c.cand_pos = g.ci
+       JOIN qa_candidates b ON b.doc_id = g.example_id AND b.cand_pos = greatest(g.ci - 1, 0) WHERE g.ci >= 0),
+ps AS (SELECT example_id, ann_pos, list_sort(list_distinct(list_concat(range(s1, e1), range(s2, e2),
+              CASE WHEN s3 >= 0 THEN range(s3, e3) ELSE [] END))) AS p FROM sp)""") + """
+SELECT example_id, CAST(ann_pos AS INTEGER) AS ann_pos,
+       CAST(len(list_filter(p, lambda x, i: i = 1 OR x <> p[i - 1] + 1)) AS INTEGER) AS n_segments,
+       CAST(len(p) AS INTEGER) AS n_positions, md5(coalesce(array_to_string(p, ','), '')) AS positions_md5 FROM ps"""
+
 SQL["local_offsets"] = _with(BASE) + """
 SELECT g.example_id, CAST(g.ann_pos AS INTEGER) AS ann_pos, g.s - c.start_b AS local_start, g.e - c.start_b AS local_end
 FROM qa_gold g JOIN qa_candidates c ON c.doc_id = g.example_id AND c.cand_pos = g.ci
@@ -317,6 +328,7 @@ SELECT language, task, n, round(precision, 9) AS precision, round(recall, 9) AS
        round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 9) AS f1
 FROM u2"""
 
+SQL["metric_reports"] = None  # below, from the averages
 SQL["macro_average"] = _with(BASE, EVAL, """
 ma AS (SELECT
    coalesce(avg(best_f1) FILTER (WHERE task = 'passage'), 0.0) AS avg_passage_f1,
@@ -356,6 +368,15 @@ JOIN st ON st.example_id = gj.example_id AND st.task = 'minimal'
 WHERE gj.matched"""
 
 
+_MA = SQL["macro_average"].split("\nSELECT round(avg_passage_f1", 1)[0]
+SQL["metric_reports"] = _MA + f"""
+SELECT language, task, round(best_f1, 9) AS best_f1, round(best_precision, 9) AS best_precision,
+       round(best_recall, 9) AS best_recall, {_latex("best_f1", "best_precision", "best_recall")} AS latex FROM bt
+UNION ALL SELECT 'average', 'passage', round(avg_passage_f1, 9), round(avg_passage_precision, 9),
+                 round(avg_passage_recall, 9), '' FROM ma
+UNION ALL SELECT 'average', 'minimal', round(avg_minimal_f1, 9), round(avg_minimal_precision, 9),
+                 round(avg_minimal_recall, 9), '' FROM ma"""
+
 # ---------------------------------------------------------------- entries ---
 
 _CTX = r"""
@@ -495,7 +516,10 @@ SELECT doc_id, lang,
   length(text) - length(regexp_replace(text,
     '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]',
     '', 'g')) AS n_cjk
-FROM documents"""
+FROM (SELECT doc_id, text, lang FROM documents
+      UNION ALL SELECT -1, '中文abc 字!', 'zz'
+      UNION ALL SELECT -2, chr(131073) || chr(173824) || chr(63744) || ' x', 'zz'
+      UNION ALL SELECT -3, 'a' || chr(1) || chr(8203) || chr(9) || 'b' || chr(12290), 'zz')"""
 
 SQL["space_tokens"] = r"""
 SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_space_tokens,
@@ -522,6 +546,46 @@ pcs AS (SELECT token,
   FROM segs)
 SELECT token, array_to_string(p, '|') AS pieces, CAST(coalesce(nb, 0) AS INTEGER) AS n_bad FROM pcs"""
 
+_CJK_RE2 = (r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}"
+            r"\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}")
+SQL["basic_tokens_cjk"] = rf"""
+WITH toks AS (
+  SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents
+  UNION SELECT 'x中y文' UNION SELECT '中文,字' UNION SELECT 'é日' || chr(0) || '本' UNION SELECT chr(131073) || 'a' UNION SELECT ''),
+segs AS (SELECT token, regexp_extract_all(token, '([\t\n\r\p{{Z}}]|[^\t\n\r\p{{Z}}]+)', 1) AS sg FROM toks),
+pcs AS (SELECT token, flatten(list_transform(sg, lambda s: list_concat(regexp_extract_all(s, '({_BAD_RE2})', 1),
+          regexp_extract_all(regexp_replace(s, '{_BAD_RE2}', '', 'g'),
+                             '({_PU_RE2}|[{_CJK_RE2}]|[^!-/:-@\[-`{{-~\p{{P}}{_CJK_RE2}]+)', 1)))) AS p FROM segs)
+SELECT token, array_to_string(p, '|') AS pieces, array_to_string(list_transform(p, lambda x, i:
+         CAST(strlen(array_to_string(p[:i], '')) AS VARCHAR)), ',') AS ends FROM pcs"""
+
+# one well-formed UTF-8 character, and the longest beginning of one, in hexadecimal digits
+_C = "[89AB]."
+_UTF8 = (rf"[0-7].|(?:C[2-9A-F]|D.){_C}|E0[AB].{_C}|E[1-9ABCEF]{_C}{_C}|ED[89].{_C}|F0[9AB].{_C}{_C}|"
+         rf"F[123]{_C}{_C}{_C}|F48.{_C}{_C}")
+_PART = rf"E0[AB].|E[1-9ABCEF]{_C}|ED[89].|F0[9AB].(?:{_C})?|F[123]{_C}(?:{_C})?|F48.(?:{_C})?"
+
+
+def _repaired(h: str) -> str:
+    """SQL for the hexadecimal digits of bytes with every broken part replaced by U+FFFD."""
+    return (f"array_to_string(list_transform(regexp_extract_all({h}, '(?:{_UTF8})|{_PART}|..', 0), "
+            f"lambda x: CASE WHEN regexp_full_match(x, '{_UTF8}') THEN x ELSE 'EFBFBD' END), '')")
+
+
+SQL["bytes_ignored"] = rf"""
+WITH h AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, strlen(text) // 2 AS half FROM documents),
+raw AS (SELECT doc_id, substr(h, 3, 2 * half) || 'FF' || substr(h, 2 * half + 5, 2 * greatest(n - half - 4, 0)) AS r FROM h),
+kept AS (SELECT doc_id, r, array_to_string(regexp_extract_all(r, '({_UTF8})|..', 1), '') AS k FROM raw)
+SELECT doc_id, CAST(length(k) // 2 AS INTEGER) AS n_kept, CAST((length(r) - length(k)) // 2 AS INTEGER) AS n_dropped,
+       md5(k) AS kept_md5 FROM kept"""
+
+SQL["text_repair"] = rf"""
+WITH h AS (SELECT doc_id, substr(hex(encode(text)), 3, 2 * greatest(strlen(text) - 3, 0)) AS h FROM documents),
+r AS (SELECT doc_id, h, {_repaired("h")} AS r,
+             len(list_filter(regexp_extract_all(h, '(?:{_UTF8})|{_PART}|..', 0),
+                             lambda x: x = 'EFBFBD' OR NOT regexp_full_match(x, '{_UTF8}'))) AS n FROM h)
+SELECT doc_id, h = r AS valid, CAST(length(r) // 2 AS INTEGER) AS repaired_bytes, CAST(n AS INTEGER) AS n_replaced FROM r"""
+
 SQL["vocab_ids"] = r"""
 WITH sp(k, line) AS (VALUES (0, '[CLS]'), (1, '[SEP]'), (2, '[PAD]'), (3, '[Q]'), (4, '[YES]'), (5, '[NO]'),
     (6, '[NoLongAnswer]'), (7, '[NoShortAnswer]'), (8, '[SA]'), (9, '[/SA]'), (10, '[UNK]'), (11, '[MASK]')),
@@ -718,6 +782,51 @@ SELECT tgt.example_id,
                       AND tgt.eb - 1 >= 0), -1) AS INTEGER) AS wp_end
 FROM tgt"""
 
+# destructive tokenizer, then the same walk over its tokens
+SQL["full_tokenizer"] = "WITH RECURSIVE " + _VOCAB_CTE + r""",
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
+             '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\p{Cf}\x{FFFD}]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g'),
+             '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}])', ' \\1 ', 'g') AS t FROM documents),
+cw AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \x{2028}\x{2029}]+'), lambda x: x <> '') AS ws FROM c),
+wo AS (SELECT doc_id, ws[i] AS raw, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM cw)),
+dw AS (SELECT raw, list_filter(regexp_extract_all(strip_accents(lower(raw)),
+         '([!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}]+)', 1), lambda x: x <> '') AS ts FROM (SELECT DISTINCT raw FROM wo)),
+words AS (SELECT DISTINCT unnest(ts) AS word FROM dw),
+""" + "body AS" + _WALK.split("\nbody AS", 1)[1].rstrip().rstrip(",") + """,
+wres AS (SELECT w.word, string_split(coalesce(d.out, '[UNK]'), ' ') AS pl FROM words w LEFT JOIN done d ON d.word = w.word),
+dt AS (SELECT raw, ts[k] AS word, k FROM (SELECT raw, ts, unnest(range(1, len(ts) + 1)) AS k FROM dw)),
+dp AS (SELECT dt.raw, dt.k, pl[m] AS piece, m FROM (SELECT dt.raw, dt.k, wres.pl, unnest(range(1, len(wres.pl) + 1)) AS m
+         FROM dt JOIN wres ON wres.word = dt.word) AS dt),
+dv AS (SELECT dp.*, v.id FROM dp JOIN vocab v ON v.token = dp.piece)
+SELECT wo.doc_id, CAST(count(*) AS INTEGER) AS n_pieces, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY wo.i, k, m)) AS ids_md5,
+       md5(string_agg(piece, ' ' ORDER BY wo.i, k, m)) AS tokens_md5
+FROM wo JOIN dv ON dv.raw = wo.raw GROUP BY wo.doc_id"""
+
+# slices of the contexts of valid entries in hexadecimal digits
+_HEX = _TOK_CTES.rstrip() + """,
+okd AS (SELECT doc_id FROM d WHERE len(list_filter(list_slice(paras, 1, 45), lambda x: x = '')) = 0),
+cx AS (SELECT c.doc_id, hex(encode(c.contexts)) AS h, strlen(c.contexts) AS n FROM ctx c JOIN okd USING (doc_id))"""
+
+SQL["alignment_report"] = _HEX + rf""",
+cut AS (SELECT doc_id, unnest(range(0, greatest(n, 1), 20)) AS at, h FROM cx),
+pc AS (SELECT o.doc_id, o.st - o.st % 20 AS at, count(*) AS n, string_agg(v.token, ' ' ORDER BY o.i, o.j, o.k) AS w
+       FROM offs o JOIN vocab v ON v.id = o.id GROUP BY ALL)
+SELECT cut.doc_id AS example_id, CAST(cut.at AS INTEGER) AS at,
+       regexp_full_match(substr(h, 2 * cut.at + 1, 40), '(?:{_UTF8})*') AS whole_chars,
+       coalesce(seg.plain_start + cut.at - seg.ctx_start, -1) AS plain_at, CAST(coalesce(pc.n, 0) AS INTEGER) AS n_wordpieces,
+       coalesce(pc.w, '') AS wordpieces, seg.doc_id IS NULL AS unmapped
+FROM cut LEFT JOIN seg ON seg.doc_id = cut.doc_id AND cut.at >= seg.ctx_start AND cut.at < seg.ctx_end
+LEFT JOIN pc ON pc.doc_id = cut.doc_id AND pc.at = cut.at"""
+
+SQL["answer_context"] = _HEX + rf""",
+acx AS (SELECT a.example_id, CASE WHEN a.has_min THEN a.gs - a.cs + a.ts ELSE a.ts END AS s,
+              CASE WHEN a.has_min THEN a.ge - a.cs + a.ts ELSE a.ts + a.cl END AS e, cx.h
+       FROM ans a JOIN cx ON cx.doc_id = a.example_id WHERE a.annotated_idx >= 0)
+SELECT example_id, decode(unhex({_repaired("substr(h, 2 * s + 1, 2 * (e - s))")})) AS answer,
+       decode(unhex({_repaired("substr(h, 2 * greatest(s - 100, 0) + 1, 2 * (s - greatest(s - 100, 0)))")})) AS before,
+       decode(unhex({_repaired("substr(h, 2 * e + 1, 200)")})) AS after
+FROM acx"""
+
 # errors of training preparation: answers without a wordpiece (empty for ids that end in 7)
 _ERRORS = _TOK_CTES.rstrip() + "," + _SCAN_LIT.rstrip() + """,
 ix AS (SELECT doc_id, st, st + nb - 1 AS en FROM offs),
@@ -804,6 +913,33 @@ FROM agg JOIN d ON d.doc_id = agg.ex JOIN ids2 ON ids2.language = d.language"""
 
 _WINDOWS = SQL["features"].rsplit("agg AS (SELECT win2.ex", 1)[0].rstrip().rstrip(",")
 
+# labels of every training window: examples with an answer that holds a wordpiece
+_LABELS = _WINDOWS + """,
+ltgt AS (SELECT example_id, annotated_idx, has_min, CASE WHEN annotated_idx < 0 THEN 0 WHEN has_min THEN gs - cs + ts ELSE ts END AS sb,
+                CASE WHEN annotated_idx < 0 THEN 1 WHEN has_min THEN ge - cs + ts ELSE ts + cl END AS eb FROM ans),
+lpos AS (SELECT t.example_id, t.annotated_idx, t.has_min, min(o.wi) FILTER (o.en >= t.sb) AS a,
+                max(o.wi) FILTER (o.st <= t.eb - 1) AS b
+         FROM ltgt t JOIN op o ON o.ex = t.example_id AND o.kind = 0 AND t.sb < t.eb
+         GROUP BY ALL HAVING bool_or(o.st <= t.eb - 1 AND o.en >= t.sb)),
+lab AS (SELECT w.ex, w.kw, l.annotated_idx >= 0 AND l.a >= w.ws AND l.b <= w.ws + w.wl - 1 AS pos, l.a - w.ws + w.nq + 2 AS s,
+               l.b - w.ws + w.nq + 2 AS e, CASE WHEN l.has_min THEN 3 ELSE 4 END AS type
+        FROM win2 w JOIN lpos l ON l.example_id = w.ex)
+SELECT ex + kw AS unique_ids, ex AS example_index, CAST(kw AS INTEGER) AS doc_span_index,
+       CAST(CASE WHEN pos THEN s ELSE 0 END AS BIGINT) AS start_positions,
+       CAST(CASE WHEN pos THEN e ELSE 0 END AS BIGINT) AS end_positions,
+       CAST(CASE WHEN pos THEN type ELSE 0 END AS BIGINT) AS answer_types
+FROM lab"""
+SQL["window_labels_all"] = _LABELS
+SQL["window_labels_positive"] = _LABELS + " WHERE pos"
+
+SQL["buffer_shuffled"] = _WINDOWS + """,
+f AS (SELECT ex, kw, row_number() OVER (ORDER BY ex, kw) - 1 AS p, count(*) OVER () AS n FROM win2),
+r AS (SELECT ex, kw, epoch, epoch * n + p AS before FROM f, range(2) AS e(epoch)),
+q AS (SELECT *, before * 65536 + CAST('0x' || substr(md5('7:' || before), 1, 4) AS BIGINT) * 100 AS due FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY due, before) - 1 AS position, count(*) OVER () AS total FROM q)
+SELECT position, before AS position_before, CAST(epoch AS INTEGER) AS epoch, ex AS example_index,
+       CAST(kw AS INTEGER) AS doc_span_index, position // 32 AS batch FROM o WHERE position < total - total % 32"""
+
 SQL["score_batches"] = _WINDOWS + """
 SELECT ex AS example_index, CAST(kw AS INTEGER) AS doc_span_index,
        ((ex * 1000 + kw) * 31 + 7) % 97 / 8.0::DOUBLE AS start_1,

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from spanqa.constants import LANGUAGES
 from spanqa.functions import bytes as B
 from spanqa.functions import lang as L
+from spanqa.functions import spans as S
 from spanqa.functions.spans import is_null_span, nonnull_span_equal, partial_match
-from spanqa.operators import curve, metrics, scoring
+from spanqa.operators import curve, entry, metrics, scoring
 from spanqa.plans import evaluate as E
 from spanqa.session import work_path
 from spanqa.sources import derived, readers
@@ -158,6 +159,27 @@ def q_candidate_text(spark, sf_dir):
     )
 
 
+@query
+def q_candidate_positions(spark, sf_dir):
+    """byte positions of the annotated candidate, the one before it and the gold minimal answer, as merged
+    segments and one by one; an annotation of a missing candidate would fail."""
+    a = _gold_raw(spark, sf_dir).select("example_id", "document_plaintext", "passage_answer_candidates",
+                                        F.posexplode("annotations").alias("ann_pos", "a")).where(
+        "a.passage_answer.candidate_index >= 0").withColumn("i", F.col("a.passage_answer.candidate_index"))
+    a = entry.candidate_text(a, "i")
+    before = F.get("passage_answer_candidates", F.greatest(F.col("i") - 1, F.lit(0)).cast("int"))
+
+    def segment(s, e):
+        return F.struct(s.alias("start"), e.alias("end"))
+
+    m = a.withColumn("segments", S.merge_segments(F.array(
+        F.col("cand"), segment(before.plaintext_start_byte, before.plaintext_end_byte),
+        segment(F.col("a.minimal_answer.plaintext_start_byte"), F.col("a.minimal_answer.plaintext_end_byte")))))
+    positions = S.segment_positions(F.col("segments"))
+    return m.select("example_id", "ann_pos", F.size("segments").alias("n_segments"), F.size(positions).alias("n_positions"),
+                    F.md5(F.array_join(positions.cast("array<string>"), ",")).alias("positions_md5"))
+
+
 @query
 def q_local_offsets(spark, sf_dir):
     """gold minimal spans as offsets inside their candidate passage."""
@@ -321,6 +343,23 @@ def q_macro_average(spark, sf_dir):
     return m.select(*[r9(c).alias(c) for c in cols], "n_languages", "passage_latex", "minimal_latex")
 
 
+@query
+def q_metric_reports(spark, sf_dir):
+    """The written reports read back - the line of every language and task, and the one of the averages."""
+    path = work_path(spark, "metric-reports")
+    E.write_reports(_evaluation(spark, sf_dir), path)
+    lines = spark.read.json(f"{path}/languages", schema="language string, task string, best_f1 double, best_precision double, "
+                            "best_recall double, latex string")
+    names = ["avg_passage_f1", "avg_passage_recall", "avg_passage_precision", "avg_minimal_f1", "avg_minimal_recall",
+             "avg_minimal_precision"]
+    m = spark.read.text(f"{path}/metrics").select(F.from_json("value", ", ".join(f"{n} double" for n in names)).alias("m"))
+    tasks = [m.select(F.lit("average").alias("language"), F.lit(t).alias("task"), *[
+        F.col(f"m.avg_{t}_{k}").alias(f"best_{k}") for k in ("f1", "precision", "recall")], F.lit("").alias("latex"))
+        for t in ("passage", "minimal")]
+    rows = lines.unionByName(tasks[0]).unionByName(tasks[1])
+    return rows.select("language", "task", *[r9(c).alias(c) for c in ("best_f1", "best_precision", "best_recall")], "latex")
+
+
 @query
 def q_scored_samples(spark, sf_dir):
     """Verbose samples - predicted examples whose first annotation has

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanqa.constants import GOLDP_LANGUAGES
+from spanqa.functions import bytes as B
 from spanqa.functions import chars as C
 from spanqa.operators import alignment, assemble, entry, features, goldp, model, scan, tokenize, training
 from spanqa.operators.joins import landed
@@ -35,7 +36,7 @@ def raw_examples(spark, sf_dir) -> DataFrame:
 
 def vocab(spark, sf_dir) -> DataFrame:
     def build():
-        path = tokenize.write_vocab_file(tokenize.derive_vocab_lines(_docs(spark, sf_dir)), work_path(spark, "vocab"))
+        path = tokenize.write_vocab_file(derived.derive_vocab_lines(_docs(spark, sf_dir)), work_path(spark, "vocab"))
         return landed(readers.read_vocab(spark, path), "vocab-table")[0]
     return _cached(spark, sf_dir, "vocab", build)
 
@@ -245,8 +246,10 @@ def q_answer_typing(spark, sf_dir):
 
 @query
 def q_char_classes(spark, sf_dir):
-    """Characters per class in every document."""
-    d = _docs(spark, sf_dir)
+    """Characters per class in every document, and in literal texts with ideographs and controls."""
+    lit = spark.createDataFrame([(-1, "中文abc 字!", "zz"), (-2, "\U00020001\U0002A700\uF900 x", "zz"), (-3, "a\x01\u200b\tb\u3002", "zz")],
+                                "doc_id bigint, text string, lang string")
+    d = _docs(spark, sf_dir).unionByName(lit)
 
     def count(cls):
         return F.char_length("text") - F.char_length(F.regexp_replace("text", cls, ""))
@@ -267,6 +270,19 @@ def q_text_repair(spark, sf_dir):
                     F.char_length(F.regexp_replace(F.make_valid_utf8(raw), "[^�]", "")).alias("n_replaced"))
 
 
+@query
+def q_bytes_ignored(spark, sf_dir):
+    """every document's bytes with the first, the middle two and the last two cut out and a stray byte put in,
+    decoded with the broken parts left out."""
+    b = F.encode("text", "UTF-8")
+    half, n = F.expr("octet_length(text) div 2"), F.octet_length("text")
+    raw = F.concat(F.substring(b, F.lit(2), half), F.unhex(F.lit("FF")),
+                   F.substring(b, half + 3, F.greatest(n - half - 4, F.lit(0))))
+    kept = _docs(spark, sf_dir).select("doc_id", F.octet_length(raw).alias("n"), B.decode_ignoring_errors(raw).alias("kept"))
+    return kept.select("doc_id", F.octet_length("kept").alias("n_kept"),
+                       (F.col("n") - F.octet_length("kept")).alias("n_dropped"), F.md5(F.hex("kept")).alias("kept_md5"))
+
+
 @query
 def q_accent_free_words(spark, sf_dir):
     """distinct words of all documents without accents (NFD, drop Mn)."""
@@ -303,6 +319,19 @@ def q_basic_tokens(spark, sf_dir):
                      F.size(F.filter("p", lambda x: ~x["good"])).alias("n_bad"))
 
 
+@query
+def q_basic_tokens_cjk(spark, sf_dir):
+    """The same split with every ideograph a piece of its own, with byte offsets, over the documents' tokens and
+    literal ones."""
+    lit = spark.createDataFrame([("x中y文",), ("中文,字",), ("é日\x00本",), ("\U00020001a",), ("",)], "token string")
+    toks = tokenize.text_tokens(_docs(spark, sf_dir), ["doc_id"]).select("token").unionByName(lit).distinct()
+    sp = toks.select("token", F.expr(tokenize.basic_split_expr("token", isolate_cjk=True)).alias("p"))
+    ends = F.expr("aggregate(p, named_struct('at', 0, 'out', CAST(array() AS ARRAY<INT>)), (a, x) -> named_struct('at', "
+                  "a.at + octet_length(x.piece), 'out', concat(a.out, array(a.at + octet_length(x.piece))))).out")
+    return sp.select("token", F.array_join(F.transform("p", lambda x: x["piece"]), "|").alias("pieces"),
+                     F.array_join(ends.cast("array<string>"), ",").alias("ends"))
+
+
 @query
 def q_wordpieces(spark, sf_dir):
     """Greedy longest-match wordpieces of every distinct word
@@ -333,16 +362,16 @@ def q_basic_tokens_destructive(spark, sf_dir):
 
 @query
 def q_full_tokenizer(spark, sf_dir):
-    """Destructive tokenizer + wordpieces as ids for every document;
-    ids mapped back to tokens (both directions of the vocabulary)."""
+    """Destructive tokenizer + wordpieces for every document: count and digest of the ids in order, and
+    of the tokens they stand for (both directions of the vocabulary)."""
     d = _docs(spark, sf_dir)
     v = vocab(spark, sf_dir)
     ft = tokenize.full_tokenize(d.select("doc_id", "text"), v, ["doc_id"])
     back = ft.select("doc_id", F.posexplode("ids").alias("k", "id"))
     named = tokenize.join_dimension(back, v.select("id", "token"), ["id"], name="inv-vocab2", how="left")
-    return named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"),
-                                       F.count_if(F.col("token").isNull()).alias("n_unknown_ids"),
-                                       F.sum(F.char_length("token")).alias("piece_chars"))
+    tokens = F.sort_array(F.collect_list(F.struct("k", "token")))
+    per = named.groupBy("doc_id").agg(F.md5(F.array_join(tokens["token"], " ")).alias("tokens_md5"))
+    return ft.select("doc_id", F.size("ids").alias("n_pieces"), _digest("ids").alias("ids_md5")).join(per, "doc_id")
 
 
 def _digest(array: str):
@@ -421,6 +450,21 @@ def q_window_labels(spark, sf_dir):
                     "answer_types")
 
 
+@query
+def q_window_labels_all(spark, sf_dir):
+    """Labels of all training windows (no negative left out)."""
+    f = _cached(spark, sf_dir, "train-all", lambda: P.prepare(
+        raw_examples(spark, sf_dir), vocab(spark, sf_dir), is_training=True, include_unknowns=1.0).features)
+    return f.select("unique_ids", "example_index", "doc_span_index", "start_positions", "end_positions", "answer_types")
+
+
+@query
+def q_window_labels_positive(spark, sf_dir):
+    """Labels of the training windows when every negative one is left out (rate below 0)."""
+    f = P.prepare(raw_examples(spark, sf_dir), vocab(spark, sf_dir), is_training=True, include_unknowns=-1.0).features
+    return f.select("unique_ids", "example_index", "doc_span_index", "start_positions", "end_positions", "answer_types")
+
+
 @query
 def q_feature_histogram(spark, sf_dir):
     """Number of evaluation features per example, as a histogram."""
@@ -483,6 +527,15 @@ def q_shards(spark, sf_dir):
         kept.groupBy("shard").agg(F.count(F.lit(1)).alias("n_batched")), "shard", "left").fillna(0, ["n_batched"])
 
 
+@query
+def q_buffer_shuffled(spark, sf_dir):
+    """Evaluation features in id order, two epochs, drawn through a buffer of 100, in whole batches of 32."""
+    f = readers.dense_index(eval_prepared(spark, sf_dir).select("example_index", "doc_span_index"),
+                            ["example_index", "doc_span_index"], "position")
+    s = training.buffer_shuffled(training.repeated(f, 2), 100, 7)
+    return training.batches(s, 32).select("position", "position_before", "epoch", "example_index", "doc_span_index", "batch")
+
+
 # ------------------------------------------------------------- assembly ---
 
 def _stand_in_windows(spark, sf_dir) -> DataFrame:

@@ -122,25 +122,32 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str) -> DataFrame:
     return ranged.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + rank - 1).drop("_range", "_before")
 
 
-def read_features(spark: SparkSession, path: str, seq_length: int, is_training: bool) -> DataFrame:
-    """Feature table with the declared fixed-length arrays; rows whose
-    arrays have another length are reported through ``feature_length_errors``."""
+def read_features(spark: SparkSession, path: str, seq_length: int, is_training: bool,
+                  on_length: str = "fail") -> DataFrame:
+    """Feature table with the declared fixed-length arrays, narrowed to 32-bit ids.
+
+    A row with a missing array or one of another length than ``seq_length`` fails the scan (``fail``), is left out
+    (``drop``) or passes (``keep``). The check is a filter over the scan, so it holds whichever columns are used.
+    """
+    if on_length not in ("fail", "drop", "keep"):
+        raise ValueError(f"on_length is fail, drop or keep, not {on_length!r}")
     df = spark.read.parquet(path)
     cols = ["unique_ids", "example_index", "language_id", "input_ids", "input_mask", "segment_ids"]
     cols += (["start_positions", "end_positions", "answer_types"] if is_training
              else ["wp_start_offset", "wp_end_offset"])
-    df = df.select(*cols)
-    return df.withColumn("language_id", F.col("language_id").cast("int"))
-
-
-def feature_length_errors(features: DataFrame, seq_length: int) -> DataFrame:
-    arrays = [c for c in ("input_ids", "input_mask", "segment_ids", "wp_start_offset", "wp_end_offset")
-              if c in features.columns]
-    bad = None
-    for c in arrays:
-        cond = F.size(c) != seq_length
-        bad = cond if bad is None else (bad | cond)
-    return features.where(bad)
+    df = df.select(*cols).withColumn("language_id", F.col("language_id").cast("int"))
+    if on_length == "keep":
+        return df
+    whole = F.lit(True)
+    for c in ("input_ids", "input_mask", "segment_ids", "wp_start_offset", "wp_end_offset"):
+        if c in cols:
+            whole = whole & F.coalesce(F.size(c) == int(seq_length), F.lit(False))
+    if on_length == "drop":
+        return df.where(whole)
+    # raised in a filter: a column that is dropped again would be pruned
+    message = F.concat(F.lit(f"not {int(seq_length)} values in an array of feature "),
+                       F.coalesce(F.col("unique_ids").cast("string"), F.lit("null")))
+    return df.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def read_goldp_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -40,7 +40,7 @@ def _best(windows, beam=30, max_len=100):
 @pytest.fixture(scope="module")
 def eval_features(spark):
     docs = derived.documents(spark, SF001)
-    path = tokenize.write_vocab_file(tokenize.derive_vocab_lines(docs), work_path(spark, "p-vocab"))
+    path = tokenize.write_vocab_file(derived.derive_vocab_lines(docs), work_path(spark, "p-vocab"))
     vocab = landed(readers.read_vocab(spark, path), "p-vocab-t")[0]
     raw = landed(derived.raw_examples(docs), "p-raw")[0]
     return landed(P.prepare(raw, vocab, is_training=False).features, "p-feat")[0]

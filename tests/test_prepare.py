@@ -22,7 +22,7 @@ from conftest import SF001
 @pytest.fixture(scope="module")
 def vocab(spark):
     docs = derived.documents(spark, SF001)
-    path = tokenize.write_vocab_file(tokenize.derive_vocab_lines(docs), work_path(spark, "t-vocab"))
+    path = tokenize.write_vocab_file(derived.derive_vocab_lines(docs), work_path(spark, "t-vocab"))
     return landed(readers.read_vocab(spark, path), "t-vocab-table")[0]
 
 
