@@ -4,7 +4,7 @@ With spaces written as markers, a chunk is a run of markers and the characters u
 piece of the model holds a marker or a line end after another character, so no merge crosses the border of a chunk and
 the ids of a text are those of its chunks in order.
 
-Spark counts the chunks of all texts and segments the FREQUENT most common ones, each once; that table has a fixed
+Spark counts the chunks of all texts and segments the most common ones (FREQUENT at most), each once; that table has a fixed
 bound and goes to all tasks. A task walks its texts chunk by chunk and joins the ids back by position; a chunk that is
 not in the table is segmented when the task first meets it. (Sending the ids of the rare ones back as a join would move
 every text once and every rare pair of text and chunk twice.) Texts are never shuffled and are worked through in
@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.window import Window
+
+from spanqa.llm.common import land
 
 MARK = "▁"
 CHUNK = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
@@ -106,9 +109,17 @@ def chunks(text: Column) -> Column:
 
 
 def chunk_table(docs: DataFrame, model: Model, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(chunk, ids) of the most common chunks, each segmented once; ids as 32-bit integers, packed."""
-    counts = docs.select(F.explode(chunks(F.col(text))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "chunk").limit(frequent).select("chunk")
+    """(chunk, ids) of the most common chunks, each segmented once; ids as 32-bit integers, packed.
+
+    At most `frequent` chunks that occur more than once; those of one count are in it together or not at all.
+    """
+    counts = land(docs.select(F.explode(chunks(F.col(text))).alias("chunk")).groupBy("chunk").agg(
+        F.count("*").alias("n")).where("n > 1"), "chunk-counts")
+    # the least count such that no more than `frequent` chunks reach it; one row a count, not one a chunk
+    above = Window.orderBy(F.desc("n"))
+    least = (counts.groupBy("n").agg(F.count("*").alias("m")).withColumn("reached", F.sum("m").over(above))
+             .where(F.col("reached") <= frequent).agg(F.min("n")).first()[0])
+    top = counts.where(F.col("n") >= least if least else F.lit(False)).select("chunk")
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.load()
@@ -117,8 +128,7 @@ def chunk_table(docs: DataFrame, model: Model, text: str = "text", frequent: int
             cs = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([seg[c] for c in cs], pa.binary())], ["chunk", "ids"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return top.repartition(n).mapInArrow(segment, "chunk string, ids binary")
+    return top.mapInArrow(segment, "chunk string, ids binary")
 
 
 def encode(docs: DataFrame, model: Model, text: str = "text", frequent: int = FREQUENT) -> DataFrame:

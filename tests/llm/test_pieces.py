@@ -41,10 +41,11 @@ def test_like_the_library(spark, library, frequent, monkeypatch):
 
 def test_table(spark, library):
     df = spark.createDataFrame([("a b a b\nb a",), ("a  c",), (None,), ("",)], "text string")
-    got = pieces.chunk_table(df, pieces.Model.read(PATH), frequent=2).collect()
-    assert {r.chunk for r in got} == {"▁a", "▁b"}
-    every = pieces.chunk_table(df, pieces.Model.read(PATH)).collect()
-    assert sorted(r.chunk for r in every) == sorted(["▁a", "▁b", "\n", "b", "▁▁c"])
+    for frequent, chunks in ((2, {"▁a", "▁b"}), (1, {"▁a"}), (0, set()), (pieces.FREQUENT, {"▁a", "▁b"})):
+        got = {r.chunk: bytes(r.ids) for r in pieces.chunk_table(df, pieces.Model.read(PATH), frequent=frequent).collect()}
+        assert got.keys() == chunks
+        for c, ids in got.items():
+            assert list(memoryview(ids).cast("i")) == library.encode(c[1:])
 
 
 def test_none(spark):
