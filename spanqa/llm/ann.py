@@ -10,7 +10,8 @@ found by a scan of all vectors, and the number of candidates is the smallest tha
 that form clusters need few; vectors without any structure need a share of the table.
 
 Every vector is indexed. Cells are packed into blocks of about `BLOCK` vectors (a larger cell is split) that meet
-chunks of about `BLOCK` queries, so neither a crowded cell nor a popular one lands in one task. A block passes on only
+chunks of about `BLOCK` queries, so neither a crowded cell nor a popular one lands in one task. A block that holds a
+cell the query takes is reranked whole, by one matrix product and an exact sum for what that leaves; it passes on only
 what can still be among the nearest found: scores not below those of the nearest in the codebook sample, as far as
 the probe reaches it, which is a part of the candidates and so gives a lower bound. The cell table
 (at most MAX_CENTROIDS squared counts) is all that passes through the driver.
@@ -31,10 +32,12 @@ from spanqa.llm.common import land
 
 SAMPLE = 20_000
 MAX_CENTROIDS = 512
-PER_CELL = 12
+PER_CELL = 48
 TRIALS = 64
 RECALL = 0.95
-BLOCK = 1_024
+BLOCK = 4_096
+#: Queries that are multiplied with a block at once.
+SLICE = 256
 TOP = 20
 
 
@@ -113,11 +116,12 @@ class Index:
         return held[cells]
 
 
-def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All inner products, each summed in the order of the components, so that equal vectors tie exactly."""
-    out = np.zeros((len(q), len(x)))
-    for j in range(q.shape[1]):
-        out += q[:, j, None] * x[None, :, j]
+def inner_products_of(q: np.ndarray, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows i of q with the rows j of x, each summed in the order of the components, so that
+    equal vectors tie exactly."""
+    out = np.zeros(len(i))
+    for c in range(q.shape[1]):
+        out += q[i, c] * x[j, c]
     return out
 
 
@@ -127,13 +131,33 @@ def best_of(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= top)
 
 
-def top_rows(qid: np.ndarray, scores: np.ndarray, ids: np.ndarray, cells: np.ndarray, top: int) -> pa.Table:
-    """Each query's best rows; `ids` ascend, scores of -inf don't count."""
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-    got = np.take_along_axis(scores, best, 1)
-    keep = got > -np.inf
-    return pa.table({"query_id": np.repeat(qid[:, None], best.shape[1], 1)[keep], "vec_id": ids[best][keep],
-                     "score": got[keep], "cell": cells[best][keep].astype(np.int32)})
+def top_rows(qid: np.ndarray, q: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray, cells: np.ndarray,
+             top: int) -> pa.Table:
+    """Each query's best rows among those that reach its bound; never rows with its own id. `ids` ascend.
+
+    One matrix product finds what can be among them, give or take its rounding; only that is summed exactly.
+    """
+    out: list[tuple[np.ndarray, ...]] = []
+    if len(ids):
+        largest = np.sqrt((x * x).sum(axis=1).max())
+        for lo in range(0, len(qid), SLICE):
+            part, own = q[lo:lo + SLICE], qid[lo:lo + SLICE]
+            slack = 1e-12 * (1 + np.sqrt((part * part).sum(axis=1)) * largest)
+            near = part @ x.T
+            near[own[:, None] == ids[None]] = -np.inf
+            least = bound[lo:lo + SLICE]
+            if len(ids) > top:
+                least = np.maximum(least, np.partition(near, -top, axis=1)[:, -top])
+            i, j = np.nonzero((near >= (least - slack)[:, None]) & (near > -np.inf))
+            score = inner_products_of(part, i, x, j)
+            order = np.lexsort((j, -score, i))
+            i, j, score = i[order], j[order], score[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < top
+            out.append((own[i[keep]], ids[j[keep]], score[keep], cells[j[keep]]))
+    got = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 4
+    return pa.table([pa.array(c.astype(t)) for c, t in zip(got, (np.int64, np.int64, np.float64, np.int32))],
+                    names=["query_id", "vec_id", "score", "cell"])
 
 
 FOUND = "query_id long, vec_id long, score double, cell int"
@@ -141,14 +165,14 @@ FOUND = "query_id long, vec_id long, score double, cell int"
 
 def exact(rows: DataFrame, qid: np.ndarray, q: np.ndarray, top: int) -> DataFrame:
     """The exact nearest of a bounded set of queries, by a scan of all vectors."""
+    bound = np.full(len(qid), -np.inf)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 order = b.column(0).to_numpy().argsort(kind="stable")
-                ids = b.column(0).to_numpy()[order]
-                s = inner_products(q, _matrix(b.column(1))[order])
-                s[qid[:, None] == ids[None]] = -np.inf
-                yield from top_rows(qid, s, ids, b.column(2).to_numpy()[order], top).to_batches()
+                yield from top_rows(qid, q, bound, b.column(0).to_numpy()[order], _matrix(b.column(1))[order],
+                                    b.column(2).to_numpy()[order], top).to_batches()
 
     return best_of(rows.select("vec_id", "v", "cell").mapInArrow(scan, FOUND), top)
 
@@ -158,13 +182,16 @@ def search(embeddings: DataFrame, is_query: Column, top: int = TOP, candidates:
     """(query_id, rank, vec_id, score): each query's `top` nearest found by inner product, ties to the smaller vec_id.
 
     embeddings: (vec_id, embedding), other columns are ignored. Queries are the rows where `is_query` holds;
-    rows with the query's own vec_id are not its neighbours. candidates: vectors to rerank, by default as many as
-    `recall` was measured to need. Rows with a null vec_id or an unusable vector take no part, nor do vectors
+    rows with the query's own vec_id are not its neighbours, and of several rows with one query vec_id the least vector is
+    the query; a vec_id that is repeated among the candidates counts once a row. candidates: vectors to
+    rerank at least, by default as many as `recall` was measured to need. Rows with a null vec_id or an unusable vector take no part, nor do vectors
     whose dimension is not the table's most frequent one. An empty table gives none.
     """
     spark = embeddings.sparkSession
+    narrow = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if narrow else "array<double>"  # as stored; all arithmetic is in doubles
     valid = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"),
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"))
     sizes = sorted(((r["count"], r.d) for r in valid.groupBy(F.size("v").alias("d")).count().collect()), reverse=True)
     if not sizes:
@@ -192,10 +219,10 @@ def search(embeddings: DataFrame, is_query: Column, top: int = TOP, candidates:
                 cells = pa.array(index.cells(_matrix(b.column(1))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*b.columns, cells], [*b.schema.names, "cell"])
 
-    rows = land(valid.mapInArrow(assign, "vec_id long, v array<double>, q boolean, cell int"), "ann-index")
+    rows = land(valid.mapInArrow(assign, f"vec_id long, v {kind}, q boolean, cell int"), "ann-index")
     held = rows.groupBy("cell").count().toArrow()
     index.count(held.column("cell").to_numpy(), held.column("count").to_numpy())
-    queries = rows.where("q").select("vec_id", "v")
+    queries = rows.where("q").groupBy("vec_id").agg(F.min("v").alias("v"))
     if candidates is None:
         trial = some(queries, TRIALS, queries.count())
         need = [n]
@@ -215,32 +242,26 @@ def search(embeddings: DataFrame, is_query: Column, top: int = TOP, candidates:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            wanted, queries_ = [], _matrix(b.column(1))
-            near = queries_ @ x.T
-            near[b.column(0).to_numpy()[:, None] == drawn_ids[None]] = -np.inf
-            for i, q in enumerate(queries_):
-                by: dict[int, list[int]] = {}
-                cells = index.probe(q, candidates)
-                for c in cells:
-                    for block in range(index.first[c], index.last[c] + 1):
-                        by.setdefault(int(block), []).append(c)
-                wanted.append([{"block": k, "cells": v} for k, v in by.items()])
-                reached = np.zeros(len(index.counts), bool)
-                reached[cells] = True
-                near[i, ~reached[drawn_cells]] = -np.inf
-            bound = np.partition(near, -top, axis=1)[:, -top] if len(x) >= top else np.full(len(b), -np.inf)
-            bound -= 1e-9 * (1 + np.abs(bound))
-            kind = pa.list_(pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(bound), pa.array(wanted, kind)],
-                ["query_id", "v", "bound", "wanted"])
-
-    probes = land(queries.mapInArrow(probe, "query_id long, v array<double>, bound double, "
-                                     "wanted array<struct<block:int,cells:array<int>>>"), "ann-probes")
-    asked = probes.select("query_id", "v", "bound", F.explode("wanted").alias("w")).select(
-        "query_id", "v", "bound", "w.block", "w.cells")
+            for lo in range(0, len(b), SLICE):
+                part = b.slice(lo, SLICE)
+                ids, queries_ = part.column(0).to_numpy(), _matrix(part.column(1))
+                near, wanted = queries_ @ x.T, []
+                near[ids[:, None] == drawn_ids[None]] = -np.inf
+                for i, q in enumerate(queries_):
+                    cells = np.array(index.probe(q, candidates))
+                    spans = [np.arange(f, l + 1) for f, l in zip(index.first[cells], index.last[cells])]
+                    wanted.append(np.unique(np.concatenate(spans)).astype(np.int32))
+                    reached = np.zeros(len(index.counts), bool)
+                    reached[cells] = True
+                    near[i, ~reached[drawn_cells]] = -np.inf
+                bound = np.partition(near, -top, axis=1)[:, -top] if len(x) >= top else np.full(len(part), -np.inf)
+                bound = bound - 1e-9 * (1 + np.abs(bound)) if len(x) >= top else bound
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(bound), pa.array(wanted, pa.list_(pa.int32()))],
+                    ["query_id", "v", "bound", "wanted"])
+
+    probes = land(queries.mapInArrow(probe, f"query_id long, v {kind}, bound double, wanted array<int>"), "ann-probes")
+    asked = probes.select("query_id", "v", "bound", F.explode("wanted").alias("block"))
     chunks = land(asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "ann-chunks")
     left = (blocks.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .drop("chunks"))
@@ -248,18 +269,10 @@ def search(embeddings: DataFrame, is_query: Column, top: int = TOP, candidates:
              .drop("chunks"))
 
     def rerank(vectors: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not len(vectors) or not len(wanted):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64()), "cell": pa.array([], pa.int32())})
         vectors = vectors.sort_by("vec_id")
-        ids, cells = vectors.column("vec_id").to_numpy(), vectors.column("cell").to_numpy()
-        qid = wanted.column("query_id").to_numpy()
-        s = inner_products(_matrix(wanted.column("v")), _matrix(vectors.column("v")))
-        s[qid[:, None] == ids[None]] = -np.inf
-        s[s < wanted.column("bound").to_numpy()[:, None]] = -np.inf
-        for i, c in enumerate(wanted.column("cells").to_pylist()):
-            s[i, ~np.isin(cells, c)] = -np.inf
-        return top_rows(qid, s, ids, cells, top)
+        return top_rows(wanted.column("query_id").to_numpy(), _matrix(wanted.column("v")), wanted.column("bound").to_numpy(),
+                        vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v")),
+                        vectors.column("cell").to_numpy(), top)
 
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(rerank, FOUND)
     return best_of(found, top).select("query_id", "rank", "vec_id", "score")

@@ -166,7 +166,7 @@ def test_license_notices_that_follow_each_other():
 def brute(ids, x, top=20):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
-        s = ann.inner_products(x[i:i + 1], x)[0]
+        s = ann.inner_products_of(x[i:i + 1], np.zeros(len(x), int), x, np.arange(len(x)))
         keep = ids != ids[i]
         order = np.lexsort((ids[keep], -s[keep]))[:top]
         out[int(ids[i])] = [(int(a), float(b)) for a, b in zip(ids[keep][order], s[keep][order])]
@@ -193,6 +193,10 @@ def test_nearest_ties_and_odd_vectors(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got.keys() == {*range(0, 3000, 20), 5140}
     assert all(v == [i for i in range(22) if i != q][:20] for q, v in got.items())
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.5, 0.1]), (1, [0.4, 0.1]), (2, [0.1, 0.9])],
+                                  "vec_id long, embedding array<double>")
+    rows = ann.search(twice, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in rows] == [(20, 1, 2), (20, 2, 1), (20, 3, 1)]
     few = ann.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, i, i) for i in range(1, 5)]
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
