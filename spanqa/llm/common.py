@@ -27,6 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *needed: str | Column) -> DataFrame:
+    """`docs` as the one column `row`, beside the columns an operator works on: no name can clash then."""
+    every = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+    return docs.select(every.alias("row"), *needed)
+
+
+def unpacked(rows: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of packed rows, those in `changed` with another value."""
+    return rows.select(*[(changed or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with as many underscores as it takes to be none of `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """`df`, landed, with a dense 0-based rank in the order of the columns `order` (nulls first).
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanqa.llm.common import packed, unpacked
+
 N = 3
 PIECE = 64
 MIN_WORDS = 8
@@ -215,4 +217,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents that no test item contaminates."""
-    return contamination(docs, benchmark, min_score).where(F.size("contaminated_by") == 0).drop("contaminated_by")
+    found = contamination(packed(docs, "text"), benchmark, min_score)
+    return unpacked(found.where(F.size("contaminated_by") == 0), docs.columns)

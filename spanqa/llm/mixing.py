@@ -19,12 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanqa.llm.common import WORD, land
+from spanqa.llm.common import WORD, fresh, land, packed
 
 MAX_EPOCHS = 3
 SEED = 20240
 
 
+#: Columns that a mix adds.
+ADDED = ("size", "source_size", "target", "repeats", "taken")
+
+
+def added_names(columns: list[str]) -> dict[str, str]:
+    """Names of the added columns beside `columns`."""
+    return {c: fresh(c, columns) for c in ADDED}
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -60,21 +69,22 @@ def water_level(sources: DataFrame, budget: float, max_epochs: int) -> float:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None,
-        max_epochs: int = MAX_EPOCHS, seed: int = SEED, size: Column | None = None) -> DataFrame:
+        max_epochs: int = MAX_EPOCHS, seed: int = SEED, size: Column | None = None, replace: bool = True) -> DataFrame:
     """`docs` plus size, source_size, target, repeats and taken (= size * repeats).
 
     docs: needs doc_id and source, and text unless `size` is given; other columns pass through, but for
-    columns named like the added ones, which are replaced. weights: (source, weight), one row per source;
+    columns named like the added ones, which are replaced (`replace`) or stay, the added ones then getting the names
+    of `added_names`. weights: (source, weight), one row per source;
     null and negative weights count as 0, sources without a row get 0. budget: words of the whole mix,
     by default 100% of all sizes.
     Null source is a source of its own. Null text has size 0. Rows that repeat a doc_id share its draw.
     An empty table gives an empty result.
     """
-    added = ["size", "source_size", "target", "repeats", "taken"]
+    kept = [c for c in docs.columns if not replace or c.lower() not in ADDED]
+    names = added_names(kept)
     size = words(F.col("text")) if size is None else size
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.withColumn("_size", size).drop(*added).withColumns(
-        {"_b1": F.substring(draw, 1, 3), "_b2": F.substring(draw, 4, 3)})
+    rows = packed(docs, "source", size.alias("_size"), F.substring(draw, 1, 3).alias("_b1"), F.substring(draw, 4, 3).alias("_b2"))
     sized = land(rows.select("source", "_size", "_b1", "_b2"), "mix-sized")
     hist = land(sized.groupBy("source", "_b1").agg(F.sum("_size").alias("s")), "mix-hist")
     totals = hist.groupBy("source").agg(F.sum("s").alias("source_size"))
@@ -111,6 +121,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None
                 .join(cut, F.expr("_s <=> source"), "left").drop("source", "rest"), "mix-plan")
     once_more = (F.col("_b1") < F.col("e1")) | ((F.col("_b1") == F.col("e1")) & (F.col("_b2") <= F.col("e2")))
     repeats = F.least(F.lit(max_epochs), F.col("whole") + F.when(once_more, 1).otherwise(0)).cast("long")
-    return (rows.join(full, F.expr("source <=> _s"), "left")
-            .withColumns({"size": F.col("_size"), "repeats": repeats, "taken": F.col("_size") * repeats})
-            .drop("_size", "_b1", "_b2", "_s", "whole", "e1", "e2"))
+    made = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "repeats": repeats,
+            "taken": F.col("_size") * repeats}
+    return rows.join(full, F.expr("source <=> _s"), "left").select(
+        *[F.col("row").getField(c).alias(c) for c in kept], *[made[c].alias(names[c]) for c in ADDED])

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanqa.llm.common import land, let, spans
+from spanqa.llm.common import land, let, packed, spans, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base rules. A match may start at the beginning of a run or where the last match ended, which finds the same
@@ -237,11 +237,11 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     extra = land(discovered(scan(docs), rounds), "pii-extra").select(
         F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("extra").alias("_x"))
     cols = docs.columns
-    rows = (docs.withColumns({"_i": F.col("doc_id"), "_h": F.xxhash64("text"), "_b": base_spans(F.col("text"))})
-            .join(extra, F.expr("_i <=> _d and _h = _t"), "left"))
+    rows = (packed(docs, "doc_id", "text").withColumns({"_h": F.xxhash64("text"), "_b": base_spans(F.col("text"))})
+            .join(extra, F.expr("doc_id <=> _d and _h = _t"), "left"))
     every = F.when(F.col("text").isNotNull(), F.concat("_b", F.coalesce("_x", F.array().cast(SPAN))))
     changed = {"text": masked(F.col("text"), every)}
     if "n_chars" in cols:
         changed["n_chars"] = F.when(F.size(every) > 0, F.length(masked(F.col("text"), every)).cast("long")).otherwise(
-            F.col("n_chars"))
-    return rows.withColumns(changed).select(*cols)
+            F.col("row.n_chars"))
+    return unpacked(rows, cols, changed)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from spanqa.llm.common import connected_components, land
+from spanqa.llm.common import connected_components, land, packed, unpacked
 
 SHINGLE = 3
 SEED = 42
@@ -176,10 +176,10 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
                 .select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th"))
                 .join(found.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("th").alias("_th"))
                       .count(), ["_id", "_th"]), "simhash-keep")
-    keyed = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(_NO_ID)), "_t": F.xxhash64("text")})
+    keyed = packed(docs, F.coalesce("doc_id", F.lit(_NO_ID)).alias("_i"), F.xxhash64("text").alias("_t"))
     on = F.expr("_i = _id and _t = _th")
-    once = keyed.join(keep.where("count = 1"), on, "left_semi").select(*cols)
+    once = unpacked(keyed.join(keep.where("count = 1"), on, "left_semi"), cols)
     repeated = keep.where("count > 1")
     if repeated.isEmpty():
         return once
-    return once.union(keyed.join(repeated, on, "left_semi").dropDuplicates(["_i", "_t"]).select(*cols))
+    return once.union(unpacked(keyed.join(repeated, on, "left_semi").dropDuplicates(["_i", "_t"]), cols))
