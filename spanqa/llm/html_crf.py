@@ -16,7 +16,7 @@ extraction covers every page whole.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -44,23 +44,59 @@ NOT_MAIN_WORDS = set("ad ads advert advertisement sponsor sponsored promo banner
                      "footer header masthead breadcrumb breadcrumbs cookie cookies consent notice alert popup modal comment comments "
                      "reply replies disqus share social related recommended newsletter subscribe signup login search form "
                      "copyright legal pager pagination toolbar".split())
+#: Elements known by their name; others count as one.
+ELEMENTS = VOID | HIDDEN | INLINE | set(
+    "html body address article aside blockquote button caption center col colgroup dd details dialog dir div dl dt fieldset "
+    "figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu meter nav ol optgroup "
+    "option output p picture pre progress search section select slot summary table tbody td textarea tfoot th thead tr ul".split())
+OTHER = "other"
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
+class Place:
+    """What a block needs to know of its ancestors; elements share their parent's where they add nothing.
+
+    path: number of the sequence of block-level tags; tags: those tags, each once; leaf, plain_leaf: the last one, and the last
+    one that isn't a sectioning tag; good, bad: whether a name of an ancestor has a word of those lists.
+    """
+    __slots__ = ("path", "tags", "leaf", "plain_leaf", "good", "bad")
+
+    def __init__(self, path: int = 0, tags: tuple[str, ...] = (), leaf: str = "-", plain_leaf: str = "-", good: bool = False,
+                 bad: bool = False):
+        self.path, self.tags, self.leaf, self.plain_leaf, self.good, self.bad = path, tags, leaf, plain_leaf, good, bad
+
+    def inner(self, path: int, tag: str | None, names: set[str]) -> Place:
+        """The place inside an element; `tag` is None for an inline one."""
+        good, bad = self.good or not names.isdisjoint(MAIN_WORDS), self.bad or not names.isdisjoint(NOT_MAIN_WORDS)
+        if tag is None and (good, bad) == (self.good, self.bad):
+            return self
+        tags, leaf, plain = self.tags, self.leaf, self.plain_leaf
+        if tag is not None and tag not in ("html", "body"):
+            tags = tags if tag in tags else (*tags, tag)
+            leaf, plain = tag, plain if tag in MAIN or tag in NOT_MAIN else tag
+        return Place(path, tags, leaf, plain, good, bad)
+
+
+_TOP = Place()
+
+
 class Block:
-    __slots__ = ("text", "tags", "names", "linked")
+    __slots__ = ("text", "place", "linked")
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: frozenset[str], linked: float):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    def __init__(self, text: str, place: Place, linked: float):
+        self.text, self.place, self.linked = text, place, linked
 
 
 class _Reader(HTMLParser):
-    """Collects blocks in page order."""
+    """Collects blocks in page order. Work and memory are linear in the page, however deep its elements nest."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, frozenset[str]]] = []
+        self.open: list[tuple[str, Place]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)  # where in `open` the elements of a tag are
+        self.solid: list[int] = []  # where those are that aren't inline
+        self.paths: dict[tuple[int, str], int] = {}
         self.parts: list[str] = []
         self.linked = 0
         self.hidden = 0
@@ -70,9 +106,8 @@ class _Reader(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                tags = tuple(t for t, _ in self.open if t not in INLINE)
-                names = frozenset().union(*(n for _, n in self.open)) if self.open else frozenset()
-                self.blocks.append(Block(text, tags, names, min(1.0, self.linked / len(text))))
+                place = self.open[-1][1] if self.open else _TOP
+                self.blocks.append(Block(text, place, min(1.0, self.linked / len(text))))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -88,8 +123,16 @@ class _Reader(HTMLParser):
             self._leave(CLOSES[tag], BOUND - CLOSES[tag])
         elif tag not in INLINE and tag not in HIDDEN:
             self._leave({"p"}, BOUND)
-        names = frozenset(w for k, v in attrs if k in ("class", "id", "role") and v for w in _NAME.findall(v.lower()))
-        self.open.append((tag, names))
+        names = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _NAME.findall(v.lower())}
+        place = self.open[-1][1] if self.open else _TOP
+        if tag in INLINE:
+            place = place.inner(place.path, None, names)
+        else:
+            path = self.paths.setdefault((place.path, tag), len(self.paths) + 1)
+            place = place.inner(path, tag if tag in ELEMENTS else OTHER, names)
+            self.solid.append(len(self.open))
+        self.at[tag].append(len(self.open))
+        self.open.append((tag, place))
         self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -97,34 +140,35 @@ class _Reader(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _last(self, tags: set[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
     def _leave(self, tags: set[str], bound: set[str]):
         """Close the innermost open element among `tags`, unless an element of `bound` is in between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                self._cut(i)
-                return
-            if self.open[i][0] in bound:
-                return
+        i = self._last(tags)
+        if i > self._last(bound):
+            self._cut(i)
 
     def _cut(self, i: int):
-        self.hidden -= sum(t in HIDDEN for t, _ in self.open[i:])
+        for tag, _ in reversed(self.open[i:]):
+            self.at[tag].pop()
+            self.hidden -= tag in HIDDEN
         del self.open[i:]
+        while self.solid and self.solid[-1] >= i:
+            self.solid.pop()
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._cut(i)
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
+        i = self._last({tag})
+        if i >= 0 and not (tag in INLINE and self.solid and self.solid[-1] > i):
+            self._cut(i)
 
     def handle_data(self, data):
         if self.hidden:
             return
         self.parts.append(data)
-        if any(t == "a" for t, _ in self.open):
+        if self.at.get("a"):
             self.linked += len(data.strip())
 
 
@@ -139,10 +183,10 @@ def blocks(html: str | None) -> list[Block]:
 
 def label(page: list[Block]) -> list[int] | None:
     """Main text (1) or not (0) by the meaning of the markup; None for a page that doesn't mark its text."""
-    inside = [bool(MAIN & set(b.tags)) for b in page]
+    inside = [not MAIN.isdisjoint(b.place.tags) for b in page]
     if not any(inside):
         return None
-    return [int(i and not NOT_MAIN & set(b.tags) and not NOT_MAIN_WORDS & b.names) for i, b in zip(inside, page)]
+    return [int(i and NOT_MAIN.isdisjoint(b.place.tags) and not b.place.bad) for i, b in zip(inside, page)]
 
 
 def _bucket(v: float, cuts: tuple[float, ...]) -> int:
@@ -153,19 +197,18 @@ def features(page: list[Block], hide: bool = False) -> list[list[str]]:
     """Feature names of every block; `hide` leaves out the sectioning tags that labels are made from."""
     out = []
     n = len(page)
-    seen = Counter(b.tags for b in page)
+    seen = Counter(b.place.path for b in page)
     for i, b in enumerate(page):
         words = len(b.text.split())
         f = ["bias", f"words{_bucket(words, (3, 8, 15, 30, 60, 120))}", f"linked{_bucket(b.linked, (.01, .3, .7, .95))}",
              f"stops{_bucket(sum(b.text.count(c) for c in '.!?'), (1, 2, 4))}",
-             f"at{_bucket(i / max(1, n - 1), (.05, .2, .8, .95))}", f"alike{_bucket(seen[b.tags], (2, 4, 10))}"]
+             f"at{_bucket(i / max(1, n - 1), (.05, .2, .8, .95))}", f"alike{_bucket(seen[b.place.path], (2, 4, 10))}"]
         if any(c in b.text for c in "©|·»"):
             f.append("mark")
-        tags = [t for t in b.tags if t not in ("html", "body")]
-        if hide:
-            tags = [t for t in tags if t not in MAIN and t not in NOT_MAIN]
-        f += [f"leaf {tags[-1]}" if tags else "leaf -"] + [f"in {t}" for t in dict.fromkeys(tags)]
-        f += sorted({"named bad" for w in b.names if w in NOT_MAIN_WORDS} | {"named good" for w in b.names if w in MAIN_WORDS})
+        place = b.place
+        f.append(f"leaf {place.plain_leaf if hide else place.leaf}")
+        f += [f"in {t}" for t in place.tags if not (hide and (t in MAIN or t in NOT_MAIN))]
+        f += ["named bad"] * place.bad + ["named good"] * place.good
         out.append(f)
     return out
 
