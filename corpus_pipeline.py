@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanqa.llm import decontam, mixing, pii, simhash, toxicity
-from spanqa.llm.common import land, table
+from spanqa.llm.common import fresh, land, packed, table, unpacked
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the threshold go; null and empty texts stay."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score(packed(docs, "text"), model)
+    return unpacked(scored.where(F.col("toxicity") < toxicity.THRESHOLD), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for every repetition the mix takes of a document, numbered by `epoch` from 1; documents the
-    mix doesn't take go."""
-    mixed = mixing.mix(docs)
-    return mixed.where("repeats > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    mix doesn't take go. Columns of the documents stay as they are; an added one of the same name gets underscores."""
+    mixed = mixing.mix(docs, replace=False)
+    times = F.col(mixing.added_names(docs.columns)["repeats"]).cast("int")
+    return mixed.where(times > 0).withColumn(fresh("epoch", mixed.columns), F.explode(F.sequence(F.lit(1), times)))
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_dedup", near_dedup), ("decontamination", decontaminate),
