@@ -1,6 +1,7 @@
 """PII and secrets: base spans against Python regular expressions, and what the methods add."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -125,3 +126,91 @@ def test_random_tokens(spark):
     found = [any(s.k == 3 and (s.start, s.end) == (4, len(texts[i]) - 5) for s in got[i]) for i in range(len(texts))]
     assert sum(found[:len(keys)]) >= 0.85 * len(keys)
     assert sum(found[len(keys):]) == 0
+
+
+def gamma_head(a, x):
+    """Regularised lower incomplete gamma function by its series."""
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-15:
+        k += 1
+        term *= x / k
+        total += term
+    return total * math.exp(-x + a * math.log(x) - math.lgamma(a)) if x > 0 else 0.0
+
+
+def chi_head(x, df, away=0.0):
+    """Distribution function of (noncentral) chi-squared: a Poisson mixture."""
+    total, weight, j = 0.0, math.exp(-away / 2), 0
+    while j < away + 200:
+        total += weight * gamma_head((df + 2 * j) / 2, x / 2)
+        j += 1
+        weight *= away / 2 / j
+    return total
+
+
+def normal_two_sided(z):
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def battery(token):
+    """(encoding, p_chi, p_runs, p_serial, p, p_text) from the definitions."""
+    sets = [("hex", r"[0-9a-f]+|[0-9A-F]+"), ("base32", "[A-Z2-7]+|[a-z2-7]+"), ("base36", "[A-Z0-9]+|[a-z0-9]+"),
+            ("base58", "[1-9A-HJ-NP-Za-km-z]+"), ("base62", "[A-Za-z0-9]+"), ("base64", ".*")]
+    enc = next(e for e, p in sets if re.fullmatch(p, token))
+    alphabet = secrets.ALPHABETS[enc]
+    clean = token.upper() if enc == "base32" else token.lower() if enc in ("hex", "base36") else token.replace("-", "+").replace("_", "/")
+    v = [alphabet.index(c) for c in clean]
+    n, k = len(v), len(alphabet)
+    chi = sum((v.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    up = [x * 2 >= k for x in v]
+    h, low = sum(up), n - sum(up)
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mean = 1 + 2 * h * low / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = normal_two_sided((runs - mean) / math.sqrt(var)) if var > 0 else 0.0
+    avg = sum(v) / n
+    spread = sum((x - avg) ** 2 for x in v)
+    cov = sum((a - avg) * (b - avg) for a, b in zip(v, v[1:]))
+    p_serial = normal_two_sided((cov / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
+    p_chi = 1 - chi_head(chi, k - 1)
+    x = -2 * sum(math.log(max(p, 1e-30)) for p in (p_chi, p_runs, p_serial))
+    return enc, p_chi, p_runs, p_serial, 1 - chi_head(x, 6), chi_head(chi, k - 1, n * secrets.text_effect(enc))
+
+
+def test_battery_against_definitions(spark):
+    rng = random.Random(5)
+    tokens = {"".join(rng.choices(a, k=rng.randint(20, 70))) for a in secrets.ALPHABETS.values() for _ in range(15)}
+    tokens |= {"usr/local/lib/python3", "aaaaaaaaaaaaaaaaaaaaaaa1", "someIdentifierOfTheCode2024", "0123456789abcdef01234567", "A1" * 30}
+    df = spark.createDataFrame([(t,) for t in sorted(tokens)], "value string")
+    for r in secrets.tests(df).collect():
+        enc, *ps = battery(r.value)
+        assert r.enc == enc and r.n == len(r.value)
+        for name, p in zip(("p_chi", "p_runs", "p_serial", "p", "p_text"), ps):
+            assert abs(r[name] - p) < (0.02 if name in ("p_chi", "p_text", "p") else 1e-5), (r.value, name, r[name], p)
+
+
+def test_false_discovery_control(spark):
+    """Benjamini-Hochberg by hand, and the share of planted text among what is reported."""
+    rng = random.Random(7)
+    some = ("user local library python package install path config server client index value model train data batch layer cache "
+            "memory thread buffer stream reader parse format version release build check error debug trace level factory").split()
+
+    def text():
+        w = rng.choices(some, k=4)
+        return rng.choice(["/".join(w) + str(rng.randint(1, 99)), "_".join(w) + "_" + str(rng.randint(2000, 2030)),
+                           w[0] + "".join(x.capitalize() for x in w[1:]) + "1", "".join(w).upper() + str(rng.randint(10, 999)),
+                           "-".join(w) + "-2024-05-17", "".join(w) + str(rng.randint(1, 9999))])
+    plain = {t for t in (text() for _ in range(2500)) if len(t) >= 20} | {"usr/local/lib/python3", "lib/python3/site-packages/numpy"}
+    keys = {"".join(rng.choices(secrets.ALPHABETS[e], k=n)) for e in ("base36", "base58", "base62", "base64") for n in (32, 40, 64)
+            for _ in range(40)}
+    df = spark.createDataFrame([(t,) for t in sorted(plain | keys)], "value string")
+    got = {r.value for r in secrets.random_tokens(df).collect()}
+    assert len(got & plain) <= 0.05 * len(got) and len(got & keys) >= 0.8 * len(keys)
+    rows = [("e", c, b) for c in (1, 2) for b in (rng.choice([360, 399, 330, 300, 380, 395]) for _ in range(30))]
+    tested = spark.createDataFrame(rows, "enc string, len_class int, bin int")
+    cut = {(r.enc, r.len_class): r.max_bin for r in secrets.not_text(tested).collect()}
+    for c in (1, 2):
+        ps = sorted((10 ** ((b + 1 - secrets.BINS) / 20), b) for _, k, b in rows if k == c)
+        best = max((b for i, (p, b) in enumerate(ps, 1) if p <= secrets.FDR * i / len(ps)), default=None)
+        assert cut.get(("e", c)) == best
