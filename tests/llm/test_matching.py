@@ -248,3 +248,46 @@ def pii_free(text):
         out += text[at:s] + f"[{k.upper()}]"
         at = e
     return out + text[at:]
+
+
+def test_banded_against_full_alignment():
+    """Matches, end and start of the best common subsequence that stays within the band, by a table of all cells."""
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = rng.choices("abcd", k=rng.randint(1, 9)), rng.choices("abcde", k=rng.randint(0, 16))
+        d, band, lo = rng.randint(-3, 6), rng.choice([1, 2, 4, 30]), rng.randint(0, 3)
+        weights = rng.choices([1, 1, 10], k=len(a))
+        table, best = {}, (0, -1, -1)
+        for i, x in enumerate(a):
+            for j in range(lo, len(b)):
+                if x == b[j] and abs(j - i - d) <= band:
+                    got = (weights[i], j)
+                    for (p, q), (n, first) in table.items():
+                        if p < i and q < j and (n + weights[i], first) > got:
+                            got = (n + weights[i], first)
+                    table[i, j] = got
+                    if (got[0], -j, got[1]) > (best[0], -best[2], best[1]):
+                        best = (*got, j)
+        if band == 30:
+            assert licenses.banded(a, b, d, band, lo, None, weights) == best
+        else:  # the band also bounds where the rows between two matches may wait
+            assert licenses.banded(a, b, d, band, lo, None, weights)[0] <= best[0]
+
+
+def test_license_names_and_versions():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for text, names in [
+            ("Released under the MPL License", []), ("Released under the MIT License", ["MIT"]),
+            ("This work is licensed under the GNU General Public License, version 2", ["GPL-2.0"]),
+            ("This work is licensed under the GNU General Public License, version 3", ["GPL-3.0"]),
+            ("This work is licensed under the GNU General Public License, version 5", []),
+            ("This work is licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+            ("Work licensed under the GNU Affero General Public License version 3", ["AGPL-3.0"]),
+            ("Licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0-short"]),
+            ("Licensed under CC BY 3.0", []), ("Licensed under the Apache License, Version 1.1", []),
+            ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+            ("// SPDX-License-Identifier: GPL-2.0", ["GPL-2.0-spdx"]), ("// SPDX-License-Identifier: WTFPL", [])]:
+        assert [r["license"] for r in scanner.scan(text)] == names, text
+    for name, text in licenses.TEMPLATES.items():
+        got = {r["license"] for r in scanner.scan(f"Some words before. {text}. And some after.")}
+        assert name in got and len({licenses._WORDING.sub("", g) for g in got}) == 1, (name, got)
