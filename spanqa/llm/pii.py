@@ -32,7 +32,8 @@ PATTERNS = {
 }
 #: What an unseen identifier of a kind may look like: looser than the base rule.
 SHAPES = {
-    "email": r"(?:(?<![^\s<>\"'(),;])|\G)[^\s<>\"'(),;@]++@[^\s<>\"'(),;@]++",
+    "email": (r"(?:(?<![^\s<>\"'(),;])|\G)[^\s<>\"'(),;@]++@[^\s<>\"'(),;@]++|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(][aA][tT][\])]"
+              r"\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(][dD][oO][tT][\])])\x20?[A-Za-z0-9-]++)++"),
     "ip": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9+])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9A-Za-z])",
@@ -95,16 +96,21 @@ def base_spans(text: Column) -> Column:
 def instances(text: Column, base: Column) -> Column:
     """Identifier-shaped strings of a text: kind, span, value, the words around, and whether a base span overlaps."""
     def of_kind(kind: str) -> Column:
-        guard = "@" if kind == "email" else "[0-9]"
+        guard = r"@|[\[(][aA][tT][\])]" if kind == "email" else "[0-9]"
         got = F.when(text.rlike(guard), spans(text, f"(?:{PATTERNS[kind]}|{SHAPES[kind]})")).otherwise(all_empty())
 
+        # what a base rule's pattern finds and its check drops is no identifier, unless it has the looser shape
+        got = F.filter(got, lambda s: s["value"].rlike(f"^(?:{SHAPES[kind]})$") | F.exists(
+            base, lambda b: (b["kind"] == kind) & (b["start"] < s["end"]) & (b["end"] > s["start"])))
+
         def one(s: Column) -> Column:
             mine = F.filter(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
             return F.struct(
                 F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                 F.lower(s["value"]).alias("value"),
-                F.lower(F.regexp_extract(F.right(s["before"], F.lit(48)), r"([^\s]+)\s*$", 1)).alias("left"),
-                F.lower(F.regexp_extract(F.left(s["after"], F.lit(48)), r"^[^\s]{0,2}\s*([^\s]+)", 1)).alias("right"),
+                # anchored at the near end, so that long gaps are never searched
+                F.lower(F.reverse(F.regexp_extract(F.reverse(s["before"]), r"^\s*([^\s]+)", 1))).alias("left"),
+                F.lower(F.regexp_extract(s["after"], r"^[^\s]{0,2}\s*([^\s]+)", 1)).alias("right"),
                 F.exists(mine, lambda b: b["kind"] == kind).alias("seed"), (F.size(mine) > 0).alias("taken"))
 
         return F.transform(got, one)
@@ -131,9 +137,10 @@ def _patterns(i: str) -> Column:
 def learn(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(patterns, values): confidence of each (kind, pattern) and each unseen (kind, value).
 
-    found: one column `i` of instances. The graph's edges are (kind, value, pattern) with their counts.
+    found: one column `i` of instances. The graph's edges are (kind, value, pattern) with their counts. Parts of a known
+    identifier of another kind are no instances.
     """
-    edges = land(found.select("i", F.explode(_patterns("i")).alias("pattern"))
+    edges = land(found.where("i.seed or not i.taken").select("i", F.explode(_patterns("i")).alias("pattern"))
                  .groupBy(F.col("i.kind").alias("kind"), F.col("i.value").alias("value"), "pattern")
                  .agg(F.count("*").alias("n"), F.max(F.col("i.seed").cast("double")).alias("known"),
                       F.max(F.col("i.taken")).alias("taken")), "pii-edges")

@@ -214,3 +214,80 @@ def test_false_discovery_control(spark):
         ps = sorted((10 ** ((b + 1 - secrets.BINS) / 20), b) for _, k, b in rows if k == c)
         best = max((b for i, (p, b) in enumerate(ps, 1) if p <= secrets.FDR * i / len(ps)), default=None)
         assert cut.get(("e", c)) == best
+
+
+def graph_scores(rows, rounds):
+    """`pii.learn` from its definition: rows are (kind, value, left, right, seed, taken)."""
+    edges = {}
+    for kind, value, left, right, seed, taken in rows:
+        if taken and not seed:
+            continue
+        for p in ([f"L {left}"] if left else []) + ([f"R {right}"] if right else []) + ([f"B {left} {right}"] if left and right else []):
+            n, k, t = edges.get((kind, value, p), (0, 0.0, False))
+            edges[kind, value, p] = (n + 1, max(k, float(seed)), t or taken)
+    conf = {e: k for e, (n, k, t) in edges.items()}
+    for _ in range(rounds):
+        patterns = {}
+        for p in {e[2] for e in edges}:
+            held = sum(n for e, (n, _, _) in edges.items() if e[2] == p)
+            for kind in {e[0] for e in edges if e[2] == p}:
+                mine = [e for e in edges if e[0] == kind and e[2] == p]
+                good = sum(edges[e][0] * conf[e] for e in mine)
+                support = sum(conf[e] >= pii.ACCEPT for e in mine)
+                if good > 0 and support >= pii.SUPPORT:
+                    patterns[kind, p] = good / (held + pii.SMOOTH)
+        values = {}
+        for (kind, value, p), (n, k, t) in edges.items():
+            if k == 0 and not t and (kind, p) in patterns:
+                values[kind, value] = values.get((kind, value), 1.0) * (1 - min(patterns[kind, p], 0.999))
+        values = {v: 1 - x for v, x in values.items()}
+        conf = {e: max(k, values.get(e[:2], 0.0)) for e, (n, k, t) in edges.items()}
+    return patterns, values
+
+
+def test_graph_scores_against_definition(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(900):
+        kind = rng.choice(["phone", "email"])
+        left, right = rng.choice(["call", "mail", "see", "the", ""]), rng.choice(["now", "or", "model", "", ""])
+        seed = left in ("call", "mail") and rng.random() < .8
+        rows.append((kind, f"{kind}{rng.randint(0, 120)}{'s' if seed else 'u'}", left, right, seed, seed or rng.random() < .05))
+    df = spark.createDataFrame(rows, "kind string, value string, `left` string, `right` string, seed boolean, taken boolean")
+    got = pii.learn(df.select(F.struct("*").alias("i")), rounds=3)
+    patterns, values = graph_scores(rows, 3)
+    a = {(r.kind, r.pattern): r.conf for r in got[0].collect()}
+    b = {(r.kind, r.value): r.conf for r in got[1].collect()}
+    assert a.keys() == patterns.keys() and all(abs(a[k] - patterns[k]) < 1e-9 for k in a)
+    assert b.keys() == values.keys() and all(abs(b[k] - values[k]) < 1e-9 for k in b)
+
+
+def test_planted_identifiers_of_every_kind(spark):
+    """Recall and precision of what contexts add: unseen shapes in the contexts of seeds, the same shapes elsewhere."""
+    rng = random.Random(21)
+    docs = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(400).collect()]
+    word = "x" * 80  # context words of any length count
+    contexts = {"email": ("contact", "today"), "ip": (f"host{word}", "refused"), "card": ("charged", "yesterday"), "phone": ("ring", "soon")}
+    seeds = {"email": lambda i: f"ann{i}@mail{i % 7}.org", "ip": lambda i: f"10.{i % 250}.{i % 200}.7", "phone": lambda i: f"+1 415 555 {1000 + i}",
+             "card": lambda i: "4111111111111111" if i % 3 == 0 else "5500005555555559" if i % 3 == 1 else "340000000000009"}
+    unseen = {"email": lambda i: f"bob{i} [at] site{i} [dot] org", "ip": lambda i: f"2001:db8:{i:x}::{i + 1:x}",
+              "card": lambda i: f"4111 1111 1111 {1000 + i}", "phone": lambda i: f"415-555-{2000 + i}"}
+    texts, want, decoys = [], set(), set()
+    for n, text in enumerate(docs):
+        kind = list(contexts)[n % 4]
+        left, right = contexts[kind]
+        if n % 5 < 3:
+            texts.append(f"{text} {left} {seeds[kind](n)} {right} {text[:50]}")
+            continue
+        good = n % 5 == 3
+        value = unseen[kind](n)
+        a, b = (left, right) if good else rng.choice([("part", "fits"), ("row", "of"), ("about", "such")])
+        texts.append(f"{text} {a} {value} {b} and so on")
+        (want if good else decoys).add((n, kind, len(text) + len(a) + 2, len(text) + len(a) + 2 + len(value)))
+    got = set()
+    for r in pii.find(frame(spark, texts)).collect():
+        got |= {(r.doc_id, s.kind, s.start, s.end) for s in r.spans if s not in r.base}
+    hit = {(d, k) for d, k, s, e in got} & {(d, k) for d, k, s, e in want}
+    assert len(hit) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(got)
+    assert {k for _, k in hit} == set(contexts)
+    assert not {(d, k) for d, k, _, _ in got} & {(d, k) for d, k, _, _ in decoys}
