@@ -1,19 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items are cut into pieces of at most `PIECE` words that overlap by half or more, so that any run of
-`PIECE // 2` words lies within a piece. The documents are read twice: once to count in how many
-documents each n-gram of the test pieces occurs, once to look them up and align. All n-grams of a piece are seeds,
+`PIECE // 2` words lies within a piece. All n-grams of a piece are seeds,
 however common, so that an edited copy of a passage that very many documents hold is found by whatever part it keeps.
-Where a rare seed (found in at most `RARE_SHARE` of all documents, or `RARE_DOCS` documents) or two others hit, the
-words of the document around their diagonal are aligned with the piece by Smith-Waterman; a document is contaminated by an item if a
+One scan of the documents emits the n-grams that a bitmap of all seeds lets through (of at most 2^`BITMAP_BITS` bits,
+whatever the size of the benchmark); joined with the seeds they give, per seed, the number of documents that hold it,
+and, per document, the pieces on which a rare seed (found in at most `RARE_SHARE` of all documents, or `RARE_DOCS`
+documents) or two others hit. In a second scan the words of these documents around the hits' diagonals are aligned with the
+pieces by Smith-Waterman; a document is contaminated by an item if a
 local alignment reaches `MIN_SCORE` of the piece's perfect score, or if a stretch of it holds `RUN_WORDS` matched
 words more than `RUN_EDIT` for each of its edits (so any verbatim run of `RUN_WORDS` words does, however long the piece).
 
 Test items under `MIN_WORDS` words are looked up as they are: a document that holds the whole item as a sequence of
 words is contaminated. In scripts written without spaces every character is a word.
 
-The pieces are worked off in blocks of `BLOCK` pieces in expectation, which bounds what a task holds. The
-documents are never shuffled.
+The benchmark never passes through the driver. Documents are shuffled only if the table of candidates is too
+large to be broadcast.
 """
 
 from __future__ import annotations
@@ -21,25 +23,32 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanqa.llm.common import packed, unpacked
+from spanqa.llm.common import land, packed, unpacked
+from spanqa.operators.joins import join_dimension
 
 N = 3
 PIECE = 64
 MIN_WORDS = 8
-BLOCK = 5_000
+BITMAP_BITS = 27
+#: Words whose hashes a task remembers before it forgets them all.
+REMEMBERED = 500_000
 RARE_SHARE = 1e-4
 RARE_DOCS = 5
 MIN_SCORE = 0.5
 RUN_WORDS = 13
 RUN_EDIT = 3
 MATCH, MISMATCH, GAP = 2, 1, 1
+#: Matched words from which on a contaminated document is dropped.
+DROP_WORDS = 5
 #: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, kana, Bopomofo, Han. Vowel signs and tone marks are characters too.
 _UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ebd\u0ec0-\u0ecd\u0edc-\u0edf\u0f40-\u0fbc\u1000-\u103f\u1050-\u108f"
              "\u1780-\u17d3\u1950-\u19c9\u1a20-\u1a7c\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3041-\u3096\u309d-\u309f"
@@ -94,7 +103,7 @@ def align(item: list[str], window: list[str], match: int = MATCH, mismatch: int
 
 
 class Block:
-    """Seeds of a block of pieces: n-gram -> [(piece, position, rare)]; short items: first word -> {words: [item_id]}."""
+    """Seeds of some pieces: n-gram -> [(piece, position, rare)]; short items: first word -> {words: [item_id]}."""
 
     def __init__(self, items: list[tuple[int, list[str]]], df: Counter, n_docs: int, min_score: float):
         self.items, self.min_score = items, min_score
@@ -155,67 +164,158 @@ class Block:
         return [best[i] for i in sorted(best)]
 
 
-def document_frequency(docs: DataFrame, grams: set[tuple]) -> Counter:
-    """Documents that hold each of a block's n-grams: counted per task, summed by Spark."""
-    names = {g: i for i, g in enumerate(sorted(grams))}
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(MIN_WORDS)], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                if t.is_valid:
-                    c.update({g for g in ngrams(tokens(t.as_py())) if g in names})
-        yield pa.RecordBatch.from_arrays([pa.array([names[g] for g in c], pa.int64()),
-                                          pa.array(list(c.values()), pa.int64())], ["g", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    back = list(names)
-    return Counter({back[r.g]: r.n for r in rows.toLocalIterator()})
-
-
-def blocks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> list[Block]:
-    """Seeds of all test pieces, block by block. Items with null id or text, or without a word, have none."""
-    @F.udf("array<array<string>>")
-    def cut(text):
-        return pieces(text)
-
-    parts = (benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-             .select(F.col("item_id").cast("long"), F.posexplode(cut(F.col("text").cast("string"))).alias("k", "words")))
-    n_blocks = max(1, -(-parts.count() // BLOCK))
-    n_docs = docs.count()
-    out = []
-    for b in range(n_blocks):
-        rows = parts.where(F.pmod(F.xxhash64("item_id", "k"), F.lit(n_blocks)) == b).collect()
-        items = sorted((r.item_id, list(r.words)) for r in rows)
-        if items:
-            df = document_frequency(docs, {g for _, w in items if len(w) >= MIN_WORDS for g in ngrams(w)})
-            out.append(Block(items, df, n_docs, min_score))
-    return out
 
+class Grams:
+    """Hashes of the word sequences of a length; words are hashed once while they are remembered."""
 
-def _hits(block: Block) -> Column:
-    @F.pandas_udf(HIT)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            yield pd.Series([block.hits(x) for x in t], dtype=object)
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def words(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    @staticmethod
+    def of(hashes: np.ndarray, length: int) -> np.ndarray:
+        """Signed hashes of all sequences of `length` words."""
+        n = len(hashes) - length + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        h = np.full(n, length, np.uint64)
+        for k in range(length):
+            h += hashes[k:k + n] * _POWERS[k]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return h.view(np.int64)
+
+
+def cut_items(benchmark: DataFrame) -> DataFrame:
+    """(piece, item_id, words, grams), landed: the pieces of all test items and the hashes of their n-grams in order, or of
+    the whole of a short item. Items with null id or text, or without a word, have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Grams()
+        for b in batches:
+            out = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for words in pieces(text):
+                    grams = hashes.of(hashes.words(words), N if len(words) >= MIN_WORDS else len(words))
+                    out.append((item, words, grams))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else
+                                             [pa.array([], t) for t in types], ["item_id", "words", "grams"])
+
+    types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+    items = (benchmark.where("item_id is not null and text is not null")
+             .select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct())
+    cut = items.mapInArrow(run, "item_id long, words array<string>, grams array<long>")
+    return land(cut.select(F.monotonically_increasing_id().alias("piece"), "*"), "decontam-pieces")
+
+
+def seed_bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits packed in bytes, number of bits as a power of two) of the hashes `seeds(gram)`; at least 16 bits a hash
+    up to the limit of `BITMAP_BITS`."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, seeds.count()))) + 4, 16, BITMAP_BITS))
+    slot = F.col("gram").bitwiseAND((1 << bits) - 1)
+    parts = (seeds.select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit"))
+             .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    out = np.zeros(max((1 << bits) // 8, 4096), np.uint8)
+    for r in parts:
+        out[r.part * 4096:(r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out, bits
+
+
+def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(key, gram, n), landed: the seeds in the texts of `docs(key, text)`, each once a key; n: rows of the key.
+
+    What the bitmap lets through by chance goes with the join that follows.
+    """
+    bitmap, bits = seed_bitmap(seeds.select("gram").distinct())
+    lengths = sorted(r.length for r in seeds.select("length").distinct().collect())  # 1 to MIN_WORDS - 1
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    mask = (1 << bits) - 1
 
-    return run(F.col("text").cast("string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, hashes = shared.value, Grams()
+        for b in batches:
+            keys, found = [], []
+            for key, text in zip(b.column(0), b.column(1)):
+                if text.is_valid:
+                    words = hashes.words(tokens(text.as_py()))
+                    grams = np.concatenate([hashes.of(words, n) for n in lengths])
+                    slots = grams & mask
+                    hit = np.unique(grams[(bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0])
+                    keys += [key.as_py()] * len(hit)
+                    found.append(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(
+                np.concatenate(found) if found else np.zeros(0, np.int64))], ["key", "gram"])
+
+    hits = docs.select("key", F.col("text").cast("string")).mapInArrow(run, "key long, gram long")
+    return land(hits.groupBy("key", "gram").agg(F.count("*").alias("n")), "decontam-hits")
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame, n_docs: int) -> DataFrame:
+    """(key, pieces array<struct<item_id, words, df>>): the pieces to align the texts of `docs(key, text)` with; df: how many
+    documents hold each of the piece's n-grams."""
+    cut = cut_items(benchmark)
+    short = F.size("words") < MIN_WORDS
+    seeds = land(cut.select("piece", short.alias("short"), F.when(short, F.size("words")).otherwise(N).alias("length"),
+                            F.posexplode("grams").alias("i", "gram")), "decontam-seeds")
+    if seeds.isEmpty():
+        return docs.sparkSession.createDataFrame([], "key long, pieces array<struct<item_id:long,words:array<string>,df:array<long>>>")
+    hits = seed_hits(docs, seeds)
+    rare = max(RARE_DOCS, RARE_SHARE * n_docs)
+    counts = land(hits.join(seeds.select("gram").distinct(), "gram").groupBy("gram").agg(F.sum("n").alias("df")), "decontam-df")
+    known = land(seeds.join(counts, "gram", "left").select("piece", "short", "i", "gram", F.coalesce("df", F.lit(0)).alias("df")),
+                 "decontam-known")
+    per_piece = known.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("i", "df"))).alias("f")).select(
+        "piece", F.col("f.df").alias("df"))
+    enough = (hits.join(known, "gram").groupBy("key", "piece")
+              .agg(F.count("*").alias("seeds"), F.max(F.col("short") | (F.col("df") <= rare)).alias("sure"))
+              .where("seeds >= 2 or sure").select("key", "piece"))
+    whole = cut.select("piece", "item_id", "words").join(per_piece, "piece")
+    return enough.join(whole, "piece").groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("item_id", "words", "df"))).alias("pieces"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """`docs` plus `contaminated_by`: for each test item found, its id, score (share of the perfect alignment; below
     `min_score` where a run of words alone is the finding), matched words, span in the text (code points of the lower-cased text) and in the piece (words).
 
-    Null and empty texts and empty tables give empty arrays; all columns pass through.
+    Null and empty texts and empty tables give empty arrays. A column of that name is replaced, all others pass through.
     """
-    found = [_hits(b) for b in blocks(docs, benchmark, min_score)]
-    docs = docs.drop("contaminated_by")
-    if not found:
-        return docs.withColumn("contaminated_by", F.array().cast(HIT))
-    return docs.withColumn("contaminated_by", F.flatten(F.array(*found)) if len(found) > 1 else found[0])
-
+    columns = [c for c in docs.columns if c.lower() != "contaminated_by"]
+    rows = packed(docs.select(*["`" + c.replace("`", "``") + "`" for c in columns]), F.xxhash64("text").alias("key"),
+                  F.col("text").cast("string").alias("text"))
+    n_docs = docs.count()
+    with_pieces = join_dimension(rows, candidates(rows, benchmark, n_docs), ["key"], name="decontam-candidates", how="left")
 
-def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents that no test item contaminates."""
+    @F.pandas_udf(HIT)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @lru_cache(maxsize=64)
+        def block(key: tuple) -> Block:
+            df = Counter({g: c for _, words, counts in key for g, c in zip(ngrams(words), counts)})
+            return Block([(i, list(words)) for i, words, _ in key], df, n_docs, min_score)
+
+        for texts, found in batches:
+            out = []
+            for t, ps in zip(texts, found):
+                key = tuple((p["item_id"], tuple(p["words"]), tuple(p["df"])) for p in ps) if ps is not None else ()
+                out.append(block(key).hits(t) if key else [])
+            yield pd.Series(out, dtype=object)
+
+    return unpacked(with_pieces.withColumn("hits", run("text", "pieces")), [*columns, "contaminated_by"],
+                    {"contaminated_by": F.col("hits")})
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, drop_words: int = DROP_WORDS) -> DataFrame:
+    """The documents without a contamination of `drop_words` matched words or more: the name of a city may be a test item,
+    but doesn't make every text about the city a leak. Same columns."""
     found = contamination(packed(docs, "text"), benchmark, min_score)
-    return unpacked(found.where(F.size("contaminated_by") == 0), docs.columns)
+    leaked = F.exists("contaminated_by", lambda h: h["matched"] >= drop_words)
+    return unpacked(found.where(~leaked), docs.columns)

@@ -120,6 +120,40 @@ def test_short_items_and_scripts_without_spaces():
     assert (hit["score"], hit["matched"], hit["start"], hit["end"]) == (1.0, 2, 12, 26)
 
 
+def test_a_large_benchmark(spark):
+    """20,000 items in one pass, against blocks of all pieces; the bitmap may be too small for them."""
+    rng = random.Random(14)
+    vocab = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice((1, 3, 7, 12, 20, 40, 90) if i < 300 else (12, 20))))) for i in range(20_000)]
+    docs = []
+    for d in range(400):
+        w = rng.choices(vocab, k=rng.randint(0, 120))
+        for _ in range(d % 4):
+            part = rng.choice(items)[1].split()
+            w[len(w) // 2:len(w) // 2] = [x if rng.random() > .1 else "edited" for x in part]
+        docs.append((d % 390, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cut = [(i, p) for i, t in items for p in decontam.pieces(t)]
+    counts = Counter(g for _, t in docs for g in set(decontam.ngrams(decontam.tokens(t))))
+    block = decontam.Block(cut, counts, len(docs), decontam.MIN_SCORE)
+    want = Counter((d, str(h["item_id"]), round(h["score"], 9), h["matched"], h["start"], h["end"]) for d, t in docs for h in block.hits(t))
+    for bits in (decontam.BITMAP_BITS, 16):
+        old, decontam.BITMAP_BITS = decontam.BITMAP_BITS, bits
+        rows = decontam.contamination(df, bench).select("doc_id", F.explode("contaminated_by").alias("h")).collect()
+        decontam.BITMAP_BITS = old
+        assert Counter((r.doc_id, str(r.h.item_id), round(r.h.score, 9), r.h.matched, r.h.start, r.h.end) for r in rows) == want
+    assert len(want) > 600
+
+
+def test_short_items_do_not_drop(spark):
+    docs = spark.createDataFrame([(1, "he lived in paris then"), (2, "one two three four five six"), (3, "other")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Paris"), (2, "two three four five six")], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contamination(docs, bench).where("size(contaminated_by) > 0").collect()} == {1, 2}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {1, 3}
+    assert {r.doc_id for r in decontam.clean(docs, bench, drop_words=1).collect()} == {3}
+
+
 def test_decontamination_query(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontamination"](spark, SF).collect()}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
