@@ -9,7 +9,9 @@ most l * t / segments bits. Chains whose budget is below one must be equal, whic
 key per start; the longer chains and then the whole distance are checked on the joined pair. No pair
 within t bits is lost.
 
-Buckets with more than `bucket` fingerprints are not paired. Their fingerprints are linked exactly
+The ring has more segments, and the keys of its equal chains more bits, the more distinct fingerprints there are
+(`ring_for`), so that unrelated fingerprints share few buckets in a table of any size. What fills a bucket beyond
+`bucket` fingerprints then is a cluster: very many fingerprints that agree in a whole chain. Clusters are not paired. Their fingerprints are linked exactly
 through keys at distance t // 2: every fingerprint emits itself and, for t >= 2, its 64 one-bit
 neighbours; fingerprints that share such a key are within 2 bits, and any two within 2 bits share one.
 A key holds at most 65 distinct fingerprints by construction, so the work stays linear in them.
@@ -86,6 +88,21 @@ def _segments(segments: int) -> list[tuple[int, int]]:
     return out
 
 
+def key_bits(segments: int, max_bits: int = MAX_BITS) -> int:
+    """Bits of the narrowest chain that must be equal."""
+    ring = _segments(segments)
+    free = max(n for n in range(1, segments + 1) if n * max_bits < segments)
+    return min(sum(ring[(i + k) % segments][1] for k in range(free)) for i in range(segments))
+
+
+def ring_for(n: int, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> int:
+    """Segments for n distinct fingerprints: the fewest, SEGMENTS at least, whose keys hold an eighth of a bucket of unrelated
+    fingerprints on average, or those with the widest keys."""
+    rings = [m for m in (SEGMENTS, 7, 9, 13, 21) if m > max_bits]
+    enough = [m for m in rings if n <= bucket / 8 * 2.0 ** key_bits(m, max_bits)]
+    return enough[0] if enough else max(rings, key=lambda m: key_bits(m, max_bits))
+
+
 def _mask(parts: list[tuple[int, int]]) -> int:
     m = 0
     for at, w in parts:
@@ -93,14 +110,18 @@ def _mask(parts: list[tuple[int, int]]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints `nodes(fp)` within `max_bits` bits.
 
+    segments: of the ring, by default as many as the number of fingerprints asks for.
+
     Fingerprints of ordinary buckets get an edge for every linked pair. Those of crowded buckets get
     edges to the smallest fingerprint of each shared key, which connects the same components.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("crowded buckets are linked exactly for max_bits 0 to 2")
+    if segments is None:
+        segments = ring_for(nodes.count(), max_bits, bucket)
     if segments <= max_bits:
         raise ValueError("segments must exceed max_bits")
     ring = _segments(segments)
@@ -143,11 +164,11 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     return pairs.union(shared.where("u != v").select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int | None = None,
                     bucket: int = BUCKET) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for every row of `docs(doc_id, text)`.
 
-    root is the smallest fingerprint of the component and names it. component_id is the smallest doc_id that links reach, the row's own included. Null and blank texts
+    doc_id is a long. root is the smallest fingerprint of the component and names it. component_id is the smallest doc_id that links reach, the row's own included. Null and blank texts
     have fingerprint zero and link like any other. Null doc_ids are never a component_id unless no other
     is reached (then it is null). Extra columns are ignored; an empty table gives an empty result.
     """

@@ -114,3 +114,27 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 150), 200]}
     assert connected_components(spark.createDataFrame([], "u long, v long")).select(F.count("*")).first()[0] == 0
+
+
+def test_rings(spark):
+    """Every ring finds all pairs by pigeonring alone, and rings grow with the table, not with its crowded buckets."""
+    rng = random.Random(8)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for b in list(fps)[:30]:
+        for _ in range(12):
+            x = b
+            for k in rng.sample(range(64), rng.choice((1, 2, 2, 3))):
+                x ^= 1 << k
+            fps.add(x)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    m = (1 << 64) - 1
+    true = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[i + 1:] if ((a ^ b) & m).bit_count() <= 2}
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for segments in (7, 9, 13, 21):
+        got = [(min(r.u, r.v), max(r.u, r.v)) for r in simhash.links(nodes, 2, segments, bucket=10_000).collect()]
+        assert set(got) == true
+    sizes = [10, 10**6, 10**8, 10**9, 3 * 10**9, 10**10]
+    rings = [simhash.ring_for(n) for n in sizes]
+    assert rings == sorted(rings) and rings[0] == simhash.SEGMENTS and rings[-1] > simhash.SEGMENTS
+    for n, r in zip(sizes[:-1], rings):
+        assert n / 2 ** simhash.key_bits(r) <= simhash.BUCKET / 8
