@@ -1,6 +1,8 @@
 """Trained operators: held-out accuracy, planted cases, defined odd cases."""
 
 import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -133,3 +135,116 @@ def test_odd_pages(spark):
     assert [r.text for r in out if r.page_id == 1] == [""]
     assert html_crf.extract(pages.limit(0), html_crf.fit([])).collect() == []
     assert html_crf.fit([]).main_text("<p>all of it</p>") == "all of it"
+
+
+def test_toxic_documents_held_out(spark):
+    """Recall and precision of label 1 on rows that training never saw."""
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op10_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(
+        "held_out and toxic is not null").select("toxic", "predicted").collect()
+    toxic, caught = sum(r.toxic for r in got), sum(r.toxic and r.predicted for r in got)
+    assert caught >= 0.8 * toxic and caught >= 0.85 * sum(r.predicted for r in got) and toxic > 80
+
+
+def best_by_all(chain, e):
+    n = len(e)
+    paths = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+    return max(chain.s[y[0]] + sum(e[i, v] for i, v in enumerate(y)) + sum(chain.t[a, b] for a, b in zip(y, y[1:])) for y in paths)
+
+
+def total(chain, e, y):
+    return chain.s[y[0]] + sum(e[i, v] for i, v in enumerate(y)) + sum(chain.t[a, b] for a, b in zip(y, y[1:]))
+
+
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(3)
+    chain = html_crf.Chain(["a"])
+    for _ in range(200):
+        chain.t, chain.s, e = rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=(rng.integers(1, 9), 2))
+        assert abs(total(chain, e, chain.viterbi(e)) - best_by_all(chain, e)) < 1e-9
+
+
+def test_chain_is_trained_to_the_optimum():
+    """No small step improves the likelihood, which is summed over all labellings by hand."""
+    rng = np.random.default_rng(5)
+    names = ["a", "b", "c"]
+    pages = []
+    for _ in range(12):
+        n = rng.integers(1, 6)
+        fs = [[str(x) for x in rng.choice(names, size=rng.integers(1, 3), replace=False)] for _ in range(n)]
+        pages.append((fs, [int("a" in f) if rng.random() < .8 else int(rng.integers(2)) for f in fs]))
+    chain = html_crf.Chain(names)
+    chain.train(pages, rounds=4000, rate=0.02, decay=0.05)
+    blocks = sum(len(y) for _, y in pages)
+
+    def loss():
+        out = 0.0
+        for fs, y in pages:
+            e, n = chain.scores(fs), len(fs)
+            z = [total(chain, e, [k >> i & 1 for i in range(n)]) for k in range(1 << n)]
+            out += np.logaddexp.reduce(z) - total(chain, e, y)
+        return out / blocks + 0.05 / 2 * sum((p * p).sum() for p in (chain.w, chain.t, chain.s))
+
+    least = loss()
+    for _ in range(60):
+        kept = [p.copy() for p in (chain.w, chain.t, chain.s)]
+        for p in (chain.w, chain.t, chain.s):
+            p += rng.normal(size=p.shape) * 0.02
+        assert loss() > least - 1e-7
+        chain.w[:], chain.t[:], chain.s[:] = kept
+
+
+def test_noisy_or_is_trained_to_the_optimum():
+    rng = np.random.default_rng(6)
+    bags, y = [], []
+    for _ in range(60):
+        bag = [sorted(set(rng.choice(4, size=rng.integers(1, 3)).tolist())) for _ in range(rng.integers(0, 4))]
+        bags.append(bag)
+        y.append(int(any(0 in s for s in bag)) if rng.random() < .85 else int(rng.integers(2)))
+    plain = rng.integers(0, 3, size=60).astype(float)
+    y = np.array([label if bag or more else 0 for label, bag, more in zip(y, bags, plain)])  # an empty text can't be toxic
+    doc = np.array([d for d, bag in enumerate(bags) for _ in bag])
+    flat = [s for bag in bags for s in bag]
+    sent, feat = np.array([i for i, s in enumerate(flat) for _ in s]), np.array([f for s in flat for f in s])
+    m = toxicity.fit(list("abcd"), y, plain, doc, sent, feat, rounds=6000, rate=0.02, decay=0.01)
+    w0 = np.array(m.weights)
+
+    def loss(w, b):
+        out = 0.0
+        for bag, label, more in zip(bags, y, plain):
+            clean = (1 - 1 / (1 + np.exp(-b))) ** more
+            for s in bag:
+                clean *= 1 - 1 / (1 + np.exp(-(b + sum(w[f] for f in s))))
+            out -= np.log(max(1 - clean, 1e-300)) if label else np.log(clean)
+        return out / len(y) + 0.01 / 2 * (w * w).sum()
+
+    least = loss(w0, m.bias)
+    for _ in range(60):
+        assert loss(w0 + rng.normal(size=4) * 0.02, m.bias + rng.normal() * 0.02) > least - 1e-6
+
+
+def test_deep_pages_are_linear():
+    for pattern in ("<div>x", "<h1>x", "<a>x<p>y", "<own-tag>x"):
+        start = time.time()
+        assert len(html_crf.blocks(pattern * 100_000)) >= 100_000
+        assert time.time() - start < 60
+    deep = html_crf.blocks("<div>" * 50_000 + "x" + "</span></b>" * 50_000 + "y")
+    assert [b.text for b in deep] == ["xy"]
+
+
+def test_pages_without_marks(spark):
+    """Blocks of pages whose sectioning elements, classes and ids are taken away, against the labels those gave: over 0.9."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").select("html").collect()]
+    chain = html_crf.fit(pages[:150])
+    hit = wrong = missed = 0
+    for html in pages[150:]:
+        page = html_crf.blocks(html)
+        true = html_crf.label(page)
+        bare = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", html)
+        bare = html_crf.blocks(re.sub(r'\s(class|id|role)="[^"]*"', "", bare))
+        if true and [b.text for b in bare] == [b.text for b in page]:
+            got = chain.viterbi(chain.scores(html_crf.features(bare)))
+            hit += sum(a and b for a, b in zip(true, got))
+            wrong += sum(b and not a for a, b in zip(true, got))
+            missed += sum(a and not b for a, b in zip(true, got))
+    assert hit > 200 and 2 * hit / (2 * hit + wrong + missed) > 0.9
