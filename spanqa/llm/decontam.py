@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -218,9 +217,9 @@ def cut_items(benchmark: DataFrame) -> DataFrame:
 
 
 def seed_bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """(bits packed in bytes, number of bits as a power of two) of the hashes `seeds(gram)`; at least 16 bits a hash
+    """(bits packed in bytes, number of bits as a power of two) of the hashes `seeds(gram)`; at least 256 bits a hash
     up to the limit of `BITMAP_BITS`."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, seeds.count()))) + 4, 16, BITMAP_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(1, seeds.count()))) + 8, 16, BITMAP_BITS))
     slot = F.col("gram").bitwiseAND((1 << bits) - 1)
     parts = (seeds.select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit"))
              .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
@@ -293,21 +292,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_
     rows = packed(docs.select(*["`" + c.replace("`", "``") + "`" for c in columns]), F.xxhash64("text").alias("key"),
                   F.col("text").cast("string").alias("text"))
     n_docs = docs.count()
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()),
+                               ("end", pa.int32()), ("item_start", pa.int32()), ("item_end", pa.int32())]))
     with_pieces = join_dimension(rows, candidates(rows, benchmark, n_docs), ["key"], name="decontam-candidates", how="left")
 
-    @F.pandas_udf(HIT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        @lru_cache(maxsize=64)
+    @F.arrow_udf(HIT)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        @lru_cache(maxsize=16)
         def block(key: tuple) -> Block:
             df = Counter({g: c for _, words, counts in key for g, c in zip(ngrams(words), counts)})
             return Block([(i, list(words)) for i, words, _ in key], df, n_docs, min_score)
 
-        for texts, found in batches:
+        for texts, found in batches:  # row by row: a batch's pieces as Python values would be many times its size
             out = []
             for t, ps in zip(texts, found):
-                key = tuple((p["item_id"], tuple(p["words"]), tuple(p["df"])) for p in ps) if ps is not None else ()
-                out.append(block(key).hits(t) if key else [])
-            yield pd.Series(out, dtype=object)
+                key = tuple((p["item_id"], tuple(p["words"]), tuple(p["df"])) for p in ps.as_py()) if ps.is_valid else ()
+                out.append(block(key).hits(t.as_py()) if key else [])
+            yield pa.array(out, kind)
 
     return unpacked(with_pieces.withColumn("hits", run("text", "pieces")), [*columns, "contaminated_by"],
                     {"contaminated_by": F.col("hits")})
