@@ -631,11 +631,15 @@ gans AS (SELECT gq.id, g.ann_pos,
                    (g.example_id * 5 + g.ann_pos) % len(string_split(c.txt, ' ')) + g.example_id % 4) + 1), ' ') AS answer_text
          FROM gq JOIN qa_gold g ON g.example_id = gq.example_id AND g.ci = gq.annotated_idx AND g.s >= 0
          JOIN qa_candidates c ON c.doc_id = g.example_id AND c.cand_pos = g.ci),
-norm_g AS (SELECT id, ann_pos, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(answer_text),
-             '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g')), '\s+'), lambda x: x <> '') AS gt
+norm_g AS (SELECT id, ann_pos, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(lower(answer_text),
+             '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'),
+             '(^|[^\pL\pM\pN_])(a|an|the)($|[^\pL\pM\pN_])', '\1 \3', 'g'),
+             '(^|[^\pL\pM\pN_])(a|an|the)($|[^\pL\pM\pN_])', '\1 \3', 'g')), '\s+'), lambda x: x <> '') AS gt
            FROM gans),
-norm_p AS (SELECT id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(answer),
-             '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g')), '\s+'), lambda x: x <> '') AS pt
+norm_p AS (SELECT id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(lower(answer),
+             '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'),
+             '(^|[^\pL\pM\pN_])(a|an|the)($|[^\pL\pM\pN_])', '\1 \3', 'g'),
+             '(^|[^\pL\pM\pN_])(a|an|the)($|[^\pL\pM\pN_])', '\1 \3', 'g')), '\s+'), lambda x: x <> '') AS pt
            FROM gpp),
 pair AS (SELECT g.id, g.gt, p.pt,
            CASE WHEN p.pt IS NULL THEN 0 ELSE coalesce(list_sum(list_transform(list_distinct(p.pt),
