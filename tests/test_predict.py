@@ -144,9 +144,9 @@ def test_split_fails_on_invalid_ids(spark):
 
 
 def test_squad_tokens(spark):
-    df = spark.createDataFrame([("x\u00a0y",), ("The d\u00eda, a\u2003 an!",), ("",)], "t string")
+    df = spark.createDataFrame([("x\u00a0y",), ("The d\u00eda, a\u2003 an!",), ("",), ("\u00e9an\u00e7",)], "t string")
     got = [list(r.x) for r in df.select(goldp.normalized_tokens("t").alias("x")).collect()]
-    assert got == [["x", "y"], ["d\u00eda"], []]
+    assert got == [["x", "y"], ["d\u00eda"], [], ["\u00e9an\u00e7"]]
 
 
 def test_squad_normalisation_and_scores(spark):
