@@ -5,8 +5,9 @@ P1, P3) -> routed left join (J1, J4, J5) -> per-example stats (A1, A2) ->
 threshold curve (W1) -> best threshold and R@P (A5, A6) -> macro average (A8).
 
 Shuffles: gold and predictions are each hash-partitioned once on example_id
-(de-duplication), the join reuses it; the curve pre-aggregates per distinct
-score before its (blocked) running sum. Document text never enters a shuffle.
+(de-duplication) and written, so that their inputs are read once; the curve
+pre-aggregates per distinct score before its (blocked) running sum. Document
+text never enters a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from spanqa.constants import (EXCLUDED_LANGUAGE, LANGUAGES, MINIMAL_NON_NULL_THRESHOLD,
                               PASSAGE_NON_NULL_THRESHOLD)
 from spanqa.operators import curve, metrics, scoring
+from spanqa.operators.joins import landed
 
 
 @dataclass
@@ -43,8 +45,8 @@ def evaluate(gold_raw: DataFrame, pred_norm: DataFrame, languages: list[str] | N
     ``pred_norm``: normalised predictions (``readers.read_predictions``).
     """
     languages = languages or LANGUAGES
-    gold = scoring.gold_examples(gold_raw, passage_threshold, minimal_threshold)
-    pred = scoring.prediction_examples(scoring.validate_predictions(pred_norm, validation))
+    gold = landed(scoring.gold_examples(gold_raw, passage_threshold, minimal_threshold), "gold")[0]
+    pred = landed(scoring.prediction_examples(scoring.validate_predictions(pred_norm, validation)), "pred")[0]
     eval_langs = scoring.evaluated_languages(pred, languages)
     # at most len(languages) rows: broadcast semi join keeps gold's partitioning
     gold_eval = gold.join(F.broadcast(eval_langs), "language", "left_semi")
