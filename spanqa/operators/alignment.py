@@ -4,12 +4,16 @@ the gold answer with up to 100 bytes around it (start clamped at 0)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanqa.operators.entry import _bslice
 from spanqa.operators.features import to_plaintext_expr
-from spanqa.operators.joins import join_dimension
+from spanqa.operators.joins import join_dimension, landed
+from spanqa.operators.tokenize import MAX_VOCAB_BYTES, names_of
 
 
 def cut_bytes(text: str, start: Column, length: Column) -> Column:
@@ -17,16 +21,64 @@ def cut_bytes(text: str, start: Column, length: Column) -> Column:
     return F.substring(F.encode(text, "UTF-8"), start + 1, length).cast("string")
 
 
-def slice_report(entries: DataFrame, tokens: DataFrame, vocab: DataFrame, width: int = 20) -> DataFrame:
+def slice_pieces(ids: pa.Array, starts: pa.Array, slices: pa.Array, width: int, names: dict[int, str]) -> pa.Array:
+    """Per text, for its slices of ``width`` bytes in order, the number and the space-joined text of the pieces that
+    start in it; null without pieces' ids."""
+    n = pc.fill_null(slices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    per = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(ids)), per)
+    at = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) // width
+    inside = at < n[row]
+    place = (before[row] + at)[inside]
+    order = np.argsort(place, kind="stable")
+    counts = np.bincount(place, minlength=before[-1]).astype(np.int64)
+    tokens = names_of(ids, names).flatten().filter(pa.array(inside)).take(pa.array(order))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
+                                     pc.fill_null(tokens, ""))
+    found = pa.StructArray.from_arrays([pa.array(counts.astype(np.int32)), pc.binary_join(lists, " ")], ["n", "text"])
+    return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), found)
+
+
+def slice_report(entries: DataFrame | None, tokens: DataFrame, vocab: DataFrame, width: int = 20) -> DataFrame:
     """entries: example_id, contexts, plaintext, segments; tokens: example_id,
     wp_ids, wp_starts; vocab: id, token. Per slice: its text, whether the bytes
     are whole characters, the plaintext offset of its first byte (-1 for markers
     / spaces), the plaintext recovered from that offset, and the number and
     space-joined text of the wordpieces starting in it.
 
-    Slices are cut inside the article's row, so only they are multiplied; pieces
-    meet their slice by an equi-join on the slice's start."""
+    ``entries`` is None if ``tokens`` carries the entries' columns. Slices and their pieces are cut inside the
+    article's row, so nothing else is shuffled; a vocabulary too large for a task is joined instead."""
     w = int(width)
+    vocab, nbytes = landed(vocab, "vocab")
+    if nbytes > MAX_VOCAB_BYTES:
+        e = tokens if entries is None else entries
+        return _slice_report_joined(e, tokens.select("example_id", "wp_ids", "wp_starts"), vocab, w)
+    rows = tokens if entries is None else entries.join(tokens.select("example_id", "wp_ids", "wp_starts"), "example_id", "left")
+    names = vocab.sparkSession.sparkContext.broadcast({r.id: r.token for r in vocab.select("id", "token").collect()})
+
+    @F.arrow_udf("array<struct<n: int, text: string>>")
+    def found(ids: pa.Array, starts: pa.Array, slices: pa.Array) -> pa.Array:
+        return slice_pieces(ids, starts, slices, w, names.value)
+    known = F.col("example_id").isNotNull()
+    e = rows.select("example_id", F.encode("contexts", "UTF-8").alias("cb"), "segments",
+                    F.encode("plaintext", "UTF-8").alias("pb"),
+                    F.expr(f"sequence(0, greatest(octet_length(contexts) - 1, 0), {w})").alias("cuts"),
+                    F.when(known, F.col("wp_ids")).alias("ids"), F.when(known, F.col("wp_starts")).alias("starts"))
+    e = e.withColumn("plain", F.expr(to_plaintext_expr("cuts", "segments"))).withColumn(
+        "found", found("ids", "starts", F.size("cuts")))
+    s = e.select("example_id", F.expr(
+        f"inline(transform(arrays_zip(cuts, plain, found), z -> named_struct('at', z.cuts, 'plain_at', z.plain, "
+        f"'raw', substring(cb, z.cuts + 1, {w}), 'plain_text', IF(z.plain >= 0, "
+        f"{_bslice('pb', 'CAST(z.plain AS INT)', f'CAST(z.plain AS INT) + {w}')}, NULL), "
+        "'n_wordpieces', coalesce(z.found.n, 0), 'wordpieces', coalesce(z.found.text, ''))))"))
+    raw = F.col("raw").cast("string")
+    return s.select("example_id", "at", F.make_valid_utf8(raw).alias("ctx_text"), F.is_valid_utf8(raw).alias("whole_chars"),
+                    "plain_at", "plain_text", "n_wordpieces", "wordpieces")
+
+
+def _slice_report_joined(entries: DataFrame, tokens: DataFrame, vocab: DataFrame, w: int) -> DataFrame:
+    """`slice_report` with a vocabulary of any size: pieces meet their slice by an equi-join on its start."""
     e = entries.select("example_id", F.encode("contexts", "UTF-8").alias("cb"), "segments",
                        F.encode("plaintext", "UTF-8").alias("pb"),
                        F.expr(f"sequence(0, greatest(octet_length(contexts) - 1, 0), {w})").alias("cuts"))

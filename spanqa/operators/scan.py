@@ -74,7 +74,7 @@ def scan_examples(spark: SparkSession, path: str, max_passages: int = MAX_PASSAG
     counts = Observation(f"example-scan-{uuid.uuid4().hex[:8]}")
     seen = entries.observe(counts, F.count_if(F.col("reject_reason").isNull()).alias("survivors"),
                            F.count_if(F.col("reject_reason").isNotNull()).alias("pruned"))
-    numbered = number_lines(landed(seen, "example-scan")[0])
+    numbered = number_lines(landed(seen, "example-scan", "zstd")[0])
     survivors, pruned = counts.get["survivors"], counts.get["pruned"]
     if fail_on_invalid and pruned:
         first = numbered.where("reject_reason IS NOT NULL").orderBy("file", "line_no").first()
