@@ -1,12 +1,16 @@
 """Paths made for scale: the split dimension join and the blocked running sum."""
 
+import json
+import pathlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanqa.operators import curve
 from spanqa.operators.joins import join_dimension
-from spanqa.sources import derived
+from spanqa.plans import queries_prepare as QP
+from spanqa.sources import derived, readers
 
 from conftest import SF01
 
@@ -53,3 +57,39 @@ def test_curve_with_nulls_and_a_dominant_group(spark):
     assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
     best = {r.language: r.best_f1 for r in curve.best_threshold(curve.threshold_points(df)).collect()}
     assert best.keys() == {"big", "small", None}
+
+
+def _goldp_documents(spark, tmp_path, ids):
+    rows = [(i, f"first words of {k}\nThe answer of {k} is an éanç, so it is.\nlast one", ("en", "fr", "de", "es")[k % 4])
+            for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_goldp_files_grow_with_bytes_not_with_ids(spark, tmp_path, monkeypatch):
+    d = _goldp_documents(spark, tmp_path, [k * 1009 for k in range(120)])
+
+    def run(n_bytes):
+        monkeypatch.setattr(QP, "_CACHE", {})
+        monkeypatch.setattr(QP, "GOLDP_FILE_BYTES", n_bytes)
+        paths = QP._goldp_inputs(spark, d)
+        files = [[f.read_text() for f in sorted(pathlib.Path(p).rglob("part-*"))] for p in paths]
+        per = QP.q_goldp_macro(spark, d)
+        assert all("goldp-languages" in f for f in per.inputFiles())  # scored once, not for each part again
+        rows = [sorted(map(repr, x.collect())) for x in (
+            readers.read_goldp_dataset(spark, paths[0] + "/*"), QP.q_goldp_scan(spark, d), QP.q_goldp_exact_f1(spark, d), per)]
+        return files, rows
+
+    (one, rows), (many, same) = run(1 << 20), run(600)
+    assert [len(f) for f in one] == [1, 1] and rows == same and len(rows[0]) > 50 and len(rows[1]) > 50
+    for files in (one, many):
+        assert all(list(json.loads(t)) == ["data", "version"] for t in files[0])
+        assert sorted(i for t in files[1] for i in json.loads(t)) == sorted(i for i in json.loads(one[1][0]))
+    assert all(1 < len(f) < 60 for f in many)
+
+
+def test_goldp_ids_that_come_twice_still_fail(spark, tmp_path, monkeypatch):
+    d = _goldp_documents(spark, tmp_path, [*range(60), *range(60)])
+    monkeypatch.setattr(QP, "GOLDP_FILE_BYTES", 200)
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        QP._goldp_inputs(spark, d)
