@@ -4,7 +4,7 @@ of the texts are put together from those of their tokens by array operations, so
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from spanqa.functions.chars import BAD, CJK, PUNCTUATION, SPLIT_SPACE
+from spanqa.functions.lists import steps
 from spanqa.functions.longest_match import LongestMatch, Piece
 
 _SPACE, _BAD, _PUNCTUATION, _CJK = 1, 2, 4, 8
 #: Texts of a batch are taken this many bytes at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Tokens a task remembers between batches.
 MAX_KEPT = 200_000
 _CLASSES: list[bytes] = []
@@ -140,14 +141,11 @@ class PieceTable:
         _, _, _, ends, ids, _, _, _, before, place = self._placed(words, kind)
         return pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), pa.array(ids[place]))
 
-    def texts(self, texts: pa.Array, marker: str | None) -> pa.Array:
+    def texts(self, texts: pa.Array, marker: str | None) -> Iterator[pa.Array]:
         """Struct of ids, starts, ends (inclusive bytes) and segs (marker tokens up to a piece's token, less one) of
-        every text; null for a null."""
-        if not len(texts):
-            return self._texts(texts, marker)
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = np.unique([0, len(texts), *np.searchsorted(sizes, np.arange(STEP_BYTES, sizes[-1], STEP_BYTES))])
-        return pa.concat_arrays([self._texts(texts.slice(a, b - a), marker) for a, b in zip(cuts, cuts[1:])])
+        every text, a few texts at a time; null for a null."""
+        for a, b in steps(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), STEP_BYTES):
+            yield self._texts(texts.slice(a, b - a), marker)
 
     def _texts(self, texts: pa.Array, marker: str | None) -> pa.Array:
         lists = pc.split_pattern(texts.cast(pa.string()), " ")
@@ -167,7 +165,7 @@ class PieceTable:
             segs = np.full(len(place), -1)
         offsets = pa.array(before[ends].astype(np.int32))
         arrays = [pa.ListArray.from_arrays(offsets, v) for v in (
-            pa.array(ids[place]), *[pa.array(x.astype(np.int32)) for x in (starts, starts + sizes[place] - 1, segs)])]
+            pa.array(ids[place]), pa.array(starts), pa.array(starts + sizes[place] - 1), pa.array(segs.astype(np.int32)))]
         return pa.StructArray.from_arrays(arrays, ["ids", "starts", "ends", "segs"], mask=texts.is_null())
 
     def tokens(self, tokens: pa.Array) -> pa.Array:

@@ -4,17 +4,25 @@ the gold answer with up to 100 bytes around it (start clamped at 0)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanqa.functions.lists import as_lists, lengths, steps
 from spanqa.operators.entry import _bslice
 from spanqa.operators.features import to_plaintext_expr
 from spanqa.operators.joins import join_dimension, landed
+from spanqa.operators import tokenize
 from spanqa.operators.tokenize import MAX_VOCAB_BYTES, names_of
 
+#: Pieces whose slices are put together at a time.
+STEP_PIECES = 1 << 18
+
 
 def cut_bytes(text: str, start: Column, length: Column) -> Column:
     """``length`` bytes of ``text`` from byte ``start`` on, as a string that may hold cut characters."""
@@ -40,33 +48,73 @@ def slice_pieces(ids: pa.Array, starts: pa.Array, slices: pa.Array, width: int,
     return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), found)
 
 
-def slice_report(entries: DataFrame | None, tokens: DataFrame, vocab: DataFrame, width: int = 20) -> DataFrame:
+def slice_report(entries: DataFrame | None, tokens: DataFrame | None, vocab: DataFrame, width: int = 20) -> DataFrame:
     """entries: example_id, contexts, plaintext, segments; tokens: example_id,
     wp_ids, wp_starts; vocab: id, token. Per slice: its text, whether the bytes
     are whole characters, the plaintext offset of its first byte (-1 for markers
     / spaces), the plaintext recovered from that offset, and the number and
     space-joined text of the wordpieces starting in it.
 
-    ``entries`` is None if ``tokens`` carries the entries' columns. Slices and their pieces are cut inside the
+    ``entries`` is None if ``tokens`` carries the entries' columns. ``tokens`` is None if the contexts are still to be
+    tokenized: then they are in the function that cuts the slices, a few articles at a time, and no pieces go to and fro
+    (entries that share their id are one text, as in ``tokenize_texts``). Slices and their pieces are cut inside the
     article's row, so nothing else is shuffled; a vocabulary too large for a task is joined instead."""
     w = int(width)
     vocab, nbytes = landed(vocab, "vocab")
+    if tokens is None:
+        kept = ["contexts", "plaintext", "segments"]
+        texts = entries.select("example_id", F.col("contexts").alias("text"), *kept)
+        table = tokenize.piece_table(vocab)
+        once, again = (None, texts) if table is None else tokenize.repeated_texts(texts, ["example_id"]) or (texts, None)
+        parts = [] if again is None else [slice_report(None, tokenize.tokenize_texts(
+            again, vocab, ["example_id"], carry=kept), vocab, w)]
+        if once is not None:
+            parts.append(_slices(once.where("text IS NOT NULL"), _sliced_texts(table, _names(vocab), w), w))
+        return reduce(DataFrame.unionByName, parts)
     if nbytes > MAX_VOCAB_BYTES:
         e = tokens if entries is None else entries
         return _slice_report_joined(e, tokens.select("example_id", "wp_ids", "wp_starts"), vocab, w)
     rows = tokens if entries is None else entries.join(tokens.select("example_id", "wp_ids", "wp_starts"), "example_id", "left")
-    names = vocab.sparkSession.sparkContext.broadcast({r.id: r.token for r in vocab.select("id", "token").collect()})
+    names = _names(vocab)
 
     @F.arrow_udf("array<struct<n: int, text: string>>")
-    def found(ids: pa.Array, starts: pa.Array, slices: pa.Array) -> pa.Array:
-        return slice_pieces(ids, starts, slices, w, names.value)
+    def found(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:  # a few articles at a time: the tokens' texts are many times their ids
+            for a, b in steps(lengths(batch[0]) + 1, STEP_PIECES):
+                yield slice_pieces(*[x.slice(a, b - a) for x in batch], w, names.value)
     known = F.col("example_id").isNotNull()
+    return _slices(rows, found(F.when(known, F.col("wp_ids")), F.when(known, F.col("wp_starts")), F.size(_cuts(w))), w)
+
+
+def _names(vocab: DataFrame):
+    return vocab.sparkSession.sparkContext.broadcast({r.id: r.token for r in vocab.select("id", "token").collect()})
+
+
+def _cuts(w: int) -> Column:
+    return F.expr(f"sequence(0, greatest(octet_length(contexts) - 1, 0), {w})")
+
+
+def _sliced_texts(table, names, w: int) -> Column:
+    """`slice_pieces` of the contexts' own pieces; none where an entry has no id."""
+    @F.arrow_udf("array<struct<n: int, text: string>>")
+    def found(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, slices, known in batches:
+            at = 0
+            for part in table.value.texts(texts, None):
+                known_part = known.slice(at, len(part)).to_numpy(zero_copy_only=False)
+                null = ~known_part | part.is_null().to_numpy(zero_copy_only=False)
+                n = np.where(null, 0, lengths(part.field(0)))
+                keep = pa.array(np.repeat(known_part, lengths(part.field(0))))
+                ids, starts = (as_lists(n, part.field(k).flatten().filter(keep), null) for k in range(2))
+                yield slice_pieces(ids, starts, slices.slice(at, len(part)), w, names.value)
+                at += len(part)
+    return found("text", F.size(_cuts(w)), F.col("example_id").isNotNull())
+
+
+def _slices(rows: DataFrame, found: Column, w: int) -> DataFrame:
     e = rows.select("example_id", F.encode("contexts", "UTF-8").alias("cb"), "segments",
-                    F.encode("plaintext", "UTF-8").alias("pb"),
-                    F.expr(f"sequence(0, greatest(octet_length(contexts) - 1, 0), {w})").alias("cuts"),
-                    F.when(known, F.col("wp_ids")).alias("ids"), F.when(known, F.col("wp_starts")).alias("starts"))
-    e = e.withColumn("plain", F.expr(to_plaintext_expr("cuts", "segments"))).withColumn(
-        "found", found("ids", "starts", F.size("cuts")))
+                    F.encode("plaintext", "UTF-8").alias("pb"), _cuts(w).alias("cuts"), found.alias("found"))
+    e = e.withColumn("plain", F.expr(to_plaintext_expr("cuts", "segments")))
     s = e.select("example_id", F.expr(
         f"inline(transform(arrays_zip(cuts, plain, found), z -> named_struct('at', z.cuts, 'plain_at', z.plain, "
         f"'raw', substring(cb, z.cuts + 1, {w}), 'plain_text', IF(z.plain >= 0, "

@@ -13,7 +13,7 @@ tokenized, and tokens meet their pieces in a size-checked broadcast or a shuffle
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -160,14 +160,16 @@ def piece_table(vocab: DataFrame, max_chars: int = MAX_INPUT_CHARS_PER_WORD, iso
 
 
 def text_pieces(table, marker_prefix: str | None = None) -> Callable[[str], Column]:
-    """Column function: the wordpieces of a text as a struct of arrays (ids, starts, ends, segs)."""
-    @F.arrow_udf("struct<ids: array<bigint>, starts: array<int>, ends: array<int>, segs: array<int>>")
-    def pieces(texts: pa.Array) -> pa.Array:
-        return table.value.texts(texts, marker_prefix)
+    """Column function: the wordpieces of a text as a struct of arrays (ids, starts, ends, segs). They leave the task's
+    function a few texts at a time, so that a batch of long texts isn't held in pieces."""
+    @F.arrow_udf("struct<ids: array<bigint>, starts: array<bigint>, ends: array<bigint>, segs: array<int>>")
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from table.value.texts(texts, marker_prefix)
     return pieces
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame] | None:
+def repeated_texts(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame] | None:
     """Rows whose key occurs once and the others (a null is a key); None if no key repeats. Only keys are shuffled
     to find out."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -274,13 +276,13 @@ def tokenize_texts(texts: DataFrame, vocab: DataFrame, keys: list[str],
     """
     vocab, carry = landed(vocab, "vocab")[0], list(carry or [])
     table = piece_table(vocab, max_chars, isolate_cjk)
-    parts = (None, texts) if table is None else _repeated(texts, keys) or (texts, None)
+    parts = (None, texts) if table is None else repeated_texts(texts, keys) or (texts, None)
     out = []
     if parts[0] is not None:
         w = parts[0].where("text IS NOT NULL").select(*keys, *carry, text_pieces(table, marker_prefix)("text").alias("_w"))
         names = ["starts", "ends"] + (["segs"] if marker_prefix else [])
-        out.append(w.select(*keys, F.col("_w.ids").alias("wp_ids"), *[F.col(f"_w.{n}").cast(
-            "array<int>" if n == "segs" else "array<bigint>").alias(f"wp_{n}") for n in names], *carry))
+        out.append(w.select(*keys, F.col("_w.ids").alias("wp_ids"), *[F.col(f"_w.{n}").alias(
+            f"wp_{n}") for n in names], *carry))
     if parts[1] is not None:
         joined = _tokenize_joined(parts[1], vocab, keys, max_chars, partition_keys, marker_prefix, isolate_cjk)
         if carry:
@@ -365,7 +367,7 @@ def full_tokenize(texts: DataFrame, vocab: DataFrame, keys: list[str], lower: bo
     def ids(words: pa.Array) -> pa.Array:
         return table.value.word_ids(words, kind)
 
-    once, twice = _repeated(texts, keys) or (texts, None)
+    once, twice = repeated_texts(texts, keys) or (texts, None)
     words = destructive_clean_split("text")
     out = once.where("text IS NOT NULL").select(*keys, ids(F.transform(words, F.lower) if lower else words).alias("ids"))
     out = out.where(F.size("ids") > 0)

@@ -138,3 +138,30 @@ def test_evaluation_reads_its_inputs_once(spark):
     ev = E.evaluate(raw, readers.normalize_predictions(pred), languages=["finnish"])
     assert not any("t-gold" in p for p in ev.stats.inputFiles() + ev.gold.inputFiles())
     assert {(r.task, r.f1) for r in ev.stats.collect()} == {("passage", 1.0), ("minimal", 1.0)}
+
+
+def test_slices_tokenized_a_few_articles_at_a_time(spark, vocab, monkeypatch):
+    text = "[ContextId=0] ab abc, d中e [ContextId=1] é abc d ab"
+    rows = [(k, text[: 9 * k], text, [(14, 24, 14)]) for k in range(1, 5)] + [(None, text, text, []), (7, None, "", []), (8, "", "", []),
+                                                                              (1, "abc d", "abc d", [(0, 5, 0)])]
+    e = spark.createDataFrame(rows, "example_id long, contexts string, plaintext string, segments array<struct<ctx_start: long, "
+                                    "ctx_end: long, plain_start: long>>").where("contexts IS NOT NULL OR example_id = 7")
+    kept = ["contexts", "plaintext", "segments"]
+    tt = tokenize.tokenize_texts(e.select("example_id", F.col("contexts").alias("text"), *kept), vocab, ["example_id"], carry=kept)
+    want = _rows(alignment.slice_report(None, tt, vocab, 7))
+    alone = alignment.slice_report(e.where("example_id > 1"), None, vocab, 7)
+    assert alone._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert _rows(alignment.slice_report(e, None, vocab, 7)) == want
+    monkeypatch.setattr(tokenize, "piece_table", lambda *a, **k: None)
+    assert _rows(alignment.slice_report(e, None, vocab, 7)) == want and len(want) > 20
+
+
+def test_texts_leave_the_function_a_few_at_a_time(spark, vocab, monkeypatch):
+    import pyarrow as pa
+    from spanqa.functions import piece_table
+    table = tokenize.piece_table(vocab).value
+    texts = pa.array(["ab abc " * 50, None, "d", "abc " * 50] * 5)
+    whole = [x.as_py() for part in table.texts(texts, None) for x in part]
+    monkeypatch.setattr(piece_table, "STEP_BYTES", 300)
+    parts = list(table.texts(texts, None))
+    assert len(parts) > 5 and [x.as_py() for part in parts for x in part] == whole
